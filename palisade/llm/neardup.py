@@ -4,7 +4,7 @@ A document's set has its distinct 5-word shingles. Every distinct set is a node
 node's path the next minwise coordinate is chosen, and the document branches by its value there, so that two
 documents of similarity J share a path of depth d with probability J**d. Nodes of at most LEAF documents are compared
 exhaustively by their sketches; larger ones branch again, and what is still large at the last depth (a group of near
-copies) is compared in rounds with at most PROBE of its documents that are not yet in the group's main component, so
+copies) is compared in rounds with at most PROBE * CHUNKS of its documents that are not yet in the group's main component, so
 that no task ever forms all pairs of a group. Every candidate is confirmed on the full sets before it counts.
 
 Recall: with 24 trees a pair of similarity 0.75 is missed with probability 3e-9 at depth 2 and 2e-4 at depth 4, which
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.components import components
-from palisade.llm.kernels import Words, buffers, mix, slices
+from palisade.llm.kernels import Words, binary, buffers, groups, mix, slices
 from palisade.llm.scratch import bounded_broadcast, discard, materialise
 
 WORDS = 5
@@ -34,14 +34,20 @@ COORDINATES = 64
 TREES = 24
 DEPTHS = (2, 4)
 LEAF = 64
-PROBE = 128
-#: Equal sketch values a candidate needs of COORDINATES: 4.5 standard deviations below what similarity 0.75 gives.
+PROBE, CHUNKS = 128, 4
+#: Sets that a task keeps while it confirms pairs.
+CONFIRM_BYTES = 48 << 20
+#: Equal sketch values that a candidate needs of COORDINATES: 4.5 standard deviations below what similarity 0.75 gives.
 LEAST_EQUAL = 32
 #: Ids sent to every executor instead of being joined by a shuffle: 8 MB at most.
 BROADCAST_IDS = 1_000_000
+#: Documents of large nodes get a finer sketch, a byte for each of FINE coordinates, and need FINE_EQUAL equal ones.
+FINE = 512
+FINE_EQUAL = 340
 
 _rng = np.random.default_rng(20240501)
 _FACTORS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE_FACTORS = _rng.integers(1, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEEDS = mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -79,8 +85,20 @@ def _sketch(batches):
         )
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return buffers(column)[0].view(np.uint16).reshape(-1, COORDINATES)
+def _fine(batches):
+    for b in slices(batches):
+        h, first = shingle_sets(Words(b.column("text"), lower=True))
+        n = np.diff(first)
+        signature = np.zeros((len(n), FINE), np.uint8)
+        full = np.flatnonzero(n)
+        if len(full):
+            for t in range(FINE):
+                signature[full, t] = mix(np.minimum.reduceat(h * _FINE_FACTORS[t], first[full])) >> np.uint64(56)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in signature], pa.binary())], names=["rep", "n", "sketch"])
+
+
+def _matrix(column: pa.Array, kind: type = np.uint16, width: int = COORDINATES) -> np.ndarray:
+    return buffers(column)[0].view(kind).reshape(-1, width)
 
 
 def _branch(p: np.ndarray, signature: np.ndarray) -> np.ndarray:
@@ -134,12 +152,12 @@ def _pairs(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
-def _members(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def _members(column: pa.Array, kind: type = np.uint16, width: int = COORDINATES) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Offsets of lists of structs and the structs' columns."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten()
     offsets = np.asarray(column.offsets)
-    return offsets - offsets[0], {f.name: (_matrix(flat.field(f.name)) if f.name == "sketch" else np.asarray(flat.field(f.name))) for f in flat.type}
+    return offsets - offsets[0], {f.name: (_matrix(flat.field(f.name), kind, width) if f.name == "sketch" else np.asarray(flat.field(f.name))) for f in flat.type}
 
 
 def _leaf_pairs(batches):
@@ -166,16 +184,16 @@ def _probe_pairs(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        offsets, c = _members(b.column("probe"))
-        m, n, ids, label = _matrix(b.column("sketch")), np.asarray(b.column("n")), np.asarray(b.column("rep")), np.asarray(b.column("label"))
+        offsets, c = _members(b.column("probe"), np.uint8, FINE)
+        m, n, ids, label = _matrix(b.column("sketch"), np.uint8, FINE), np.asarray(b.column("n")), np.asarray(b.column("rep")), np.asarray(b.column("label"))
         row = np.repeat(np.arange(len(ids)), np.diff(offsets))
         other = np.flatnonzero(label[row] != c["label"])
-        for at in range(0, len(other), 1 << 15):
-            o = other[at : at + (1 << 15)]
+        for at in range(0, len(other), 1 << 14):
+            o = other[at : at + (1 << 14)]
             r = row[o]
             keep = np.minimum(n[r], c["n"][o]) * DENOMINATOR >= np.maximum(n[r], c["n"][o]) * NUMERATOR
             o, r = o[keep], r[keep]
-            keep = (m[r] == c["sketch"][o]).sum(1) >= LEAST_EQUAL
+            keep = (m[r] == c["sketch"][o]).sum(1) >= FINE_EQUAL
             x, y = ids[r[keep]], c["rep"][o[keep]]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -183,24 +201,39 @@ def _probe_pairs(batches):
 
 def _confirm(batches):
     """Pairs with both texts -> those whose full sets are similar enough, with the sizes of intersection and union."""
-    last: tuple[int, np.ndarray] | None = None
+    sets: dict[tuple[int, int], np.ndarray] = {}
+    held = 0
+
+    def load(batch: pa.RecordBatch, side: str) -> list[tuple[int, int]]:
+        nonlocal held
+        ids, texts = batch.column(side).to_pylist(), binary(batch.column(f"text_{side}"))
+        keys = list(zip(ids, np.diff(buffers(texts)[1]).tolist(), strict=True))
+        new = {k: i for i, k in enumerate(keys) if k not in sets}
+        if new:
+            h, first = shingle_sets(Words(texts.take(pa.array(list(new.values()))), lower=True))
+            for i, k in enumerate(new):
+                sets[k] = h[first[i] : first[i + 1]].copy()
+                held += sets[k].nbytes
+        return keys
+
     for b in slices(batches, "text_b"):
-        sets = []
-        w = Words(b.column("text_b"), lower=True)
-        h, first = shingle_sets(w)
-        a, texts = np.asarray(b.column("a")), b.column("text_a")
-        out = []
-        for i in range(b.num_rows):
-            if last is None or last[0] != a[i]:
-                last = (int(a[i]), shingle_sets(Words(texts.slice(i, 1), lower=True))[0])
-            mine = h[first[i] : first[i + 1]]
-            both = np.intersect1d(mine, last[1], assume_unique=True).size
-            union = len(mine) + len(last[1]) - both
-            if both * DENOMINATOR >= union * NUMERATOR and union:
-                out.append(i)
-                sets.append((both, union))
-        take = pa.array(out, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("a").take(take), b.column("b").take(take), pa.array([x for x, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.int64())], names=["a", "b", "shared", "joint"])
+        if held > CONFIRM_BYTES:
+            sets.clear()
+            held = 0
+        first, second = load(b, "a"), load(b, "b")
+        both, joint = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        for at, n in zip(*groups(np.asarray(b.column("a"))), strict=True):
+            own, others = sets[first[at]], [sets[k] for k in second[at : at + n]]
+            size = np.array([len(x) for x in others])
+            mine = np.concatenate(others)
+            if not len(own) or not len(mine):
+                continue
+            equal = np.concatenate(([0], np.cumsum(own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine)))
+            end = np.cumsum(size)
+            both[at : at + n] = equal[end] - equal[end - size]
+            joint[at : at + n] = size + len(own) - both[at : at + n]
+        take = np.flatnonzero((both * DENOMINATOR >= joint * NUMERATOR) & (joint > 0))
+        yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(take)), b.column("b").take(pa.array(take)), pa.array(both[take]), pa.array(joint[take])], names=["a", "b", "shared", "joint"])
 
 
 def _confirmed(candidates: DataFrame, texts: DataFrame) -> DataFrame:
@@ -249,6 +282,9 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = _confirmed(candidates, texts)
     if large.isEmpty():
         return sets, links
+    ids = large.select(F.col("rep").alias("doc_id")).distinct()
+    ids = F.broadcast(ids) if bounded_broadcast(ids, BROADCAST_IDS) else ids
+    fine = materialise(texts.join(ids, "doc_id", "left_semi").mapInArrow(_fine, "rep long, n long, sketch binary"), "fine")
     while True:
         found = components(links)
         member = large.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("path", "rep", F.coalesce("component", "rep").alias("label"))
@@ -256,17 +292,19 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         discard(found)
         main = member.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy("path").agg(F.max_by("label", F.struct("n", F.negative("label"))).alias("main"), F.count("*").alias("labels")).where("labels > 1")
         others = member.join(main, "path").where("label <> main").select("path", "rep", "label")
-        # a bounded choice of each node's others: the smallest of them by id, PROBE at most
+        # the smallest of each node's others by id, a bounded number
         rank = F.row_number().over(Window.partitionBy("path").orderBy("rep"))
-        others = materialise(others.withColumn("rank", rank).where(F.col("rank") <= PROBE), "others")
+        all_others = materialise(others, "others")
+        others = materialise(all_others.withColumn("rank", rank).where(F.col("rank") <= PROBE * CHUNKS), "others")
         if others.isEmpty():
             return sets, links
-        probe = others.join(reps, "rep").groupBy("path").agg(F.collect_list(F.struct("rep", "label", "n", "sketch")).alias("probe"))
-        done = large.select("path", "rep").join(others.select("path", "rep"), ["path", "rep"], "left_anti")
-        candidates = member.join(probe, "path").join(reps, "rep").select("rep", "label", "n", "sketch", "probe").mapInArrow(_probe_pairs, "a long, b long")
+        probe = others.join(fine, "rep").groupBy("path", F.floor((F.col("rank") - 1) / PROBE).alias("chunk")).agg(F.collect_list(F.struct("rep", "label", "n", "sketch")).alias("probe"))
+        candidates = member.join(probe, "path").join(fine, "rep").select("rep", "label", "n", "sketch", "probe").mapInArrow(_probe_pairs, "a long, b long")
         links = materialise(links.union(_confirmed(candidates.distinct().join(links, ["a", "b"], "left_anti"), texts)), "links")
+        if all_others.count() == others.count():
+            return sets, links
         # what was probed has been compared with its whole node and leaves it
-        large = materialise(done, "nodes")
+        large = materialise(large.select("path", "rep").join(others.select("path", "rep"), ["path", "rep"], "left_anti"), "nodes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import decontaminate
+from palisade.llm import decontaminate, neardup
 
 _MODULES = {
     "op1_decontaminate": decontaminate,
+    "op4_neardup": neardup,
 }
 
 
