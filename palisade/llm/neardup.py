@@ -299,7 +299,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if others.isEmpty():
             return sets, links
         probe = others.join(fine, "rep").groupBy("path", F.floor((F.col("rank") - 1) / PROBE).alias("chunk")).agg(F.collect_list(F.struct("rep", "label", "n", "sketch")).alias("probe"))
-        candidates = member.join(probe, "path").join(fine, "rep").select("rep", "label", "n", "sketch", "probe").mapInArrow(_probe_pairs, "a long, b long")
+        candidates = member.join(fine, "rep").join(probe, "path").select("rep", "label", "n", "sketch", "probe").mapInArrow(_probe_pairs, "a long, b long")
         links = materialise(links.union(_confirmed(candidates.distinct().join(links, ["a", "b"], "left_anti"), texts)), "links")
         if all_others.count() == others.count():
             return sets, links
