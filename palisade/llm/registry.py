@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import decontaminate, neardup, substrings
+from palisade.llm import decontaminate, neardup, packing, substrings
 
 _MODULES = {
     "op1_decontaminate": decontaminate,
     "op4_neardup": neardup,
+    "op5_packing": packing,
     "op6_substrings": substrings,
 }
 
