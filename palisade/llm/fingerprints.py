@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.kernels import Words, slices
+from palisade.llm.ranges import id_ranges, range_of
 
 #: One word in so many ends a mark, one paragraph in so many a section.
 MARK_WORDS = 3
 SECTION_PARAGRAPHS = 8
-#: Text of the documents that are compared with their neighbours in one task, and the most ranges there are.
+#: Text of the documents that are compared with their neighbours in one task.
 RANGE_BYTES = 12 << 20
-MOST_RANGES = 4096
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -137,7 +137,7 @@ def _deal(bounds: np.ndarray):
     def run(batches):
         for b in slices(batches):
             ids = np.asarray(b.column("doc_id").fill_null(int(bounds[0])))
-            range_ = np.maximum(np.searchsorted(bounds, ids, "right") - 1, 0)
+            range_ = range_of(bounds, ids)
             edge = np.flatnonzero(bounds[range_] == ids)
             take = pa.array(np.concatenate([np.arange(len(ids)), edge]))
             at = np.concatenate([range_, (range_[edge] - 1) % len(bounds)])
@@ -178,11 +178,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     Documents are dealt to ranges of ids of about RANGE_BYTES, sorted within them; the first document of each range is
     also sent to the range before, so neighbours always meet and each text is shuffled once."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("least")).first()
-    n = min(MOST_RANGES, max(1, (size.bytes or 0) // RANGE_BYTES))
-    least = size.least if size.least is not None else 0
-    cuts = texts.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * MOST_RANGES).alias("q")).first().q if n > 1 else []
-    bounds = np.unique(np.array([least, *(cuts or [])], np.int64))
+    bounds = id_ranges(texts, RANGE_BYTES)
     dealt = texts.mapInArrow(_deal(bounds), "range int, ahead int, doc_id long, text string")
     return dealt.repartition(_spread(texts.sparkSession, len(bounds)), "range").sortWithinPartitions("range", "ahead", "doc_id", "text").mapInArrow(_compare, SCHEMA)
 
