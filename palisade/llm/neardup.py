@@ -123,6 +123,21 @@ def _roots(depth: int):
     return run
 
 
+def _paths(batches):
+    """All paths of the last depth of each document, tree by tree."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        m = _matrix(b.column("sketch"))
+        out = np.empty((len(m), TREES), np.uint64)
+        for t, seed in enumerate(_SEEDS):
+            p = np.full(len(m), seed)
+            for _ in range(DEPTHS[-1]):
+                p = _branch(p, m)
+            out[:, t] = p
+        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([x.tobytes() for x in out], pa.binary())], names=["rep", "paths"])
+
+
 def _deeper(steps: int):
     def run(batches):
         for b in batches:
@@ -157,7 +172,8 @@ def _members(column: pa.Array, kind: type = np.uint16, width: int = COORDINATES)
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten()
     offsets = np.asarray(column.offsets)
-    return offsets - offsets[0], {f.name: (_matrix(flat.field(f.name), kind, width) if f.name == "sketch" else np.asarray(flat.field(f.name))) for f in flat.type}
+    kinds = {"sketch": (kind, width), "paths": (np.uint64, TREES)}
+    return offsets - offsets[0], {f.name: (_matrix(flat.field(f.name), *kinds[f.name]) if f.name in kinds else np.asarray(flat.field(f.name))) for f in flat.type}
 
 
 def _leaf_pairs(batches):
@@ -180,12 +196,14 @@ def _leaf_pairs(batches):
 
 
 def _probe_pairs(batches):
-    """Candidates between a member and the probed documents of its node that are in other components."""
+    """Candidates between a member and the probed documents of its node that are in other components. A pair that
+    shares several nodes is a candidate in that of its first common tree only."""
     for b in batches:
         if not b.num_rows:
             continue
         offsets, c = _members(b.column("probe"), np.uint8, FINE)
         m, n, ids, label = _matrix(b.column("sketch"), np.uint8, FINE), np.asarray(b.column("n")), np.asarray(b.column("rep")), np.asarray(b.column("label"))
+        paths, here = _matrix(b.column("paths"), np.uint64, TREES), np.asarray(b.column("path")).view(np.uint64)
         row = np.repeat(np.arange(len(ids)), np.diff(offsets))
         other = np.flatnonzero(label[row] != c["label"])
         for at in range(0, len(other), 1 << 14):
@@ -194,6 +212,9 @@ def _probe_pairs(batches):
             keep = np.minimum(n[r], c["n"][o]) * DENOMINATOR >= np.maximum(n[r], c["n"][o]) * NUMERATOR
             o, r = o[keep], r[keep]
             keep = (m[r] == c["sketch"][o]).sum(1) >= FINE_EQUAL
+            r, o = r[keep], o[keep]
+            common = paths[r] == c["paths"][o]
+            keep = paths[r, common.argmax(1)] == here[r]
             x, y = ids[r[keep]], c["rep"][o[keep]]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -284,7 +305,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return sets, links
     ids = large.select(F.col("rep").alias("doc_id")).distinct()
     ids = F.broadcast(ids) if bounded_broadcast(ids, BROADCAST_IDS) else ids
-    fine = materialise(texts.join(ids, "doc_id", "left_semi").mapInArrow(_fine, "rep long, n long, sketch binary"), "fine")
+    fine = materialise(texts.join(ids, "doc_id", "left_semi").mapInArrow(_fine, "rep long, n long, sketch binary").join(reps.join(ids.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").mapInArrow(_paths, "rep long, paths binary"), "rep"), "fine")
     while True:
         found = components(links)
         member = large.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("path", "rep", F.coalesce("component", "rep").alias("label"))
@@ -298,8 +319,8 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         others = materialise(all_others.withColumn("rank", rank).where(F.col("rank") <= PROBE * CHUNKS), "others")
         if others.isEmpty():
             return sets, links
-        probe = others.join(fine, "rep").groupBy("path", F.floor((F.col("rank") - 1) / PROBE).alias("chunk")).agg(F.collect_list(F.struct("rep", "label", "n", "sketch")).alias("probe"))
-        candidates = member.join(fine, "rep").join(probe, "path").select("rep", "label", "n", "sketch", "probe").mapInArrow(_probe_pairs, "a long, b long")
+        probe = others.join(fine, "rep").groupBy("path", F.floor((F.col("rank") - 1) / PROBE).alias("chunk")).agg(F.collect_list(F.struct("rep", "label", "n", "sketch", "paths")).alias("probe"))
+        candidates = member.join(fine, "rep").join(probe, "path").select("path", "rep", "label", "n", "sketch", "paths", "probe").mapInArrow(_probe_pairs, "a long, b long")
         links = materialise(links.union(_confirmed(candidates.distinct().join(links, ["a", "b"], "left_anti"), texts)), "links")
         if all_others.count() == others.count():
             return sets, links
