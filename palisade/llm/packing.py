@@ -13,6 +13,7 @@ rows are packed as often as they occur; an empty table gives no piece; extra col
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -35,53 +36,60 @@ K1, B = 1.2, 0.75
 #: A term in more than this share of the documents says nothing about a document and isn't indexed.
 COMMON = 0.1
 VOCABULARY = 1 << 16
-CACHED_UNITS = 400_000
 
-#: Pieces that the pre-tokeniser never joins: a run of other than white space with the space before it, or white space.
-UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Characters on whose being white space regular expression engines differ; texts with them take the plain way.
-ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
+ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 
+_LOADED: dict[str, ByteTokenizer] = {}
 
-class CachedTokenizer:
-    """Ids of texts. Units recur, so their ids are kept in a bounded table; ids are those of the whole text."""
+
+class ByteTokenizer:
+    """Ids of texts by a byte-level BPE file of the tokenizers library.
+
+    Where the file's merges stand in the order of their ids, its vocabulary serves as a table of ranks for tiktoken,
+    which gives the same ids several times faster; all else is left to tokenizers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.ids: dict[str, list[int]] = {}
-
-    def _plain(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.ids) > CACHED_UNITS:
-            self.ids.clear()
-        known, out, units = self.ids, [], []
-        for t in texts:
-            units.append(None if ODD.search(t) else UNIT.findall(t))
-        new = list({u for own in units if own for u in own if u not in known})
-        for u, ids in zip(new, self._plain(new), strict=True):
-            known[u] = ids
-        for t, own in zip(texts, units, strict=True):
-            flat: list[int] = []
-            if own is None:
-                flat = self._plain([t])[0]
-            else:
-                for ids in map(known.__getitem__, own):
-                    flat += ids
-            out.append(np.array(flat, np.uint16))
-        return out
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.fast = self._ranked(path)
+
+    @staticmethod
+    def _ranked(path: str):
+        import tiktoken
+
+        with open(path) as f:
+            spec = json.load(f)
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model.get("merges", [])]
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec.get("normalizer") or None in merged or merged != sorted(merged):
+            return None
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*printable}))}
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is None or ODD.search(text):
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint16)
+        return self.fast.encode_to_numpy(text).astype(np.uint16)
+
+
+def loaded(path: str) -> ByteTokenizer:
+    """The tokenizer of a file, read once in a process."""
+    if path not in _LOADED:
+        _LOADED[path] = ByteTokenizer(path)
+    return _LOADED[path]
 
 
 def _tokenise(path: str):
     def run(batches):
-        tokenizer = CachedTokenizer(path)
-        for b in slices(batches, most=1 << 20):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            ids = [np.append(x, np.uint16(END)).tobytes() for x in tokenizer.encode(texts)]
+        tokenizer = loaded(path)
+        for b in slices(batches):
+            ids = [np.append(tokenizer.encode(t or ""), np.uint16(END)).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run
@@ -89,14 +97,13 @@ def _tokenise(path: str):
 
 def _frequencies(batches):
     df, documents, total = np.zeros(VOCABULARY, np.int64), 0, 0
-    seen = np.full(VOCABULARY, -1, np.int64)
+    seen = np.zeros(VOCABULARY, bool)
     for b in batches:
-        for x in b.column("ids"):
-            ids = np.frombuffer(x.as_buffer(), np.uint16)
-            seen[ids] = documents
-            df[np.flatnonzero(seen == documents)] += 1 if len(ids) > 4096 else 0
-            if len(ids) <= 4096:
-                df[np.unique(ids)] += 1
+        for x in b.column("ids").to_pylist():
+            ids = np.frombuffer(x, np.uint16)
+            seen[ids] = True
+            df += seen
+            seen[ids] = False
             documents += 1
             total += len(ids)
     term = np.flatnonzero(df)
