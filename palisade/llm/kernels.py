@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = (1 << 20) - 4096
 
 #: Bytes that separate words: space and 0x09 to 0x0D.
 WHITE = np.zeros(256, bool)

@@ -287,7 +287,8 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = texts.where("text is not null")
 
     def sized(rows: DataFrame) -> DataFrame:
-        size = rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
+        # written, as are other sides of joins below: Spark splits skewed partitions only of plain exchanges
+        size = materialise(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
         return materialise(rows.join(size, "path"), "nodes")
 
     level, candidates = sized(reps.mapInArrow(_roots(DEPTHS[0]), "rep long, path long")), None
@@ -298,7 +299,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if after is None or large.isEmpty():
             break
         level = sized(large.join(reps, "rep").mapInArrow(_deeper(after - depth), "rep long, path long"))
-    hub = large.groupBy("path").agg(F.min("rep").alias("a"))
+    hub = materialise(large.groupBy("path").agg(F.min("rep").alias("a")), "hubs")
     candidates = candidates.union(large.join(hub, "path").where("rep <> a").select("a", F.col("rep").alias("b")))
     links = _confirmed(candidates, texts)
     if large.isEmpty():
@@ -312,6 +313,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         member = materialise(member, "members")
         discard(found)
         main = member.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy("path").agg(F.max_by("label", F.struct("n", F.negative("label"))).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+        main = materialise(main, "main")
         others = member.join(main, "path").where("label <> main").select("path", "rep", "label")
         # the smallest of each node's others by id, a bounded number
         rank = F.row_number().over(Window.partitionBy("path").orderBy("rep"))

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import decontaminate, neardup, packing, substrings
+from palisade.llm import backoff, decontaminate, fingerprints, html_text, neardup, packing, substrings, toxicity
 
 _MODULES = {
     "op1_decontaminate": decontaminate,
+    "op3_fingerprints": fingerprints,
     "op4_neardup": neardup,
     "op5_packing": packing,
     "op6_substrings": substrings,
+    "op8_html_text": html_text,
+    "op9_toxicity": toxicity,
+    "op10_backoff": backoff,
 }
 
 

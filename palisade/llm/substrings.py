@@ -53,7 +53,7 @@ def _slide(x: np.ndarray, width: int, low: bool) -> np.ndarray:
 
 
 def winnow(w: Words, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
-    """Words at which picked phrases start, and the phrases' hashes: every window of a row holds one picked phrase."""
+    """Words at which picked phrases start, and the phrases' hashes: every window of a row holds an occurrence of a picked phrase."""
     n = len(w.start)
     start, _ = w.windows(phrase)
     h = np.full(n, 2**64 - 1, np.uint64)
@@ -66,6 +66,12 @@ def winnow(w: Words, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.nda
     # a phrase is picked if it is the least of some window that holds it
     most = _slide(np.concatenate([np.zeros(width - 1, np.uint64), least]), width, False)[:n]
     at = np.flatnonzero((most == h) & (most > 0))
+    # the first of equal phrases in a row: the automaton finds the others
+    row = np.searchsorted(w.first, at, "right")
+    order = np.lexsort((at, h[at], row))
+    same = np.zeros(len(at), bool)
+    same[1:] = (h[at][order][1:] == h[at][order][:-1]) & (row[order][1:] == row[order][:-1])
+    at = np.sort(at[order][~same])
     return at, h[at]
 
 
@@ -147,14 +153,15 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = prepared.drop("phrases", "places").join(classes, ["k1", "k2"])
     own = prepared.where(F.col("n_words") >= WINDOW).join(classes.withColumnRenamed("first", "doc_id"), ["k1", "k2", "doc_id"], "left_semi")
     picked = own.select("doc_id", "k1", F.explode(F.arrays_zip("phrases", "places")).alias("p")).select("doc_id", "k1", F.col("p.phrases").alias("phrase"), F.col("p.places").alias("place"))
-    recurring = picked.groupBy("phrase").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("phrase")
+    # written, so that the joins below read plain exchanges on both sides, whose skewed partitions Spark splits
+    recurring = materialise(picked.groupBy("phrase").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("phrase"), "recurring")
     places = materialise(picked.join(recurring, "phrase", "left_semi").groupBy("doc_id", "k1").agg(F.collect_list("place").alias("places")), "places")
 
     ids = _near(places.select("doc_id").distinct())
     keyed = texts.where("text is not null").join(ids, "doc_id", "left_semi").mapInArrow(_keyed, "doc_id long, k1 long, text string")
     located = materialise(keyed.dropDuplicates(["doc_id", "k1"]).join(places, ["doc_id", "k1"]).select("doc_id", "k1", "text", "places").mapInArrow(_locate, "doc_id long, k1 long, starts array<int>, windows array<long>"), "windows")
     windows = located.select("doc_id", "k1", F.explode(F.arrays_zip("starts", "windows")).alias("w")).select("doc_id", "k1", F.col("w.starts").alias("start"), F.col("w.windows").alias("window"))
-    holder = windows.groupBy("window").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("most")).where("holder < most").select("window", "holder")
+    holder = materialise(windows.groupBy("window").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("most")).where("holder < most").select("window", "holder"), "holders")
     gone = materialise(windows.join(holder, "window").where("doc_id > holder").groupBy("doc_id", "k1").agg(F.collect_list("start").alias("starts")), "removed")
 
     ids = _near(gone.select("doc_id").distinct())
