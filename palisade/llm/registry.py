@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import backoff, decontaminate, fingerprints, html_text, neardup, packing, substrings, toxicity
+from palisade.llm import backoff, decontaminate, fingerprints, html_text, lines, neardup, packing, quality, substrings, toxicity
 
 _MODULES = {
     "op1_decontaminate": decontaminate,
+    "op2_quality": quality,
     "op3_fingerprints": fingerprints,
     "op4_neardup": neardup,
     "op5_packing": packing,
     "op6_substrings": substrings,
+    "op7_lines": lines,
     "op8_html_text": html_text,
     "op9_toxicity": toxicity,
     "op10_backoff": backoff,
