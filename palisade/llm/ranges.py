@@ -10,10 +10,11 @@ MOST_RANGES = 4096
 
 
 def id_ranges(texts: DataFrame, range_bytes: int) -> np.ndarray:
-    """First ids of the ranges, ascending and all of them present in the table (0 if it is empty). At most
-    MOST_RANGES, whatever the table's size: beyond, ranges grow."""
+    """First ids of the ranges, ascending and all of them present in the table (0 if it is empty). There are as many as
+    shuffle partitions at least, so that small tables are spread too, and MOST_RANGES at most: beyond, ranges grow."""
     size = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("least")).first()
-    n = min(MOST_RANGES, max(1, (size.bytes or 0) // range_bytes))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(MOST_RANGES, max(parts, (size.bytes or 0) // range_bytes))
     least = size.least if size.least is not None else 0
     cuts = texts.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * MOST_RANGES).alias("q")).first().q if n > 1 else []
     return np.unique(np.array([least, *(cuts or [])], np.int64))
