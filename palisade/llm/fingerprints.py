@@ -178,7 +178,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     Documents are dealt to ranges of ids of about RANGE_BYTES, sorted within them; the first document of each range is
     also sent to the range before, so neighbours always meet and each text is shuffled once."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds = id_ranges(texts, RANGE_BYTES)
+    bounds, _ = id_ranges(texts, RANGE_BYTES)
     dealt = texts.mapInArrow(_deal(bounds), "range int, ahead int, doc_id long, text string")
     return dealt.repartition(_spread(texts.sparkSession, len(bounds)), "range").sortWithinPartitions("range", "ahead", "doc_id", "text").mapInArrow(_compare, SCHEMA)
 
