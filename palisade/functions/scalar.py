@@ -324,9 +324,8 @@ def safe_relative(path: Column) -> Column:
 
 
 def identify_license(head: Column) -> Column:
-    """The license that the head of a text names; the first that fits, in order."""
-    t = F.lower(head)
-    has = t.contains
+    """The license that the head of a text, in lower case, names; the first that fits, in order."""
+    has = head.contains
     # Phrases by license, in order of precedence.
     return choose(
         [
@@ -364,10 +363,7 @@ def lines_kept(text: Column) -> Column:
 
 def lines_scanned(text: Column) -> Column:
     """Lines without their ends, no empty one after the last."""
-    a = F.split(text, "\r?\n", -1)
-    a = F.when(F.element_at(a, -1) == "", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
-    n = F.size(a)
-    return F.when(n > 0, F.concat(F.slice(a, F.lit(1), n - 1), F.array(F.regexp_replace(F.element_at(a, -1), "\r$", "")))).otherwise(a)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"(\r?\n|\r)\z", ""), "\r?\n", -1))
 
 
 def context(text: Column, line: Column, radius: int) -> Column:
