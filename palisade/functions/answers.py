@@ -96,7 +96,7 @@ def secret_verdict(text: Column) -> Column:
 def complete(prompts, completer, answer: str = "answer"):
     """prompts (.., prompt) with the answers of an injected completer, a picklable function of a list of texts. One that
     raises gives null answers."""
-    schema = prompts.schema.add(answer, "string")
+    schema = T.StructType([*prompts.schema.fields, T.StructField(answer, T.StringType())])
 
     def run(frames):
         for f in frames:
