@@ -39,6 +39,28 @@ RULES = (
     Rule("CORS allow all", "CWE-346", 2, "config", r"""(?i)(Access-Control-Allow-Origin|allowedOrigins?)\s*[=:]\s*["']\*["']"""),
 )
 
+_QUOTES = ('"', "'")
+#: Texts of which, in lower case, one of each group stands in whatever the rule matches: a cheap test before the rule.
+NEEDS = {
+    "Hardcoded secret": (("password", "secret", "api", "token", "credential"), _QUOTES),
+    "AWS access key": (("akia",),),
+    "Private key block": (("-----begin ",),),
+    "JWT secret": (("jwt",), _QUOTES),
+    "SQL string concatenation": (("+",), _QUOTES, ("select", "insert", "update", "delete", "from", "where")),
+    "SQL f-string/format": (("{",), ('f"', "f'")),
+    "Shell command with concat": (("+",), ("os.system", "subprocess.call", "exec.command", "child_process.exec")),
+    "Shell=True": (("shell",), ("true",)),
+    "innerHTML assignment": ((".innerhtml",),),
+    "document.write": (("document.write",),),
+    "Weak hash (MD5)": (("md5",),),
+    "Weak hash (SHA1)": (("sha1",),),
+    "ECB mode": (("ecb",),),
+    "Math.random for security": (("math.random",),),
+    "Path concatenation": (("+",), ("(",), ("read", "write", "open")),
+    "Debug mode enabled": (("debug",),),
+    "CORS allow all": (("access-control-allow-origin", "allowedorigin"), ("*",)),
+}
+
 #: Own rules for secrets in public formats: name, regular expression, group that holds the secret.
 SECRET_RULES = (
     ("aws-access-key-id", r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b", 1),
@@ -70,11 +92,21 @@ def prefilter(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     severity, category.
 
     No rule is anchored, so one that matches a line also matches its text: files without any match, nearly all, are
-    dropped before lines are split. Rules are literals and compile once."""
-    any_ = F.lit(False)
-    for r in rules:
-        any_ = any_ | F.col("text").rlike(java(r.regex))
-    lines = files.where(any_).select(*[c for c in files.columns if c != "text"], F.posexplode(S.lines_kept(F.col("text"))).alias("_pos", "_line")).where(~comment(F.col("_line")))
+    dropped before lines are split, most of them by plain searches for what a match needs. Rules are literals and
+    compile once."""
+
+    def matched(low: Column) -> Column:
+        out = F.lit(False)
+        for r in rules:
+            needed = F.lit(True)
+            for group in NEEDS.get(r.name, ()):
+                needed = needed & S.contains_any(low, group)
+            # a long s folds to s but is a letter of its own in lower case
+            out = out | (needed | low.contains("\u017f")) & F.col("text").rlike(java(r.regex))
+        return out
+
+    # the lambda's variable holds the lower-cased text, which a plain filter would compute for each search
+    lines = files.where(F.exists(F.array(F.lower("text")), matched)).select(*[c for c in files.columns if c != "text"], F.posexplode(S.lines_kept(F.col("text"))).alias("_pos", "_line")).where(~comment(F.col("_line")))
     hits = F.array_compact(F.array(*[F.when(F.col("_line").rlike(java(r.regex)), F.lit(i)) for i, r in enumerate(rules)]))
     table = F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.cwe).alias("cwe"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category")) for r in rules])
     out = lines.withColumn("ordinal", F.explode(hits)).withColumn("_rule", F.element_at(table, F.col("ordinal") + 1))

@@ -22,9 +22,19 @@ LOCKFILES = (
 MAX_LOCKFILE = 10 << 20
 
 
+#: Inputs of fewer bytes, which may be one row group, are dealt to all cores before they are searched.
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL_BYTES:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as files: path (source/doc_id), text."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     return d.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
 
 
