@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,6 +41,12 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def columns(df: DataFrame) -> dict[str, np.ndarray]:
+    """The number columns of a table of bounded size as arrays on the driver, without rows as Python objects."""
+    table = df.toArrow()
+    return {name: table[name].to_numpy() for name in table.column_names}
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> bool:
     """Whether df has at most max_rows rows, so that a broadcast of it has a known size."""
     return df.limit(max_rows + 1).count() <= max_rows
