@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.kernels import Words, slices
-from palisade.llm.ranges import id_ranges, range_of
+from palisade.llm.ranges import even_keys, id_ranges, range_of
 
 #: One word in so many ends a mark, one paragraph in so many a section.
 MARK_WORDS = 3
@@ -131,7 +131,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def _deal(bounds: np.ndarray):
+def _deal(bounds: np.ndarray, keys: np.ndarray):
     """Each document to the range of ids that holds it, and the first of each range to the range before, too."""
 
     def run(batches):
@@ -142,7 +142,7 @@ def _deal(bounds: np.ndarray):
             take = pa.array(np.concatenate([np.arange(len(ids)), edge]))
             at = np.concatenate([range_, (range_[edge] - 1) % len(bounds)])
             ahead = np.concatenate([np.zeros(len(ids), np.int32), np.ones(len(edge), np.int32)])
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(ahead), b.column("doc_id").take(take), b.column("text").take(take)], names=["range", "ahead", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at].astype(np.int32)), pa.array(ahead), b.column("doc_id").take(take), b.column("text").take(take)], names=["range", "ahead", "doc_id", "text"])
 
     return run
 
@@ -179,13 +179,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     also sent to the range before, so neighbours always meet and each text is shuffled once."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bounds, _ = id_ranges(texts, RANGE_BYTES)
-    dealt = texts.mapInArrow(_deal(bounds), "range int, ahead int, doc_id long, text string")
-    return dealt.repartition(_spread(texts.sparkSession, len(bounds)), "range").sortWithinPartitions("range", "ahead", "doc_id", "text").mapInArrow(_compare, SCHEMA)
-
-
-def _spread(spark: SparkSession, n: int) -> int:
-    """Partitions for n keys: as many, at least one for each core."""
-    return max(n, spark.sparkContext.defaultParallelism)
+    parts = max(len(bounds), docs.sparkSession.sparkContext.defaultParallelism)
+    dealt = texts.mapInArrow(_deal(bounds, even_keys(docs.sparkSession, len(bounds), parts)), "range int, ahead int, doc_id long, text string")
+    return dealt.repartition(parts, "range").sortWithinPartitions("range", "ahead", "doc_id", "text").mapInArrow(_compare, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.llm.scratch import columns
+
 MOST_RANGES = 4096
+MOST_KEYS = 20_000
 
 
 def id_ranges(texts: DataFrame, range_bytes: int) -> tuple[np.ndarray, int]:
@@ -20,5 +23,18 @@ def id_ranges(texts: DataFrame, range_bytes: int) -> tuple[np.ndarray, int]:
     return np.unique(np.array([least, *(cuts or [])], np.int64)), size.bytes or 0
 
 
+def even_keys(spark: SparkSession, count: int, parts: int) -> np.ndarray:
+    """Keys for count groups such that a shuffle by key deals them evenly to parts partitions, the first to the first."""
+    if count > MOST_KEYS:  # so many that their hashes even out
+        return np.arange(count)
+    n = 4 * count + 30 * parts
+    at = columns(spark.range(n).select(F.col("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("at")))
+    at = at["at"][np.argsort(at["id"])]
+    order = np.argsort(at, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n) - np.searchsorted(at[order], at[order])
+    return np.lexsort((at, rank))[:count]
+
+
 def range_of(bounds: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.maximum(np.searchsorted(bounds, ids, "right") - 1, 0)
