@@ -206,3 +206,50 @@ def test_rules_are_joined_without_python(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("path"), "text")
     plan = rules.prefilter(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from palisade.cli import main
+
+    root = tmp_path / "r"
+    root.mkdir()
+    (root / "a.py").write_text('password = "abcdefgh1"\n')
+    (root / "requirements.txt").write_text("requests==2.0\n")
+    assert main(["scan", str(root), "--output", str(tmp_path / "o.json")], spark) == 1
+    assert '"rule_id":"palisade.prefilter.hardcoded_secret"' in (tmp_path / "o.json").read_text() and (tmp_path / "o.json").stat().st_mode & 0o777 == 0o600
+    (tmp_path / "c.json").write_text('{"sast": false, "secrets": true, "unknown": 1}')
+    assert main(["scan", str(root), "--config", str(tmp_path / "c.json"), "--format", "sarif"], spark) == 0
+    (tmp_path / "b.json").write_text('{"require": [{"rule_id": "x", "file": "y"}]}')
+    assert main(["scan", str(root), "--config", str(tmp_path / "c.json"), "--baseline", str(tmp_path / "b.json")], spark) == 1
+    assert main(["scan", str(root), "--format", "nope"], spark) == 2
+    assert main(["sbom", str(root)], spark) == 0 and "pkg:pypi/requests@2.0" in capsys.readouterr().out
+    assert main(["validate-rules"]) == main(["version"]) == 0
+
+
+def test_assistant(spark):
+    from palisade.operators import assistant
+
+    code = spark.createDataFrame([("a.py", 'x\npassword = "abcdefgh1"\ny')], "path string, text string")
+    f = P.process([producers.source_findings(code, Config())], Config())
+    prompt = assistant.triage_prompts(f, code).first().prompt
+    assert "abcdefgh1" not in prompt and "[REDACTED]" in prompt and "Kind: secret" in prompt
+    answers = assistant.triaged(f, code, lambda prompts: ["VERDICT: TRUE_POSITIVE\nCONFIDENCE: HIGH" for _ in prompts])
+    assert P.merge_triage(f, answers).first().verdict == "TRUE_POSITIVE"
+
+    def broken(prompts):
+        raise RuntimeError
+
+    assert assistant.triaged(f, code, broken).first().verdict == "UNKNOWN"
+    said = "**Vulnerability Level**: HIGH\n**Issue**: SQL injection\n**Location**: b.py:12\n**Risk**: CWE-89"
+    rows = [("a.py", "python", ["a.py", "lib/b.py"], said), ("Dockerfile", "dockerfile", ["Dockerfile"], said), ("c.py", "python", ["c.py"], "mumble"), ("d.py", "python", ["d.py"], None), ("e.py", "python", ["e.py"], "NO_FINDINGS")]
+    a = spark.createDataFrame(rows, "path string, language string, files array<string>, answer string")
+    got = sorted((r.type, r.rule_id, r.file_path, r.start_line, r.severity, r.cwe, r.tags) for r in assistant.answered_findings(a, Config()).collect())
+    assert got == [("dockerfile", "palisade.dockerfile.sql_injection", "Dockerfile", 12, 3, ["CWE-89"], ["dockerfile", "ai"]), ("sast", "palisade.sast.ai.sql_injection", "lib/b.py", 12, 3, ["CWE-89"], ["sast", "ai"])]
+    assert {r.path: r.done for r in assistant.succeeded(a).collect()} == {"a.py": True, "Dockerfile": True, "c.py": False, "d.py": False, "e.py": True}
+
+
+def test_code_line(spark):
+    from palisade.operators.assistant import code_line
+
+    text = F.lit("  func x() {\n\n  y\nz")
+    assert [one(spark, code_line(text, F.lit(n))) for n in (1, 2, 3, 4, 5, 0)] == ["func x() {\ny", "", "y", "z", "", ""]
