@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.llm import backoff, decontaminate, fingerprints, html_text, lines, neardup, packing, quality, substrings, toxicity
+from palisade.llm.scratch import small_batches
 
 _MODULES = {
     "op1_decontaminate": decontaminate,
@@ -22,8 +23,16 @@ _MODULES = {
 }
 
 
+def _query(module) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return module.query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: module.query for name, module in _MODULES.items()}
+    return {name: _query(module) for name, module in _MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,9 +22,21 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Bytes of an Arrow batch between Spark and Python, where the session has Spark's default of 64 MB.
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: batches of 64 MB, held on both sides by every task, would take much of an executor's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_root(spark)}/palisade/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
