@@ -331,11 +331,11 @@ _ADVISORIES = [
 ]
 
 
-@query("sca_match", "SELECT * FROM (VALUES ('GHSA-1', 'web/package-lock.json', 4, 9.5, 'CVE-2021-1', '4.17.21', 2), ('GHSA-1', 'api/package-lock.json', 4, 9.5, 'CVE-2021-1', '4.17.21', 2), ('GHSA-2', 'web/package-lock.json', 3, 7.5, '', '4.18.0', 0), ('GHSA-2', 'api/package-lock.json', 3, 7.5, '', '4.18.0', 0), ('GHSA-4', 'Gemfile.lock', 2, 4.0, '', '6.0.1', 0)) AS t(rule_id, file_path, severity, cvss_score, cve, fixed_version, refs)")
+@query("sca_match", "SELECT rule_id, file_path, severity, CAST(cvss_score AS DOUBLE) AS cvss_score, cve, fixed_version, refs FROM (VALUES ('GHSA-1', 'web/package-lock.json', 4, 9.5, 'CVE-2021-1', '4.17.21', 2), ('GHSA-1', 'api/package-lock.json', 4, 9.5, 'CVE-2021-1', '4.17.21', 2), ('GHSA-2', 'web/package-lock.json', 3, 7.5, '', '4.18.0', 0), ('GHSA-2', 'api/package-lock.json', 3, 7.5, '', '4.18.0', 0), ('GHSA-4', 'Gemfile.lock', 2, 4.0, '', '6.0.1', 0)) AS t(rule_id, file_path, severity, cvss_score, cve, fixed_version, refs)")
 def _(s, d):
     more = s.createDataFrame([("GHSA-4", _fixed("6.0.1")), ("GHSA-1", _fixed("9"))], "id string, affected array<struct<ranges:array<struct<events:array<struct<fixed:string>>>>>>")
     m = producers.advisory_matches(_PACKAGES.df(s), s.createDataFrame(_ADVISORIES, _ADVISORY))
-    return producers.package_findings(m, more).select("rule_id", "file_path", "severity", F.col("cvss_score").cast("decimal(3,1)").alias("cvss_score"), "cve", "fixed_version", F.size("references").alias("refs"))
+    return producers.package_findings(m, more).select("rule_id", "file_path", "severity", "cvss_score", "cve", "fixed_version", F.size("references").alias("refs"))
 
 
 _VECTORS = [("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:N", 4, 9.5), ("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:N/A:N", 3, 8.0), ("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:N/A:N", 4, 9.5), ("cvss:3.1/AV:N/AC:L/PR:L/UI:N/S:U/C:L/I:L/A:N", 2, 6.5), ("CVSS:3.1/AV:L/AC:H", 1, 3.5), ("AV:N/C:H", None, None)]
@@ -663,7 +663,7 @@ def _(s, d):
     return slices.attribute(t).select("location", "path")
 
 
-@query("webhook_requests", "SELECT * FROM (VALUES ('pull_request', 'o/r', 's1', 7), ('push', 'o/r', 's2', NULL)) AS t(kind, repository, sha, number)")
+@query("webhook_requests", "SELECT kind, repository, sha, CAST(number AS BIGINT) AS number FROM (VALUES ('pull_request', 'o/r', 's1', 7), ('push', 'o/r', 's2', NULL)) AS t(kind, repository, sha, number)")
 def _(s, d):
     from palisade.streaming import webhook
 
