@@ -1,15 +1,17 @@
 """LM scoring with a weighted backoff automaton.
 
-Frequent words are letters of their own; all others are letters by shape (accents, length, how they end), and a rare
-word's probability is its letter's times its own share of the letter's tokens, with a share for unseen words. Counts
-of letter trigrams, bigrams and single letters are summed over all training documents by a sharded count and smoothed
-by absolute discounting. Contexts become states; what a context doesn't list follows its failure arc to the next
-shorter one at the cost of its backoff weight. A document's log-probability is accumulated in one left-to-right
-traversal that carries the state; the documents of a slice are traversed in step.
-
-Word counts, which the base score and the rare words need for every word of every document, are joined by hash: blocks
-of documents send their distinct words, get the counts back and meet their texts again in a grouped step of bounded
-size. A letter or n-gram needs a relative frequency, so the automaton is bounded however large the corpus.
+Words that training documents hold LEAST times are letters of their own; all others are letters by shape (accents,
+length, how they end), and a rare word's probability is its letter's times its own share of the letter's tokens, with a
+share for unseen words. Letter trigrams and bigrams are kept from LEAST training occurrences, whatever the corpus's
+size, and smoothed by absolute discounting. Contexts become states; what a context doesn't list follows its failure arc
+to the next shorter one at the cost of its backoff weight. A document's log-probability is accumulated in one
+left-to-right traversal that carries the state; the documents of a block are traversed in step.
+
+Nothing of the model is held in one place. Word counts are joined by hash: blocks of documents send their distinct words
+and get the counts back. Grams follow in three rounds in which each block sends what it knows, packed by shards of the
+grams' hashes, and gets back what the shards have summed: bigrams; then trigrams of kept bigrams, with each letter's
+discounted counts after it; then those after each bigram. From these a block builds the states and arcs of the automaton
+that its own documents can reach. Blocks and shards are of bounded size; their number grows with the corpus.
 
 Edge cases: null and empty texts are the end token alone; without training documents every count is 0; repeated rows
 count and are scored as often as they occur; extra columns are ignored.
@@ -17,6 +19,8 @@ count and are scored as often as they occur; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,16 +28,16 @@ from pyspark.sql import functions as F
 
 from palisade.llm.kernels import Words, crc_of_id, groups, mix, slices
 from palisade.llm.ranges import even_keys, id_ranges, range_of
-from palisade.llm.scratch import columns, materialise
+from palisade.llm.scratch import discard, materialise, release
 
 HELD_OUT = 10
 ADD = 0.1
-#: A word with this share of the training tokens is a letter: 20,000 words at most.
-LETTER_SHARE = 5e-5
-#: An n-gram needs this share of the training tokens, and two occurrences: a million of an order at most.
-GRAM_SHARE = {2: 1e-6, 3: 2e-6}
+#: Training occurrences that make a word a letter and that an n-gram needs, at every size of the corpus.
+LEAST = 2
 DISCOUNT = 0.75
 BLOCK_BYTES = 12 << 20
+#: Grams, counted once per block, of a shard.
+SHARD_GRAMS = 2_000_000
 #: Distinct words that a task holds before it sends them.
 HELD_WORDS = 1_500_000
 
@@ -158,38 +162,191 @@ class Alphabet:
         return np.where(known, FIRST_WORD + at, shapes(w)), ~known
 
 
-def _count_grams(alphabet):
-    """Trigrams, bigrams and letters of training documents, counted per slice: order, key, n."""
-
-    def run(batches):
-        letters = alphabet.value
-        for b in slices(batches):
-            train = np.flatnonzero(~_held_out(b.column("doc_id")))
-            if not len(train):
-                continue
-            w = Words(b.column("text").take(pa.array(train)), lower=True)
-            own, _ = letters.letters(w)
-            rows = len(w.counts)
-            # each row: two starts, its letters, the end
-            size = w.counts + 3
-            first = np.cumsum(size) - size
-            c = np.full(int(size.sum()), START, np.int64)
-            c[np.arange(len(own)) + np.repeat(first + 2 - w.first[:-1], w.counts)] = own
-            c[first + size - 1] = END
-            at = np.ones(len(c), bool)
-            at[first] = at[first + 1] = False
-            at = np.flatnonzero(at)
-            for order, key in ((3, (c[at - 2] << 32) | (c[at - 1] << 16) | c[at]), (2, (c[at - 1] << 16) | c[at]), (1, c[at])):
-                k, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), order, np.int32)), pa.array(k), pa.array(n)], names=["order", "key", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([rows], pa.int64())], names=["order", "key", "n"])
-
-    return run
+PACKED = "shard int, block int, kind int, data binary"
+#: Kinds of packed rows: a block's documents, discounted counts after letters, bigrams, trigrams, discounted counts after bigrams.
+DOCUMENTS, AFTER_LETTER, BIGRAM, TRIGRAM, AFTER_BIGRAM = range(5)
+#: Bits of a hash that aren't sent: of 10 billion grams, one in some 7 million shares the other 56 with another.
+UNUSED = np.uint64(8)
+#: Bits of a letter's number in a block's own keys.
+WIDE = 31
+_BIGRAM, _TRIGRAM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _pack(arrays: dict[str, np.ndarray]) -> bytes:
+    """Arrays by bytes of equal weight, which compress well. Those named h ascend and are kept as differences."""
+    planes = {k: np.diff(x, prepend=x.dtype.type(0)) if k == "h" else x for k, x in arrays.items()}
+    raw = pickle.dumps({k: (x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)) for k, x in planes.items()}, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> dict[str, np.ndarray]:
+    planes = pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True))
+    arrays = {k: np.ascontiguousarray(x.T).reshape(-1).view(kind) for k, (kind, x) in planes.items()}
+    return {k: np.cumsum(x, dtype=x.dtype) if k == "h" else x for k, x in arrays.items()}
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    shard, block, kind, data = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.table([pa.array(shard, pa.int32()), pa.array(block, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["shard", "block", "kind", "data"])
+
+
+def _send(shards: np.ndarray, block: int, kind: int, h: np.ndarray, value: np.ndarray) -> list[tuple]:
+    """Rows of distinct hashes and values for the shards that have them. shards: their keys."""
+    h = h >> UNUSED
+    order = np.argsort(h)
+    h, value = h[order], value[order].astype(np.float64)
+    at = ((h >> np.uint64(32 - int(UNUSED))) * np.uint64(len(shards)) >> np.uint64(32)).astype(np.int64)
+    start, size = groups(at)
+    return [(int(shards[at[i]]), block, kind, _pack({"h": h[i : i + n], "n": value[i : i + n]})) for i, n in zip(start.tolist(), size.tolist(), strict=True)]
+
+
+def _sum_shard(key, rows):
+    """To each block the sums of its grams: those of LEAST training occurrences, one block of each marked, and discounted counts above 0."""
+    out = []
+    kinds = np.asarray(rows["kind"])
+    for kind in np.unique(kinds):
+        own = np.flatnonzero(kinds == kind)
+        blocks = rows["block"].take(own).to_pylist()
+        parts = [_unpack(rows["data"][int(i)].as_py()) for i in own]
+        h, value = (np.concatenate([p[x] for p in parts]) for x in "hn")
+        order = np.argsort(h, kind="stable")
+        start, size = groups(h[order])
+        total, mark = np.empty(len(h)), np.zeros(len(h), bool)
+        total[order] = np.repeat(np.add.reduceat(value[order], start), size)
+        mark[order[start]] = True
+        kept = total >= LEAST if kind in (BIGRAM, TRIGRAM) else total > 0
+        at = 0
+        for block, part in zip(blocks, parts, strict=True):
+            has = at + np.flatnonzero(kept[at : at + len(part["h"])])
+            at += len(part["h"])
+            if len(has):
+                out.append((0, block, int(kind), _pack({"h": h[has], "n": total[has], "mark": mark[has]})))
+    return _rows(out)
+
+
+class Block:
+    """The documents of a block as letters, and what the rounds so far have given for their grams."""
+
+    def __init__(self, rows: pa.Table):
+        kinds = np.asarray(rows["kind"])
+        got = {k: [_unpack(rows["data"][int(i)].as_py()) for i in np.flatnonzero(kinds == k)] for k in range(5)}
+        self.docs = d = got[DOCUMENTS][0]
+        self.size = len(d["letter"])
+        own, counts = d["own"].astype(np.int64), d["counts"]
+        # each row: two starts, its letters, the end
+        size = counts + 3
+        first = np.cumsum(size) - size
+        c = np.full(int(size.sum()), START, np.int64)
+        ends = np.cumsum(counts)
+        c[np.arange(len(own)) + np.repeat(first + 2 - (ends - counts), counts)] = own
+        c[first + size - 1] = END
+        at = np.ones(len(c), bool)
+        at[first] = at[first + 1] = False
+        at = np.flatnonzero(at)
+        self.train = np.repeat(~d["held"], counts + 1)
+        begins = np.cumsum(counts + 1) - (counts + 1)
+        self.pairs, pair = np.unique(c[at - 1] << WIDE | c[at], return_inverse=True)
+        # the bigram before each; the last one stands for two starts
+        before = np.concatenate((pair[:1], pair[:-1]))
+        before[begins] = len(self.pairs)
+        self.pair, self.before, self.last = pair, before, c[at]
+        a, b = self.pairs >> WIDE, self.pairs & ((1 << WIDE) - 1)
+        self.a, self.b = a, b
+        self.hash = np.append(mix(mix(d["letter"][a] ^ _BIGRAM) + d["letter"][b]), mix(mix(d["letter"][START : START + 1] ^ _BIGRAM) + d["letter"][START]))
+        self.got = got
+
+    def given(self, kind: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums and marks of grams, 0 of those that were not kept."""
+        total, mark = np.zeros(len(h)), np.zeros(len(h), bool)
+        if self.got[kind]:
+            k, n, m = (np.concatenate([p[x] for p in self.got[kind]]) for x in ("h", "n", "mark"))
+            order = np.argsort(k)
+            k, n, m = k[order], n[order], m[order]
+            at = np.minimum(np.searchsorted(k, h >> UNUSED), len(k) - 1)
+            hit = k[at] == h >> UNUSED
+            total[hit], mark[hit] = n[at[hit]], m[at[hit]]
+        return total, mark
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.given(BIGRAM, self.hash[:-1])
+
+    def trigrams(self, n2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bigram before, bigram of the last two letters, hash and training occurrences of the trigrams that can be kept."""
+        can = np.append(n2 > 0, True)
+        can = np.flatnonzero(can[self.before] & can[self.pair])
+        key, one, inverse = np.unique(self.before[can] << WIDE | self.last[can], return_index=True, return_inverse=True)
+        before, pair = self.before[can][one], self.pair[can][one]
+        n = np.bincount(inverse, self.train[can], len(key))
+        return before, pair, mix(mix(self.hash[before] ^ _TRIGRAM) + self.docs["letter"][self.b[pair]]), n
+
+
+def _first_round(block: Block, shards: np.ndarray, key: int) -> list[tuple]:
+    return _send(shards, key, BIGRAM, block.hash[:-1], np.bincount(block.pair, block.train, len(block.pairs)))
+
+
+def _second_round(block: Block, shards: np.ndarray, key: int) -> list[tuple]:
+    n2, mark = block.bigrams()
+    after = np.bincount(block.a, np.where(mark, n2 - DISCOUNT, 0), block.size)
+    used = np.unique(block.a)
+    _, _, h, n = block.trigrams(n2)
+    return _send(shards, key, AFTER_LETTER, block.docs["letter"][used], after[used]) + _send(shards, key, TRIGRAM, h, n)
+
+
+def _third_round(block: Block, shards: np.ndarray, key: int) -> list[tuple]:
+    n2, _ = block.bigrams()
+    before, _, h, _ = block.trigrams(n2)
+    n3, mark = block.given(TRIGRAM, h)
+    after = np.bincount(before, np.where(mark, n3 - DISCOUNT, 0), len(block.hash))
+    used = np.flatnonzero(np.append(n2 > 0, True))
+    return _send(shards, key, AFTER_BIGRAM, block.hash[used], after[used])
 
 
 class Automaton:
     """States: 0 is the empty context, 1 + letter a context of one letter, then contexts of two. Arcs are sorted by
-    state << 16 | letter."""
+    state << bits | letter."""
+
+    bits = 16
+
+    @classmethod
+    def part(cls, block: Block, tokens: int, letters: int, documents: int, shape_tokens: np.ndarray) -> Automaton:
+        """The states and arcs that a block's documents can reach, of the automaton of all training documents."""
+        self = cls.__new__(cls)
+        self.bits, self.size = WIDE, block.size
+        count = np.concatenate((shape_tokens, [documents, 0], block.docs["count"])).astype(np.float64)
+        p1 = (count + ADD) / (tokens + ADD * letters)
+        p1[START] = 1e-300
+        self.root = np.log10(p1)
+        context = count.copy()
+        context[START], context[END] = documents, 0
+        rest1 = 1 - block.given(AFTER_LETTER, block.docs["letter"])[0] / np.maximum(context, 1)
+
+        n2, _ = block.bigrams()
+        a, b = block.a, block.b
+        p2 = np.where(n2 > 0, (n2 - DISCOUNT) / np.maximum(context[a], 1), 0) + rest1[a] * p1[b]
+        kept = np.flatnonzero(n2 > 0)
+
+        total = np.append(n2, documents)
+        after = block.given(AFTER_BIGRAM, block.hash)[0]
+        own = np.flatnonzero(after > 0)
+        state = np.append(1 + b, 1 + START)  # of each bigram
+        state[own] = 1 + self.size + np.arange(len(own))
+        rest2 = 1 - after / np.maximum(total, 1)
+        before, pair, h, _ = block.trigrams(n2)
+        n3, _ = block.given(TRIGRAM, h)
+        three = np.flatnonzero(n3 > 0)
+        before, pair, n3 = before[three], pair[three], n3[three]
+        p3 = (n3 - DISCOUNT) / total[before] + rest2[before] * p2[pair]
+
+        self.fail = np.concatenate(([0], np.zeros(self.size, np.int64), np.append(1 + b, 1 + START)[own])).astype(np.int64)
+        self.weight = np.log10(np.maximum(np.concatenate(([1.0], rest1, rest2[own])), 1e-300))
+        arc = np.concatenate(((1 + a[kept]) << WIDE | b[kept], state[before] << WIDE | b[pair]))
+        order = np.argsort(arc)
+        self.arc, self.cost = arc[order], np.log10(np.concatenate((p2[kept], p3)))[order]
+        self.next = np.concatenate((state[kept], state[pair]))[order]
+        if not len(self.arc):
+            self.arc, self.cost, self.next = np.array([-1]), np.zeros(1), np.zeros(1, np.int64)
+        self._start = int(state[-1])
+        return self
 
     def __init__(self, size: int, documents: int, letters: dict[int, int], bigrams: tuple[np.ndarray, np.ndarray], trigrams: tuple[np.ndarray, np.ndarray]):
         count = np.zeros(size)
@@ -228,6 +385,7 @@ class Automaton:
         self.arc = np.concatenate([one, two])
         self.cost = np.log10(np.concatenate([p2, p3]))
         self.size = size
+        self._start = int(self._context(np.array([START << 16 | START]))[0])
         self.next = self._context(np.concatenate([k2, k3 & 0xFFFFFFFF]))
         if not len(self.arc):
             self.arc, self.cost, self.next = np.array([-1]), np.zeros(1), np.zeros(1, np.int64)
@@ -240,7 +398,7 @@ class Automaton:
         return np.where(self.pairs[at] == pair, 1 + self.size + at, 1 + (pair & 0xFFFF))
 
     def start(self) -> int:
-        return int(self._context(np.array([START << 16 | START]))[0])
+        return self._start
 
     def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """States after reading a letter in each state, and the log10 probabilities."""
@@ -253,7 +411,7 @@ class Automaton:
             if done.any():
                 score[open_[done]] += self.root[letter[open_[done]]]
                 open_, s = open_[~done], s[~done]
-            key = s << 16 | letter[open_]
+            key = s << self.bits | letter[open_]
             at = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
             hit = self.arc[at] == key
             score[open_[hit]] += self.cost[at[hit]]
@@ -280,50 +438,63 @@ class Automaton:
         return out
 
 
-class Model:
-    """What scoring needs: the alphabet, the automaton, and the counts of rare letters."""
+class Totals:
+    """Totals of the training documents: tokens with ends, distinct words with the end, letters, rows, and the tokens and
+    distinct words of each shape that are not letters of their own."""
 
-    def __init__(self, alphabet: Alphabet, automaton: Automaton, rare_tokens: np.ndarray, rare_words: np.ndarray, tokens: int, words: int, documents: int):
-        self.alphabet, self.automaton = alphabet, automaton
+    def __init__(self, tokens: int, words: int, letters: int, documents: int, rare_tokens: np.ndarray, rare_words: np.ndarray):
+        self.tokens, self.words, self.letters, self.documents = tokens, words, letters, documents
+        self.rare_tokens = rare_tokens
         self.rare = np.log10(np.maximum(rare_tokens + ADD * (rare_words + 1), ADD))
-        self.tokens, self.words, self.documents = tokens, words, documents
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(model):
+def _read(totals):
+    """Texts and word counts of a block -> its documents as letters, with all that needs words."""
+
     def run(key, docs: pa.Table, counts: pa.Table):
-        m: Model = model.value
-        out, letters, first = [], [], [np.zeros(1, np.int64)]
-        if docs.num_rows:
-            h = np.asarray(counts["hash"]).view(np.uint64)
-            order = np.argsort(h)
-            h, known = h[order], np.asarray(counts["n"])[order]
-            whole = np.log10(m.tokens + ADD * (m.words + 1))
-            for b in slices(docs.combine_chunks().to_batches()):
-                w = Words(b.column("text"), lower=True)
-                n = known[np.searchsorted(h, w.hash)] if len(w.start) else np.zeros(0, np.int64)
-                own, rare = m.alphabet.letters(w)
-                log = np.log10(n + ADD)
-                sums = [np.concatenate(([0], np.cumsum(x)))[w.first] for x in (log, np.where(rare, log - m.rare[np.minimum(own, SHAPES - 1)], 0), n > 0)]
-                base, share, seen = (np.diff(x) for x in sums)
-                out.append((b.column("doc_id"), w.counts + 1, seen.astype(np.int64) + (m.documents > 0), base + np.log10(m.documents + ADD) - whole * (w.counts + 1), share))
-                letters.append(own.astype(np.int32))
-                first.append(w.first[1:] + first[-1][-1])
-        # all documents of the block are traversed in step
-        model_score = m.automaton.scores(np.concatenate(letters), np.concatenate(first)) if out else np.zeros(0)
-        tables, at = [], 0
-        for ids, size, seen, base, share in out:
-            tables.append(
-                pa.RecordBatch.from_arrays(
-                    [ids, pa.array(_held_out(ids)), pa.array(size), pa.array(seen), pa.array(np.full(len(size), m.tokens)), pa.array(base), pa.array(model_score[at : at + len(size)] + share)],
-                    names=[x.split()[0] for x in RESULT.split(", ")],
-                )
-            )
-            at += len(size)
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-        return pa.Table.from_batches(tables, schema)
+        if not docs.num_rows:
+            return _rows([])
+        m: Totals = totals.value
+        out = []
+        h = np.asarray(counts["hash"]).view(np.uint64)
+        order = np.argsort(h)
+        h, known = h[order], np.asarray(counts["n"])[order]
+        often = known >= LEAST
+        alphabet = Alphabet(h[often])
+        whole = np.log10(m.tokens + ADD * (m.words + 1))
+        for b in slices(docs.combine_chunks().to_batches()):
+            w = Words(b.column("text"), lower=True)
+            n = known[np.searchsorted(h, w.hash)] if len(w.start) else np.zeros(0, np.int64)
+            own, rare = alphabet.letters(w)
+            log = np.log10(n + ADD)
+            sums = [np.concatenate(([0], np.cumsum(x)))[w.first] for x in (log, np.where(rare, log - m.rare[np.minimum(own, SHAPES - 1)], 0), n > 0)]
+            base, share, seen = (np.diff(x) for x in sums)
+            out.append((np.asarray(b.column("doc_id")), _held_out(b.column("doc_id")), w.counts, seen.astype(np.int64) + (m.documents > 0), base + np.log10(m.documents + ADD) - whole * (w.counts + 1), share, own.astype(np.int32)))
+        whole = dict(zip(("id", "held", "counts", "known", "base", "share", "own"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))
+        block = int(np.asarray(docs["block"])[0])
+        whole |= {"letter": np.concatenate((mix(np.arange(1, FIRST_WORD + 1, dtype=np.uint64)), h[often])), "count": known[often]}
+        return _rows([(0, block, DOCUMENTS, _pack(whole))])
+
+    return run
+
+
+def _round(step, shards):
+    def run(key, rows):
+        return _rows(step(Block(rows), shards.value, key[0].as_py()))
+
+    return run
+
+
+def _score(totals):
+    def run(key, rows):
+        m: Totals = totals.value
+        block = Block(rows)
+        d = block.docs
+        got = Automaton.part(block, m.tokens, m.letters, m.documents, m.rare_tokens).scores(d["own"], np.concatenate(([0], np.cumsum(d["counts"]))))
+        return pa.table([d["id"], d["held"], d["counts"].astype(np.int64) + 1, d["known"], np.full(len(got), m.tokens), d["base"], got + d["share"]], names=[x.split()[0] for x in RESULT.split(", ")])
 
     return run
 
@@ -337,39 +508,32 @@ def train_and_score(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = texts.mapInArrow(_count_words(blocks), "block int, hash long, shape int, n long").repartition(parts, "hash").sortWithinPartitions("hash")
     words = materialise(counted.mapInArrow(_total, "block int, hash long, shape int, n long, mark boolean"), "words")
-    distinct = words.where("mark and n > 0")
-    size = distinct.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-
-    # at most 1 / LETTER_SHARE rows
-    frequent = distinct.where(F.col("n") >= max(2, LETTER_SHARE * (size.n or 0)))
-    alphabet = Alphabet(columns(frequent.select("hash"))["hash"].view(np.uint64))
-    letters = sc.broadcast(alphabet)
-    least = {k: max(2, share * (size.n or 0)) for k, share in GRAM_SHARE.items()}
-    grams = texts.mapInArrow(_count_grams(letters), "order int, key long, n long").groupBy("order", "key").agg(F.sum("n").alias("n"))
-    # at most 1 / GRAM_SHARE rows of an order
-    kept = grams.where((F.col("order") < 2) | (F.col("order") == 2) & (F.col("n") >= least[2]) | (F.col("order") == 3) & (F.col("n") >= least[3]))
-    kept = columns(kept)
-
-    def order(k: int) -> tuple[np.ndarray, np.ndarray]:
-        own = np.flatnonzero(kept["order"] == k)
-        own = own[np.argsort(kept["key"][own])]
-        return kept["key"][own], kept["n"][own].astype(np.float64)
-
-    documents = int(order(0)[1].sum())
-    automaton = Automaton(FIRST_WORD + len(alphabet.frequent), documents, dict(zip(*(x.tolist() for x in order(1)), strict=True)), order(2), order(3))
-    known = spark.createDataFrame([(int(x),) for x in alphabet.frequent.view(np.int64)], "hash long")
-    rare = distinct.join(F.broadcast(known), "hash", "left_anti").groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row for each shape
-    rare_tokens, rare_words = np.zeros(SHAPES), np.zeros(SHAPES)
-    for r in rare:
-        rare_tokens[r["shape"]], rare_words[r["shape"]] = r.n, r.v
-    model = sc.broadcast(Model(alphabet, automaton, rare_tokens, rare_words, (size.n or 0) + documents, (size.v or 0) + (documents > 0), documents))
+    often = F.col("n") >= LEAST
+    shape = words.where("mark and n > 0").groupBy("shape").agg(*(F.sum(F.when(often == x, y)).alias(z) for x, y, z in ((True, F.col("n"), "tokens"), (True, F.lit(1), "words"), (False, F.col("n"), "rare_tokens"), (False, F.lit(1), "rare_words"))))
+    rare_tokens, rare_words, tokens, letters = np.zeros(SHAPES), np.zeros(SHAPES), 0, 0
+    for r in shape.collect():  # a row for each shape
+        rare_tokens[r["shape"]], rare_words[r["shape"]] = r.rare_tokens or 0, r.rare_words or 0
+        tokens, letters = tokens + (r.tokens or 0), letters + (r.words or 0)
+    tokens += int(rare_tokens.sum())
+    documents = texts.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT != 0).count()
+    totals = sc.broadcast(Totals(tokens + documents, letters + int(rare_words.sum()) + (documents > 0), letters + SHAPES + 1, documents, rare_tokens, rare_words))
+    # a block sends a bigram and later a trigram of a token at most
+    shards = sc.broadcast(even_keys(spark, max(parts, -(-tokens // SHARD_GRAMS)), parts))
 
     def deal(batches):
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(blocks.of(b.column("doc_id")).astype(np.int32)), b.column("doc_id"), b.column("text")], names=["block", "doc_id", "text"])
 
     dealt = texts.mapInArrow(deal, "block int, doc_id long, text string")
-    return dealt.groupBy("block").cogroup(words.select("block", "hash", "n").groupBy("block")).applyInArrow(_score(model), RESULT)
+    held = materialise(dealt.groupBy("block").cogroup(words.select("block", "hash", "n").groupBy("block")).applyInArrow(_read(totals), PACKED), "letters")
+    discard(words)
+    for step in (_first_round, _second_round, _third_round):
+        release(spark)
+        sent = held.groupBy("block").applyInArrow(_round(step, shards), PACKED)
+        held = held.union(materialise(sent.groupBy("shard").applyInArrow(_sum_shard, PACKED), "sums"))
+        del sent
+    release(spark)
+    return held.groupBy("block").applyInArrow(_score(totals), RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ Executors may be lost at any time, so what an iterative plan needs again is writ
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,12 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of tables that nothing refers to, which it does when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def columns(df: DataFrame) -> dict[str, np.ndarray]:
     """The number columns of a table of bounded size as arrays on the driver, without rows as Python objects."""
     table = df.toArrow()

@@ -455,6 +455,38 @@ def test_backoff(spark, docs, empty):
     assert backoff.train_and_score(empty).count() == 0
 
 
+@pytest.mark.parametrize("shard_grams", [backoff.SHARD_GRAMS, 50])
+def test_backoff_keeps_what_occurs_twice_at_every_size(spark, monkeypatch, shard_grams):
+    """Against one automaton of all words and grams that occur twice, on more tokens than let a share of them keep these."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(backoff, "SHARD_GRAMS", shard_grams)
+    rng = random.Random(7)
+    rows = [(i, words(rng, 3000, 9), "en", "s", 1) for i in range(45)] + [(100 + i, words(rng, 60, 3000), "en", "s", 1) for i in range(60)] + [(i, "Rare words, said twice. " + words(rng, 2, 9), "en", "s", 1) for i in (200, 201, 202, 203)] + [(300, None, "en", "s", 0)]
+    got = {r.doc_id: r for r in backoff.train_and_score(frame(spark, rows).repartition(3)).collect()}
+    tokens = {d: (t or "").encode().lower().split() for d, t, *_ in rows}
+    count = Counter(x for d, w in tokens.items() if zlib.crc32(str(d).encode()) % 10 for x in w)
+    kept = [x for x, n in count.items() if n >= 2]
+    w = backoff.Words(pa.array([b" ".join(kept).decode()]))
+    order = sorted(kept, key=dict(zip(kept, w.hash.tolist(), strict=True)).get)
+    number = {x: backoff.FIRST_WORD + i for i, x in enumerate(order)}
+    shape = lambda x: int(backoff.shapes(backoff.Words(pa.array([x.decode()])))[0])
+    grams, rare = {k: Counter() for k in (1, 2, 3)}, Counter(shape(x) for x in count if count[x] < 2)
+    for d, own in tokens.items():
+        if zlib.crc32(str(d).encode()) % 10:
+            c = [backoff.START] * 2 + [number.get(x, -1) if x in number else shape(x) for x in own] + [backoff.END]
+            for i in range(2, len(c)):
+                grams[1][c[i]] += 1
+                grams[2][c[i - 1] << 16 | c[i]] += 1
+                grams[3][c[i - 2] << 32 | c[i - 1] << 16 | c[i]] += 1
+    pick = lambda k: tuple(np.array(x) for x in zip(*sorted((g, float(n)) for g, n in grams[k].items() if n >= 2), strict=True))
+    a = backoff.Automaton(backoff.FIRST_WORD + len(kept), grams[1][backoff.END], dict(grams[1]), pick(2), pick(3))
+    for d, own in tokens.items():
+        c = np.array([number[x] if x in number else shape(x) for x in own], np.int64)
+        share = sum(math.log10(count[x] + 0.1) - math.log10(max(rare[shape(x)] + 0.1 * (rare[shape(x)] + 1), 0.1)) for x in own if x not in number)
+        assert math.isclose(got[d].score, a.scores(c, np.array([0, len(c)]))[0] + share, rel_tol=1e-9), d
+
+
 def test_automaton_is_a_probability():
     rng = np.random.default_rng(1)
     size = backoff.FIRST_WORD + 6
