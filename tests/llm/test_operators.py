@@ -180,6 +180,24 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     assert quality.classify(d, None, {}).where("accepted").count() == 321
 
 
+@pytest.mark.parametrize("ids", [quality.BROADCAST_IDS, 10])
+def test_quality_thresholds_are_of_all_trusted_rows(spark, monkeypatch, ids):
+    """A language that is rare in the training sample has its own quantile, of all its trusted rows."""
+    monkeypatch.setattr(quality, "BROADCAST_IDS", ids)
+    rng = random.Random(5)
+    prose = lambda x: " ".join(rng.choice(x.split()) for _ in range(40))
+    rows = [(i, prose("der hund lief weit durch wald" if i % 5 == 0 else "the cat sat on a mat with his old hat and dog"), "de" if i % 5 == 0 else "en", "s", 1) for i in range(600)]
+    d = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1) for i in range(600)], "doc_id long, quality int")
+    model, cuts = quality.fit(d, labels, trusted_rows=100)
+    assert set(cuts) == {"*", "en", "de"}
+    chosen = {r.doc_id for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(100).collect() if zlib.crc32(str(r.doc_id).encode()) % quality.CALIBRATE}
+    p = {r.doc_id: r.perplexity for r in quality.perplexities(d, model).collect()}
+    own = sorted(p[i] for i in range(0, 600, 5) if i not in chosen)
+    cut = cuts["de"] if isinstance(cuts["de"], float) else cuts["de"][0]
+    assert math.isclose(cut, own[math.ceil(quality.QUANTILE * len(own)) - 1] * quality.MARGIN)
+
+
 # 3
 
 
