@@ -198,6 +198,15 @@ def test_quality_thresholds_are_of_all_trusted_rows(spark, monkeypatch, ids):
     assert math.isclose(cut, own[math.ceil(quality.QUANTILE * len(own)) - 1] * quality.MARGIN)
 
 
+def test_quality_rejects_what_repeats_itself(spark):
+    rng = random.Random(5)
+    prose = lambda n: " ".join(rng.choice("the cat sat on a mat with his old hat and dog by that big house".split()) + rng.choice("abcdefgh") for _ in range(n))
+    rows = [(i, prose(rng.randrange(10, 2000)), "en", "s", 1) for i in range(300)] + [(300 + i, " ".join([prose(1 + i % 3)] * (30 + 40 * i)), "en", "s", 1) for i in range(20)]
+    d = frame(spark, rows)
+    got = {r.doc_id: r.accepted for r in quality.classify(d, *quality.fit(d, spark.createDataFrame([(i, 1) for i in range(0, 300, 2)], "doc_id long, quality int"))).collect()}
+    assert sum(got[i] for i in range(300)) >= 294 and not any(got[i] for i in range(300, 320))
+
+
 # 3
 
 
