@@ -6,7 +6,8 @@ exact. The benchmark is taken in shards of at most SHARD_BYTES of text: one shar
 whatever the benchmark's size, and the documents are never shuffled.
 
 Edge cases: null or empty texts have no words, are never contaminated and match nothing; an item without words has no
-window; items with equal windows all count; repeated documents are repeated in the result; an empty benchmark leaves
+window; items with equal windows all count; an item without an id contaminates like others but is not in the list of
+items; repeated documents are repeated in the result; an empty benchmark leaves
 every document clean; columns of the input that clash with result names are ignored.
 """
 
@@ -36,7 +37,7 @@ _FOUND = "doc_id long, text string, n_words long, spans array<int>, items array<
 class WindowIndex:
     """The windows of a benchmark shard: by length, sorted hashes with the items and positions that have them."""
 
-    def __init__(self, items: list[tuple[str, bytes]], n: int = N_GRAM):
+    def __init__(self, items: list[tuple[str | None, bytes]], n: int = N_GRAM):
         self.names = [name for name, _ in items]
         self.words = [_plain(text) for _, text in items]
         self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -69,7 +70,8 @@ class WindowIndex:
                     if self.words[item[j]][at[j] : at[j] + k] == own:
                         hit[s] += 1
                         hit[s + k] -= 1
-                        items[row[i]].add(self.names[item[j]])
+                        if self.names[item[j]] is not None:
+                            items[row[i]].add(self.names[item[j]])
         return np.cumsum(hit[:-1]) > 0, items
 
 
@@ -111,13 +113,13 @@ def _scan(shard, first: bool):
 def contamination(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per document: doc_id, text, n_words, spans (starts and ends of hit word runs), items (their ids as strings)."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for s in range(shards):
         rows = items.where(F.pmod(F.xxhash64("text", "item"), F.lit(shards)) == s).collect()
-        shard = spark.sparkContext.broadcast(sorted((r.item, r.text.encode()) for r in rows))
+        shard = spark.sparkContext.broadcast(sorted(((r.item, r.text.encode()) for r in rows), key=lambda x: (x[0] or "", x[1])))
         if s:
             found = materialise(found, "contamination")
         found = found.mapInArrow(_scan(shard, s == 0), _FOUND)

@@ -109,6 +109,14 @@ def test_decontamination(spark, docs, shard_bytes):
     assert decontaminate.contamination(docs, bench.where("false")).where("size(spans) > 0").count() == 0
 
 
+def test_benchmark_rows_without_id_contaminate(spark, docs):
+    base = corpus()[7][1].split()
+    items = [(None, " ".join(base[5:30])), (None, "one"), (2, "TWO, words!")]
+    got = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    mine = [(r.doc_id, r.n_words, sum(r.spans[1::2]) - sum(r.spans[::2]), set(r["items"])) for r in got]
+    assert sorted(map(repr, mine)) == sorted(repr((r[0], n, hit, found - {"None"})) for r in corpus() for n, hit, found in [plain_hits(r[1], items)])
+
+
 def test_span_removal_leaves_no_window(spark, docs):
     base = corpus()[7][1].split()
     bench = spark.createDataFrame([(1, " ".join(base[5:30]))], "item_id long, text string")
