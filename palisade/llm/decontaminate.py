@@ -47,7 +47,7 @@ class WindowIndex:
             start, row = w.windows(int(k))
             own = lengths[row] == k
             start, row = start[own], row[own]
-            h = w.sequence(start, start + k)
+            h = w.rolling(int(k))[start]
             order = np.argsort(h, kind="stable")
             near = np.zeros(1 << 16, bool)
             near[(h >> np.uint64(48)).astype(np.int64)] = True
@@ -59,7 +59,7 @@ class WindowIndex:
         items: list[set[str]] = [set() for _ in w.counts]
         for k, hashes, item, at, near in self.by_length:
             start, row = w.windows(k)
-            h = w.sequence(start, start + k)
+            h = w.rolling(k)[start]
             maybe = np.flatnonzero(near[(h >> np.uint64(48)).astype(np.int64)])
             low = np.searchsorted(hashes, h[maybe], "left")
             high = np.searchsorted(hashes, h[maybe], "right")

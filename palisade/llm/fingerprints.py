@@ -65,7 +65,7 @@ def fingerprints(texts: list[bytes]) -> tuple[list[str], list[str], list[np.ndar
         last[w.first[1:][w.counts > 0] - 1] = True
     end = np.flatnonzero(last) + 1
     begin = np.concatenate(([0], end[:-1])).astype(np.int64)
-    mark = (w.sequence(begin, end) >> np.uint64(40)).astype(np.int64) if n else np.zeros(0, np.int64)
+    mark = (w.runs(begin, end) >> np.uint64(40)).astype(np.int64) if n else np.zeros(0, np.int64)
     first = np.searchsorted(end, w.first, "right")
     prints, roots, marks = [], [], []
     for i, text in enumerate(texts):

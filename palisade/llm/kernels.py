@@ -2,11 +2,13 @@
 
 A batch is cut into slices of a few MB of text (one row at least), so that memory stays bounded whatever the
 number of rows in a batch. Within a slice words, their hashes and the hashes of word windows come from whole-array
-numpy operations: a polynomial prefix sum over bytes gives the hash of any substring in constant time.
+numpy operations: a word's hash is a sum of one random value for each byte and its place in the word, and the hash of a
+window is mixed from the hashes of its halves, so that no two texts collide by their structure.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,17 +16,30 @@ import pyarrow as pa
 
 SLICE_BYTES = (1 << 20) - 4096
 
+
+def _lean() -> None:
+    """Workers of Python live long beside each other: what they free goes back to the machine, not to pools of their own."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_lean()
+
 #: Bytes that separate words: space and 0x09 to 0x0D.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_R1 = np.uint64(0x9E3779B97F4A7C15)
 _R2 = np.uint64(0xD6E8FEB86659FD93)
+_R3 = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,33 +52,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of base and of its inverse modulo 2**64, n at least."""
-    have = _POWERS.get(int(base))
-    if have is None or len(have[0]) < n:
-        size = 1 << max(10, int(n - 1).bit_length())
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        tables = []
-        for b in (base, inverse):
-            t = np.full(size, b, np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
-        have = _POWERS[int(base)] = (tables[0], tables[1])
-    return have
-
-
-def prefix(values: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Sums of value * base**position before each position; with spans() it hashes any range."""
-    power, _ = _powers(base, len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[: len(values)], out=out[1:])
-    return out
+#: A value for each byte at each of a word's first places; beyond, mix() gives them.
+PLACES = 64
+_BYTES = mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * _R3)
 
 
-def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Hashes of the ranges [start, end) of what prefix() summed, the same wherever they stand."""
-    _, inverse = _powers(base, len(sums))
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _R2)
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Sums of what stands before each place, modulo 2**64."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=out[1:])
+    return out
 
 
 def binary(column: pa.Array) -> pa.LargeBinaryArray:
@@ -117,25 +115,58 @@ class Words:
         self.end = np.flatnonzero(black & edge[1:]) + 1
         self.first = np.searchsorted(self.start, self.offsets)
         self.counts = np.diff(self.first)
+        self._black = black
         self._hash: np.ndarray | None = None
-        self._sums: np.ndarray | None = None
+        self._parts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def heads(self, most: int | None = None) -> np.ndarray:
+        """Hashes of the words, or of their first `most` bytes."""
+        if self._parts is None:
+            size = self.end - self.start
+            begin = np.cumsum(size) - size
+            byte = self.data[self._black]
+            place = np.arange(len(byte), dtype=np.int64) - np.repeat(begin, size)
+            value = _BYTES[np.minimum(place, PLACES - 1) << 8 | byte]
+            far = np.flatnonzero(place >= PLACES)
+            value[far] = mix((place[far] << 8 | byte[far]).astype(np.uint64) * _R3 + _R2)
+            self._parts = _sums(value), begin, size
+        sums, begin, size = self._parts
+        size = size if most is None else np.minimum(size, most)
+        return mix(sums[begin + size] - sums[begin] + size.astype(np.uint64) * _R2)
 
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            sums = prefix(self.data.astype(np.uint64) + np.uint64(1), _R1)
-            self._hash = spans(sums, self.start, self.end, _R1)
+            self._hash = self.heads()
         return self._hash
 
     def row(self) -> np.ndarray:
         """The row of each word."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def sequence(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the word sequences [start, end)."""
-        if self._sums is None:
-            self._sums = prefix(self.hash, _R2)
-        return spans(self._sums, start, end, _R2)
+    def rolling(self, k: int, seed: int = 0) -> np.ndarray:
+        """Hashes of k words from each word on, without regard to rows; it has a value for every start of windows(k)."""
+        n = len(self.start)
+        if n < k:
+            return np.zeros(0, np.uint64)
+        x = mix(self.hash + np.uint64(seed + 1) * _R3)
+        out, have, span = None, 0, 1
+        while span <= k:
+            if k & span:
+                out = x if out is None else mix(out[: n - have - span + 1] * _R2 + x[have : n - span + 1] + np.uint64(span))
+                have += span
+            if 2 * span <= k:
+                x = mix(x[: n - 2 * span + 1] * _R3 + x[span:])
+            span *= 2
+        return out
+
+    def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of runs [start, end) of words, one after the other and disjoint."""
+        size = end - start
+        begin = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(begin, size)
+        sums = _sums(mix(self.hash[np.repeat(start, size) + place] + mix((place + 1).astype(np.uint64) * _R3)))
+        return mix(sums[begin + size] - sums[begin] + size.astype(np.uint64) * _R2)
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Start of each window of k words of one row, and its row."""

@@ -3,12 +3,15 @@
 A document's set has its distinct 5-word shingles. Every distinct set is a node of TREES independent trees: from a
 node's path the next minwise coordinate is chosen, and the document branches by its value there, so that two
 documents of similarity J share a path of depth d with probability J**d. Nodes of at most LEAF documents are compared
-exhaustively by their sketches; larger ones branch again, and what is still large at the last depth (a group of near
-copies) is compared in rounds with at most PROBE * CHUNKS of its documents that are not yet in the group's main component, so
-that no task ever forms all pairs of a group. Every candidate is confirmed on the full sets before it counts.
+exhaustively by their sketches; larger ones branch again. What is still large then is tied to one of its members, the
+links are confirmed and components found. A large node that is one component but for at most PROBE * CHUNKS members (a
+group of near copies) ends with a comparison of those members with the whole node; other large nodes, mixtures, branch
+again by fresh coordinates, as long as there are any. No task forms all pairs of a group. Every candidate is confirmed
+on the full sets before it counts; the set of a document is made once.
 
-Recall: with 24 trees a pair of similarity 0.75 is missed with probability 3e-9 at depth 2 and 2e-4 at depth 4, which
-only nodes of more than LEAF documents reach; the sketch filter misses such a pair with probability below 1e-5.
+Recall: averaged over the coordinates that a pair of similarity 0.75 has in common, 24 trees miss it with probability
+2e-7 at depth 2 and 5e-4 at depth 4, which only nodes of more than LEAF documents reach (that a node's members are then
+tied together does not need every link). The sketch filter misses such a pair with probability below 1e-5.
 
 Edge cases: null and blank texts have an empty set, link with nothing and are kept; texts of fewer than five words have
 one shingle, the whole; equal sets (exact copies among them) are one class that is joined once; an id that occurs in
@@ -25,20 +28,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.components import components
-from palisade.llm.kernels import Words, binary, buffers, groups, mix, slices
+from palisade.llm.kernels import Words, buffers, mix, slices
 from palisade.llm.scratch import bounded_broadcast, discard, materialise
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
-COORDINATES = 64
+COORDINATES = 128
 TREES = 24
-DEPTHS = (2, 4)
+#: Depth at which nodes are looked at first, and steps by which those that are too large branch further.
+DEPTH, STEPS = 2, 2
 LEAF = 64
 PROBE, CHUNKS = 128, 4
-#: Sets that a task keeps while it confirms pairs.
-CONFIRM_BYTES = 48 << 20
+#: Beyond this depth nodes aren't branched but probed in rounds: all their coordinates were equal that often.
+DEEPEST = 64
 #: Equal sketch values that a candidate needs of COORDINATES: 4.5 standard deviations below what similarity 0.75 gives.
-LEAST_EQUAL = 32
+LEAST_EQUAL = 74
+#: Equal sketch values of documents that are similar beyond doubt, some five standard deviations above.
+SURE_EQUAL = 121
 #: Ids sent to every executor instead of being joined by a shuffle: 8 MB at most.
 BROADCAST_IDS = 1_000_000
 #: Documents of large nodes get a finer sketch, a byte for each of FINE coordinates, and need FINE_EQUAL equal ones.
@@ -55,7 +61,7 @@ def shingle_sets(w: Words, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row of a slice, sorted within the row, and where each row's begin."""
     start, row = w.windows(k)
     short = np.flatnonzero((w.counts > 0) & (w.counts < k))
-    h = np.concatenate([w.sequence(start, start + k), w.sequence(w.first[:-1][short], w.first[1:][short])])
+    h = np.concatenate([w.rolling(k)[start], w.runs(w.first[:-1][short], w.first[1:][short])])
     row = np.concatenate([row, short])
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
@@ -94,7 +100,7 @@ def _fine(batches):
         if len(full):
             for t in range(FINE):
                 signature[full, t] = mix(np.minimum.reduceat(h * _FINE_FACTORS[t], first[full])) >> np.uint64(56)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in signature], pa.binary())], names=["rep", "n", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in signature], pa.binary())], names=["rep", "n", "fine"])
 
 
 def _matrix(column: pa.Array, kind: type = np.uint16, width: int = COORDINATES) -> np.ndarray:
@@ -123,19 +129,15 @@ def _roots(depth: int):
     return run
 
 
-def _paths(batches):
-    """All paths of the last depth of each document, tree by tree."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        m = _matrix(b.column("sketch"))
-        out = np.empty((len(m), TREES), np.uint64)
-        for t, seed in enumerate(_SEEDS):
-            p = np.full(len(m), seed)
-            for _ in range(DEPTHS[-1]):
-                p = _branch(p, m)
-            out[:, t] = p
-        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([x.tobytes() for x in out], pa.binary())], names=["rep", "paths"])
+def _trees(m: np.ndarray, depth: int) -> np.ndarray:
+    """The paths of documents in every tree."""
+    out = np.empty((len(m), TREES), np.uint64)
+    for t, seed in enumerate(_SEEDS):
+        p = np.full(len(m), seed)
+        for _ in range(depth):
+            p = _branch(p, m)
+        out[:, t] = p
+    return out
 
 
 def _deeper(steps: int):
@@ -152,14 +154,14 @@ def _deeper(steps: int):
     return run
 
 
-def _close(m: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the pairs (a, b) of rows may be similar, by their sketches and set sizes."""
-    keep = np.minimum(n[a], n[b]) * DENOMINATOR >= np.maximum(n[a], n[b]) * NUMERATOR
-    at = np.flatnonzero(keep)
-    for i in range(0, len(at), 1 << 15):
-        part = at[i : i + (1 << 15)]
-        keep[part] = (m[a[part]] == m[b[part]]).sum(1) >= LEAST_EQUAL
-    return keep
+def _equal(m: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal sketch values of the pairs (a, b) of rows; 0 where the sizes of the sets forbid similarity."""
+    out = np.zeros(len(a), np.int64)
+    at = np.flatnonzero(np.minimum(n[a], n[b]) * DENOMINATOR >= np.maximum(n[a], n[b]) * NUMERATOR)
+    for i in range(0, len(at), 1 << 14):
+        part = at[i : i + (1 << 14)]
+        out[part] = (m[a[part]] == m[b[part]]).sum(1)
+    return out
 
 
 def _pairs(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -167,17 +169,18 @@ def _pairs(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
-def _members(column: pa.Array, kind: type = np.uint16, width: int = COORDINATES) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def _members(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Offsets of lists of structs and the structs' columns."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten()
     offsets = np.asarray(column.offsets)
-    kinds = {"sketch": (kind, width), "paths": (np.uint64, TREES)}
+    kinds = {"sketch": (np.uint16, COORDINATES), "fine": (np.uint8, FINE)}
     return offsets - offsets[0], {f.name: (_matrix(flat.field(f.name), *kinds[f.name]) if f.name in kinds else np.asarray(flat.field(f.name))) for f in flat.type}
 
 
 def _leaf_pairs(batches):
-    """Candidates among all pairs of each small node."""
+    """Candidates among all pairs of each small node. Of documents that are similar to an earlier one beyond doubt, only
+    the pairs with that one are listed: all three are in one component."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -186,88 +189,87 @@ def _leaf_pairs(batches):
         for g in np.unique(size[size > 1]):
             i, j = np.triu_indices(int(g), 1)
             nodes = offsets[:-1][size == g]
-            step = max(1, (1 << 19) // len(i))
+            step = max(1, (1 << 17) // len(i))
             for at in range(0, len(nodes), step):
                 base = nodes[at : at + step, None]
-                a, d = (base + i).ravel(), (base + j).ravel()
-                keep = _close(c["sketch"], c["n"], a, d)
+                a, d = base + i, base + j
+                equal = _equal(c["sketch"], c["n"], a.ravel(), d.ravel()).reshape(a.shape)
+                keep = equal >= LEAST_EQUAL
+                if g > 2 and (equal >= SURE_EQUAL).any():
+                    sure = np.zeros((len(base), g, g), bool)
+                    sure[:, i, j] = equal >= SURE_EQUAL
+                    for k in range(int(g) - 2):
+                        keep &= ~(sure[:, k, :][:, i] & sure[:, k, :][:, j])
                 if keep.any():
                     yield _pairs(c["rep"], a[keep], d[keep])
 
 
-def _probe_pairs(batches):
+def _probe_pairs(depth: int):
     """Candidates between a member and the probed documents of its node that are in other components. A pair that
     shares several nodes is a candidate in that of its first common tree only."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        offsets, c = _members(b.column("probe"), np.uint8, FINE)
-        m, n, ids, label = _matrix(b.column("sketch"), np.uint8, FINE), np.asarray(b.column("n")), np.asarray(b.column("rep")), np.asarray(b.column("label"))
-        paths, here = _matrix(b.column("paths"), np.uint64, TREES), np.asarray(b.column("path")).view(np.uint64)
-        row = np.repeat(np.arange(len(ids)), np.diff(offsets))
-        other = np.flatnonzero(label[row] != c["label"])
-        for at in range(0, len(other), 1 << 14):
-            o = other[at : at + (1 << 14)]
-            r = row[o]
-            keep = np.minimum(n[r], c["n"][o]) * DENOMINATOR >= np.maximum(n[r], c["n"][o]) * NUMERATOR
-            o, r = o[keep], r[keep]
-            keep = (m[r] == c["sketch"][o]).sum(1) >= FINE_EQUAL
-            r, o = r[keep], o[keep]
-            common = paths[r] == c["paths"][o]
-            keep = paths[r, common.argmax(1)] == here[r]
-            x, y = ids[r[keep]], c["rep"][o[keep]]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            offsets, c = _members(b.column("probe"))
+            fine, m = _matrix(b.column("fine"), np.uint8, FINE), _matrix(b.column("sketch"))
+            n, ids, label, here = (np.asarray(b.column(x)) for x in ("n", "rep", "label", "path"))
+            row = np.repeat(np.arange(len(ids)), np.diff(offsets))
+            other = np.flatnonzero(label[row] != c["label"])
+            for at in range(0, len(other), 1 << 14):
+                o = other[at : at + (1 << 14)]
+                r = row[o]
+                keep = np.minimum(n[r], c["n"][o]) * DENOMINATOR >= np.maximum(n[r], c["n"][o]) * NUMERATOR
+                o, r = o[keep], r[keep]
+                keep = (fine[r] == c["fine"][o]).sum(1) >= FINE_EQUAL
+                r, o = r[keep], o[keep]
+                common = _trees(m[r], depth) == _trees(c["sketch"][o], depth)
+                keep = _trees(m[r], depth)[np.arange(len(r)), common.argmax(1)].view(np.int64) == here[r]
+                if keep.any():
+                    x, y = ids[r[keep]], c["rep"][o[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return run
+
+
+def _hashes(batches):
+    """The full set of each text."""
+    for b in slices(batches):
+        h, first = shingle_sets(Words(b.column("text"), lower=True))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(first.astype(np.int64) * 8), pa.py_buffer(h)]).cast(pa.binary())], names=["doc_id", "set"])
 
 
 def _confirm(batches):
-    """Pairs with both texts -> those whose full sets are similar enough, with the sizes of intersection and union."""
-    sets: dict[tuple[int, int], np.ndarray] = {}
-    held = 0
-
-    def load(batch: pa.RecordBatch, side: str) -> list[tuple[int, int]]:
-        nonlocal held
-        ids, texts = batch.column(side).to_pylist(), binary(batch.column(f"text_{side}"))
-        keys = list(zip(ids, np.diff(buffers(texts)[1]).tolist(), strict=True))
-        new = {k: i for i, k in enumerate(keys) if k not in sets}
-        if new:
-            h, first = shingle_sets(Words(texts.take(pa.array(list(new.values()))), lower=True))
-            for i, k in enumerate(new):
-                sets[k] = h[first[i] : first[i + 1]].copy()
-                held += sets[k].nbytes
-        return keys
-
-    for b in slices(batches, "text_b"):
-        if held > CONFIRM_BYTES:
-            sets.clear()
-            held = 0
-        first, second = load(b, "a"), load(b, "b")
-        both, joint = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
-        for at, n in zip(*groups(np.asarray(b.column("a"))), strict=True):
-            own, others = sets[first[at]], [sets[k] for k in second[at : at + n]]
-            size = np.array([len(x) for x in others])
-            mine = np.concatenate(others)
-            if not len(own) or not len(mine):
-                continue
-            equal = np.concatenate(([0], np.cumsum(own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine)))
-            end = np.cumsum(size)
-            both[at : at + n] = equal[end] - equal[end - size]
-            joint[at : at + n] = size + len(own) - both[at : at + n]
+    """Pairs with both sets -> those that are similar enough, with the sizes of intersection and union."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        (x, at_x), (y, at_y) = (buffers(b.column(f"set_{k}")) for k in "ab")
+        x, y, at_x, at_y = x.view(np.uint64), y.view(np.uint64), at_x // 8, at_y // 8
+        both = np.zeros(b.num_rows, np.int64)
+        for i in range(b.num_rows):
+            own, other = x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]]
+            if len(own) and len(other):
+                both[i] = np.count_nonzero(own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other)
+        joint = np.diff(at_x) + np.diff(at_y) - both
         take = np.flatnonzero((both * DENOMINATOR >= joint * NUMERATOR) & (joint > 0))
         yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(take)), b.column("b").take(pa.array(take)), pa.array(both[take]), pa.array(joint[take])], names=["a", "b", "shared", "joint"])
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if bounded_broadcast(ids, BROADCAST_IDS) else ids
+
+
 def _confirmed(candidates: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidates (a, b) whose sets are similar, as a written table."""
+    """Candidates (a, b) whose sets are similar, as a written table. A document's set is made once, from its whole text."""
     candidates = materialise(candidates.distinct(), "candidates")
-    ids = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
-    if bounded_broadcast(ids, BROADCAST_IDS):
-        ids = F.broadcast(ids)
-    # one row for an id, whose rows may be several
-    need = materialise(texts.join(ids, "doc_id", "left_semi"), "texts")
-    pairs = candidates.join(need.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(need.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    links = materialise(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, shared long, joint long"), "links")
-    discard(need)
+    ids = _few(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    # several rows of an id are several sets
+    sets = materialise(texts.join(ids, "doc_id", "left_semi").mapInArrow(_hashes, "doc_id long, set binary"), "sets")
+    pairs = candidates.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
+    links = materialise(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long, shared long, joint long"), "links")
+    discard(sets)
     discard(candidates)
     return links
 
@@ -275,59 +277,70 @@ def _confirmed(candidates: DataFrame, texts: DataFrame) -> DataFrame:
 def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sets, links): doc_id, n_shingles, rep (the smallest id with an equal set; null for an empty set) of every
     document, and the confirmed links (a, b, shared, joint) between representatives that tie components together:
-    all links of nodes compared exhaustively, and a connected choice of those within large groups of near copies."""
+    those of nodes compared exhaustively, and a connected choice of those within large groups of near copies."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = materialise(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"), "sketches")
-    classes = materialise(sketched.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    sets = sketched.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"), "k1", "k2")
-    reps = materialise(
-        sketched.select(F.col("doc_id").alias("rep"), "k1", "k2", F.col("n_shingles").alias("n"), "sketch").join(classes, ["rep", "k1", "k2"], "left_semi").dropDuplicates(["rep", "k1", "k2"]).select("rep", "n", "sketch"),
-        "reps",
-    )
+    # equal sets have equal sketches, so a class is its first row
+    reps = materialise(sketched.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "reps")
+    sets = sketched.select("doc_id", "n_shingles", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"], "left").select("doc_id", "n_shingles", "rep", "k1", "k2")
+    reps = reps.select("rep", "n", "sketch")
     texts = texts.where("text is not null")
 
     def sized(rows: DataFrame) -> DataFrame:
         # written, as are other sides of joins below: Spark splits skewed partitions only of plain exchanges
         size = materialise(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
-        return materialise(rows.join(size, "path"), "nodes")
-
-    level, candidates = sized(reps.mapInArrow(_roots(DEPTHS[0]), "rep long, path long")), None
-    for depth, after in zip(DEPTHS, (*DEPTHS[1:], None), strict=True):
-        leaf = level.where(F.col("m") <= LEAF).join(reps, "rep").groupBy("path").agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("members")).select("members").mapInArrow(_leaf_pairs, "a long, b long")
-        candidates = leaf if candidates is None else candidates.union(leaf)
-        large = level.where(F.col("m") > LEAF).select("rep", "path")
-        if after is None or large.isEmpty():
-            break
-        level = sized(large.join(reps, "rep").mapInArrow(_deeper(after - depth), "rep long, path long"))
-    hub = materialise(large.groupBy("path").agg(F.min("rep").alias("a")), "hubs")
-    candidates = candidates.union(large.join(hub, "path").where("rep <> a").select("a", F.col("rep").alias("b")))
-    links = _confirmed(candidates, texts)
+        return materialise(rows.join(_few(size), "path"), "nodes")
+
+    def leaves(level: DataFrame) -> DataFrame:
+        members = level.where(F.col("m") <= LEAF).join(reps, "rep").groupBy("path").agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("members"))
+        return members.select("members").mapInArrow(_leaf_pairs, "a long, b long")
+
+    def stars(large: DataFrame) -> DataFrame:
+        """Each member of a node with the node's first."""
+        hub = materialise(large.groupBy("path").agg(F.min("rep").alias("a")), "hubs")
+        return large.join(_few(hub), "path").where("rep <> a").select("a", F.col("rep").alias("b"))
+
+    level = sized(reps.mapInArrow(_roots(DEPTH), "rep long, path long"))
+    candidates, depth = leaves(level), DEPTH + STEPS
+    large = level.where(F.col("m") > LEAF).select("rep", "path")
+    if large.isEmpty():
+        return sets, _confirmed(candidates, texts)
+    level = sized(large.join(reps, "rep").mapInArrow(_deeper(STEPS), "rep long, path long"))
+    large = level.where(F.col("m") > LEAF).select("rep", "path")
+    links = _confirmed(candidates.union(leaves(level)).union(stars(large)), texts)
     if large.isEmpty():
         return sets, links
-    ids = large.select(F.col("rep").alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if bounded_broadcast(ids, BROADCAST_IDS) else ids
-    fine = materialise(texts.join(ids, "doc_id", "left_semi").mapInArrow(_fine, "rep long, n long, sketch binary").join(reps.join(ids.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").mapInArrow(_paths, "rep long, paths binary"), "rep"), "fine")
+    ids = _few(large.select(F.col("rep").alias("doc_id")).distinct())
+    fine = materialise(texts.join(ids, "doc_id", "left_semi").mapInArrow(_fine, "rep long, n long, fine binary").join(reps.drop("n"), "rep"), "fine")
     while True:
-        found = components(links)
-        member = large.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("path", "rep", F.coalesce("component", "rep").alias("label"))
-        member = materialise(member, "members")
-        discard(found)
-        main = member.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy("path").agg(F.max_by("label", F.struct("n", F.negative("label"))).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+        found = components(links.select("a", "b")).withColumnRenamed("id", "rep")
+        member = materialise(large.join(_few(found), "rep", "left").select("path", "rep", F.coalesce("component", "rep").alias("label")), "members")
+        main = member.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy("path").agg(F.max_by("label", F.struct("n", F.negative("label"))).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
         main = materialise(main, "main")
-        others = member.join(main, "path").where("label <> main").select("path", "rep", "label")
-        # the smallest of each node's others by id, a bounded number
-        rank = F.row_number().over(Window.partitionBy("path").orderBy("rep"))
-        all_others = materialise(others, "others")
-        others = materialise(all_others.withColumn("rank", rank).where(F.col("rank") <= PROBE * CHUNKS), "others")
-        if others.isEmpty():
+        if main.isEmpty():
             return sets, links
-        probe = others.join(fine, "rep").groupBy("path", F.floor((F.col("rank") - 1) / PROBE).alias("chunk")).agg(F.collect_list(F.struct("rep", "label", "n", "sketch", "paths")).alias("probe"))
-        candidates = member.join(fine, "rep").join(probe, "path").select("path", "rep", "label", "n", "sketch", "paths", "probe").mapInArrow(_probe_pairs, "a long, b long")
+        # nodes that are one component but for a bounded number of members: these are compared with all others
+        rank = F.row_number().over(Window.partitionBy("path").orderBy("rep"))
+        few = F.lit(depth >= DEEPEST) | (F.col("others") <= PROBE * CHUNKS)
+        others = member.join(_few(main.where(few)), "path").where("label <> main").select("path", "rep", "label").withColumn("rank", rank)
+        probed = materialise(others.where(F.col("rank") <= PROBE * CHUNKS), "others")
+        probe = probed.join(fine, "rep").groupBy("path", F.floor((F.col("rank") - 1) / PROBE).alias("chunk")).agg(F.collect_list(F.struct("rep", "label", "n", "fine", "sketch")).alias("probe"))
+        candidates = member.join(fine, "rep").join(probe, "path").select("path", "rep", "label", "n", "fine", "sketch", "probe").mapInArrow(_probe_pairs(depth), "a long, b long")
+        # the rest: members of larger mixtures branch again; beyond DEEPEST what was probed leaves its node
+        if depth >= DEEPEST:
+            left = member.join(main, "path").join(probed.select("path", "rep"), ["path", "rep"], "left_anti")
+            large = materialise(left.select("rep", "path"), "nodes")
+        else:
+            mixed = member.join(_few(main.where(~few)), "path").select("rep", "path")
+            large = mixed
+            if not mixed.isEmpty():
+                level = sized(mixed.join(reps, "rep").mapInArrow(_deeper(STEPS), "rep long, path long"))
+                large = level.where(F.col("m") > LEAF).select("rep", "path")
+                candidates = candidates.union(leaves(level)).union(stars(large))
+                depth += STEPS
         links = materialise(links.union(_confirmed(candidates.distinct().join(links, ["a", "b"], "left_anti"), texts)), "links")
-        if all_others.count() == others.count():
+        if large.isEmpty():
             return sets, links
-        # what was probed has been compared with its whole node and leaves it
-        large = materialise(large.select("path", "rep").join(others.select("path", "rep"), ["path", "rep"], "left_anti"), "nodes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

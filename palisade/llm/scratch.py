@@ -7,6 +7,7 @@ Executors may be lost at any time, so what an iterative plan needs again is writ
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a new local folder only where that is unset, as in tests."""
+    """The session's spark.checkpoint.dir; a new local folder only where that is unset and Spark has no other machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="palisade-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -7,7 +7,7 @@ document if the same words also start in a document with a smaller id.
 2. Phrases picked in two documents or more are confirmed as recurring by a sharded count.
 3. The recurring phrases of each shard of documents are compiled into an Aho-Corasick automaton, whose letters are
    the shard's words, and the shard's documents are streamed through it to locate every occurrence.
-4. Windows that hold an occurrence are hashed; a sharded minimum finds the first document of each, and the words
+4. Windows that hold an occurrence are hashed to 128 bits; a sharded minimum finds the first document of each, and the words
    covered by windows of later documents are removed.
 
 Documents with equal words are handled as one: all but the first lose everything (or nothing, if shorter than a
@@ -57,7 +57,7 @@ def winnow(w: Words, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.nda
     n = len(w.start)
     start, _ = w.windows(phrase)
     h = np.full(n, 2**64 - 1, np.uint64)
-    h[start] = w.sequence(start, start + phrase)
+    h[start] = w.rolling(phrase)[start]
     width = window - phrase + 1
     least = _slide(h, width, True)
     valid = np.zeros(n, bool)
@@ -114,11 +114,11 @@ def _locate(batches):
             starts.append(np.flatnonzero(np.cumsum(inside[: max(0, n - WINDOW + 1)]) > 0))
         count = np.array([len(x) for x in starts])
         at = np.concatenate(starts) + np.repeat(w.first[:-1], count)
-        h = w.sequence(at, at + WINDOW)
+        h, g = (w.rolling(WINDOW, seed)[at] if len(at) else np.zeros(0, np.uint64) for seed in (0, 1))
         offsets = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("k1"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(starts).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))],
-            names=["doc_id", "k1", "starts", "windows"],
+            [b.column("doc_id"), b.column("k1"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(starts).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(g.view(np.int64)))],
+            names=["doc_id", "k1", "starts", "windows", "checks"],
         )
 
 
@@ -159,10 +159,10 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ids = _near(places.select("doc_id").distinct())
     keyed = texts.where("text is not null").join(ids, "doc_id", "left_semi").mapInArrow(_keyed, "doc_id long, k1 long, text string")
-    located = materialise(keyed.dropDuplicates(["doc_id", "k1"]).join(places, ["doc_id", "k1"]).select("doc_id", "k1", "text", "places").mapInArrow(_locate, "doc_id long, k1 long, starts array<int>, windows array<long>"), "windows")
-    windows = located.select("doc_id", "k1", F.explode(F.arrays_zip("starts", "windows")).alias("w")).select("doc_id", "k1", F.col("w.starts").alias("start"), F.col("w.windows").alias("window"))
-    holder = materialise(windows.groupBy("window").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("most")).where("holder < most").select("window", "holder"), "holders")
-    gone = materialise(windows.join(holder, "window").where("doc_id > holder").groupBy("doc_id", "k1").agg(F.collect_list("start").alias("starts")), "removed")
+    located = materialise(keyed.dropDuplicates(["doc_id", "k1"]).join(places, ["doc_id", "k1"]).select("doc_id", "k1", "text", "places").mapInArrow(_locate, "doc_id long, k1 long, starts array<int>, windows array<long>, checks array<long>"), "windows")
+    windows = located.select("doc_id", "k1", F.explode(F.arrays_zip("starts", "windows", "checks")).alias("w")).select("doc_id", "k1", F.col("w.starts").alias("start"), F.col("w.windows").alias("window"), F.col("w.checks").alias("check"))
+    holder = materialise(windows.groupBy("window", "check").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("most")).where("holder < most").select("window", "check", "holder"), "holders")
+    gone = materialise(windows.join(holder, ["window", "check"]).where("doc_id > holder").groupBy("doc_id", "k1").agg(F.collect_list("start").alias("starts")), "removed")
 
     ids = _near(gone.select("doc_id").distinct())
     keyed = texts.where("text is not null").join(ids, "doc_id", "left_semi").mapInArrow(_keyed, "doc_id long, k1 long, text string")
