@@ -1,23 +1,27 @@
-"""Document fingerprints: a Merkle tree over paragraphs and sections.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and runs of words.
 
 Paragraphs are lines. A section is a run of paragraphs that ends where a paragraph's digest says so, so that an edit
-moves no border but its own. A section's digest covers those of its paragraphs and the root's covers the sections':
-equal roots mean equal texts, and differing branches locate edits. Below the paragraphs stand marks, short digests of
-runs of a few words whose borders are also set by content; the share of marks that two trees have in common is their
-likeness, which works for texts of a single paragraph too.
-
-A fingerprint is ``root.sections.paragraphs.marks``: hex digits of 16 bytes, then base64 of 6 bytes for a section (a
-digest of 4, its number of paragraphs), 4 for a paragraph, 3 for a mark (each once, in order of value).
-
-Edge cases: null is an empty text, whose tree has one empty paragraph; trees without marks are alike only if their
-roots are equal; rows with the same id follow each other in order of their texts; a table of one row is its own next
-document; extra columns are ignored.
+moves no border but its own. The leaves are runs of a few words of a paragraph, whose borders are set by content too,
+so that texts of a single paragraph have branches as well. A paragraph's digest covers its bytes, a section's those of
+its paragraphs and the root's the sections': equal roots mean equal texts, and differing branches locate edits. The
+likeness of two trees is the share of leaves that they have in common, found by a descent from the roots: branches
+with equal digests are common with all their leaves, only differing ones are looked into.
+
+A fingerprint is ``root.sections.paragraphs.leaves``: hex digits of 16 bytes, then base64 of 8 bytes for a section
+and for a paragraph (a digest of 4, the number of branches) and 3 for a leaf, all in order.
+
+Edge cases: null is an empty text, whose tree has one empty paragraph; trees without leaves are alike only if their
+roots are equal; rows with the same id follow each other in order of their texts; a row without an id stands first;
+a table of one row is its own next document; texts may be of any length, a range of ids streams through one task;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
+from collections import Counter
 from itertools import islice
 
 import numpy as np
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 from palisade.llm.kernels import Words, slices
 from palisade.llm.ranges import even_keys, id_ranges, range_of
 
-#: One word in so many ends a mark, one paragraph in so many a section.
-MARK_WORDS = 3
+#: One word in so many ends a leaf, one paragraph in so many a section.
+LEAF_WORDS = 3
 SECTION_PARAGRAPHS = 8
 #: Text of the documents that are compared with their neighbours in one task.
 RANGE_BYTES = 12 << 20
@@ -37,86 +41,147 @@ RANGE_BYTES = 12 << 20
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _b64(x: bytes) -> str:
-    return base64.b64encode(x).decode()
+class Tree:
+    """root; of each section and paragraph its digest and the number of its branches; the leaves' digests. All in order."""
+
+    __slots__ = ("root", "sections", "paragraphs", "leaves")
 
+    def __init__(self, root: str, sections: list[tuple[bytes, int]], paragraphs: list[tuple[bytes, int]], leaves: np.ndarray):
+        self.root, self.sections, self.paragraphs, self.leaves = root, sections, paragraphs, leaves
 
-def tree(text: bytes) -> tuple[str, bytes, bytes]:
-    """Root, and the encoded sections and paragraphs."""
-    digests = [hashlib.blake2b(p, digest_size=8).digest() for p in text.split(b"\n")]
-    sections, begin = [], 0
-    for i, d in enumerate(digests, 1):
-        if d[0] % SECTION_PARAGRAPHS == 0 or i == len(digests):
-            sections.append((hashlib.blake2b(b"".join(digests[begin:i]), digest_size=8).digest(), i - begin))
-            begin = i
-    root = hashlib.blake2b(b"".join(d for d, _ in sections), digest_size=16).hexdigest()
-    return root, b"".join(d[:4] + min(n, 65535).to_bytes(2, "little") for d, n in sections), b"".join(d[:4] for d in digests)
+    def encode(self) -> str:
+        parts = [b"".join(d + n.to_bytes(4, "little") for d, n in x) for x in (self.sections, self.paragraphs)]
+        parts.append(self.leaves.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes())
+        return ".".join([self.root, *(base64.b64encode(x).decode() for x in parts)])
 
+    @classmethod
+    def decode(cls, fingerprint: str) -> Tree:
+        root, *parts = fingerprint.split(".")
+        s, p, m = (base64.b64decode(x) for x in parts)
+        pairs = [[(x[i : i + 4], int.from_bytes(x[i + 4 : i + 8], "little")) for i in range(0, len(x), 8)] for x in (s, p)]
+        leaves = np.zeros((len(m) // 3, 4), np.uint8)
+        leaves[:, :3] = np.frombuffer(m, np.uint8).reshape(-1, 3)
+        return cls(root, *pairs, leaves.view("<u4").reshape(-1).astype(np.int64))
 
-def fingerprints(texts: list[bytes]) -> tuple[list[str], list[str], list[np.ndarray]]:
-    """Fingerprints of texts, their roots and their sets of marks."""
+
+def trees(texts: list[bytes]) -> list[Tree]:
     w = Words(pa.array(texts, pa.large_binary()))
     n = len(w.start)
     last = np.zeros(n, bool)
     if n:
         line = np.cumsum(w.data == 10)[w.start]
-        last = w.hash % np.uint64(MARK_WORDS) == 0
+        last = w.hash % np.uint64(LEAF_WORDS) == 0
         last[:-1] |= line[1:] != line[:-1]
         last[w.first[1:][w.counts > 0] - 1] = True
     end = np.flatnonzero(last) + 1
     begin = np.concatenate(([0], end[:-1])).astype(np.int64)
-    mark = (w.runs(begin, end) >> np.uint64(40)).astype(np.int64) if n else np.zeros(0, np.int64)
-    first = np.searchsorted(end, w.first, "right")
-    prints, roots, marks = [], [], []
+    leaf = (w.runs(begin, end) >> np.uint64(40)).astype(np.int64) if n else np.zeros(0, np.int64)
+    # leaves begin in the paragraph that holds them
+    starts = w.start[begin] if n else np.zeros(0, np.int64)
+    out = []
     for i, text in enumerate(texts):
-        own = np.unique(mark[first[i] : first[i + 1]])
-        root, sections, paragraphs = tree(text)
-        packed = own.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-        prints.append(f"{root}.{_b64(sections)}.{_b64(paragraphs)}.{_b64(packed)}")
-        roots.append(root)
-        marks.append(own)
-    return prints, roots, marks
-
-
-def decode(fingerprint: str) -> dict:
-    """root, sections (digest, paragraphs), paragraphs and marks of a fingerprint."""
-    root, sections, paragraphs, marks = fingerprint.split(".")
-    s, p, m = (base64.b64decode(x) for x in (sections, paragraphs, marks))
-    return {
-        "root": root,
-        "sections": [(s[i : i + 4], int.from_bytes(s[i + 4 : i + 6], "little")) for i in range(0, len(s), 6)],
-        "paragraphs": [p[i : i + 4] for i in range(0, len(p), 4)],
-        "marks": {int.from_bytes(m[i : i + 3], "little") for i in range(0, len(m), 3)},
-    }
+        lines = text.split(b"\n")
+        border = np.minimum(w.offsets[i] + np.cumsum([0, *(len(x) + 1 for x in lines)]), w.offsets[i + 1])
+        at = np.searchsorted(starts, border)
+        digests = [hashlib.blake2b(x, digest_size=8).digest() for x in lines]
+        sections, first = [], 0
+        for k, d in enumerate(digests, 1):
+            if d[0] % SECTION_PARAGRAPHS == 0 or k == len(digests):
+                sections.append((hashlib.blake2b(b"".join(digests[first:k]), digest_size=8).digest(), k - first))
+                first = k
+        root = hashlib.blake2b(b"".join(d for d, _ in sections), digest_size=16).hexdigest()
+        paragraphs = list(zip((d[:4] for d in digests), np.diff(at).tolist(), strict=True))
+        out.append(Tree(root, [(d[:4], k) for d, k in sections], paragraphs, leaf[at[0] : at[-1]]))
+    return out
 
 
-def likeness(a: str, b: str) -> float:
-    """Share of marks that two fingerprints have in common: twice the common ones over all; 1 for equal roots."""
-    x, y = decode(a), decode(b)
-    return _alike(x["root"], y["root"], len(x["marks"]), len(y["marks"]), len(x["marks"] & y["marks"]))
+def _unequal(a: list[tuple], b: list[tuple]) -> tuple[int, list[tuple], list[tuple]]:
+    """Leaves of the branches (digest, branches, first leaf, end) that both have, and the other branches of each."""
+    have = Counter(x[:2] for x in b)
+    shared, rest, matched = 0, [], Counter()
+    for x in a:
+        if have[x[:2]] > 0:
+            have[x[:2]] -= 1
+            matched[x[:2]] += 1
+            shared += x[3] - x[2]
+        else:
+            rest.append(x)
+    others = []
+    for x in b:
+        if matched[x[:2]] > 0:
+            matched[x[:2]] -= 1
+        else:
+            others.append(x)
+    return shared, rest, others
+
+
+def alike(a: Tree, b: Tree) -> float:
+    """Twice the common leaves over all leaves; 1 for equal roots."""
+    if a.root == b.root:
+        return 1.0
+    total = len(a.leaves) + len(b.leaves)
+    if not total:
+        return 0.0
+    levels = []
+    for t in (a, b):
+        at = np.concatenate(([0], np.cumsum([n for _, n in t.paragraphs]))).tolist()
+        own = np.concatenate(([0], np.cumsum([n for _, n in t.sections]))).tolist()
+        sections = [(d, n, at[i], at[j], i, j) for (d, n), i, j in zip(t.sections, own, own[1:], strict=False)]
+        levels.append((at, sections))
+    common, *open_ = _unequal(levels[0][1], levels[1][1])
+    below = [[(*t.paragraphs[k], at[k], at[k + 1]) for *_, i, j in x for k in range(i, j)] for t, (at, _), x in zip((a, b), levels, open_, strict=True)]
+    more, *open_ = _unequal(*below)
+    x, y = (np.concatenate([t.leaves[:0], *(t.leaves[i:j] for _, _, i, j in rest)]) for t, rest in zip((a, b), open_, strict=True))
+    (u, m), (v, k) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    _, p, q = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    return 2 * (common + more + int(np.minimum(m[p], k[q]).sum())) / total
 
 
-def _alike(root_a: str, root_b: str, a: int, b: int, both: int) -> float:
-    return 1.0 if root_a == root_b else 2 * both / (a + b) if a + b else 0.0
+def likeness(a: str, b: str) -> float:
+    """Share of leaves that two fingerprints have in common."""
+    return alike(Tree.decode(a), Tree.decode(b))
+
+
+def _runs(a: list, b: list) -> list[tuple[int, int, int, int]]:
+    """Where two lists differ: runs [i, j) of a that stand where [k, m) stands in b. What both have once, in a longest
+    common order, is aligned, and what is equal beside it; the time is that of sorting."""
+    (na, nb), pa_, pb = (Counter(a), Counter(b)), {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
+    pairs = [(pa_[x], pb[x]) for x in a if na[x] == 1 and nb[x] == 1]
+    tops: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(pairs)
+    for i, (_, k) in enumerate(pairs):  # longest increasing run of places in b
+        at = bisect_left(tops, k)
+        tops[at : at + 1] = [k]
+        last[at : at + 1] = [i]
+        before[i] = last[at - 1] if at else -1
+    chain = []
+    i = last[-1] if last else -1
+    while i >= 0:
+        chain.append(pairs[i])
+        i = before[i]
+    out, i, k = [], 0, 0
+    for j, m in [*reversed(chain), (len(a), len(b))]:
+        while i < j and k < m and a[i] == b[k]:
+            i, k = i + 1, k + 1
+        end_j, end_m = j, m
+        while end_j > i and end_m > k and a[end_j - 1] == b[end_m - 1]:
+            end_j, end_m = end_j - 1, end_m - 1
+        if end_j > i or end_m > k:
+            out.append((i, end_j, k, end_m))
+        i, k = j, m
+    return out
 
 
 def edits(a: str, b: str) -> list[tuple[int, int, int, int]]:
-    """Runs of paragraphs [i, j) of a that stand where [k, l) stands in b; branches with equal digests are skipped."""
-    from difflib import SequenceMatcher
-
-    x, y = decode(a), decode(b)
-    if x["root"] == y["root"]:
+    """Runs of paragraphs [i, j) of a that stand where [k, m) stands in b; branches with equal digests are skipped."""
+    x, y = Tree.decode(a), Tree.decode(b)
+    if x.root == y.root:
         return []
+    sx, sy = ([0, *np.cumsum([n for _, n in t.sections]).tolist()] for t in (x, y))
     out = []
-
-    def starts(t: dict) -> list[int]:
-        return [0, *np.cumsum([n for _, n in t["sections"]]).tolist()]
-
-    sx, sy = starts(x), starts(y)
-    for op, i, j, k, m in SequenceMatcher(None, x["sections"], y["sections"], False).get_opcodes():
-        if op != "equal":
-            px, py = x["paragraphs"][sx[i] : sx[j]], y["paragraphs"][sy[k] : sy[m]]
-            out += [(sx[i] + a0, sx[i] + a1, sy[k] + b0, sy[k] + b1) for o, a0, a1, b0, b1 in SequenceMatcher(None, px, py, False).get_opcodes() if o != "equal"]
+    for i, j, k, m in _runs(x.sections, y.sections):
+        out += [(sx[i] + p, sx[i] + q, sy[k] + r, sy[k] + s) for p, q, r, s in _runs(x.paragraphs[sx[i] : sx[j]], y.paragraphs[sy[k] : sy[m]])]
     return out
 
 
@@ -125,7 +190,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in slices(batches):
-            prints, _, _ = fingerprints([(t or "").encode() for t in b.column("text").to_pylist()])
+            prints = [t.encode() for t in trees([(t or "").encode() for t in b.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints)], names=["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
@@ -152,7 +217,7 @@ def _compare(batches):
     held: tuple | None = None
     for b in slices(batches):
         texts = b.column("text").to_pylist()
-        rows = list(zip(b.column("range").to_pylist(), b.column("ahead").to_pylist(), b.column("doc_id").to_pylist(), texts, *fingerprints([t.encode() for t in texts]), strict=True))
+        rows = list(zip(b.column("range").to_pylist(), b.column("ahead").to_pylist(), b.column("doc_id").to_pylist(), texts, trees([t.encode() for t in texts]), strict=True))
         rows = [held, *rows] if held else rows
         held = rows[-1]
         out, edited = [], []
@@ -162,11 +227,9 @@ def _compare(batches):
                 cut = len(text) // 4
                 edited.append((text[: len(text) - cut] + after[3][:cut]).encode())
                 out.append((row, after))
-        prints, roots, marks = fingerprints(edited)
         columns: list[tuple] = []
-        for (row, after), text, p, r, m in zip(out, edited, prints, roots, marks, strict=True):
-            near = [_alike(row[5], root, len(row[6]), len(x), len(np.intersect1d(row[6], x, assume_unique=True))) for root, x in ((r, m), (after[5], after[6]))]
-            columns.append((row[2], len(row[3]), hashlib.sha256(text).hexdigest(), row[4], p, *near))
+        for (row, after), text, t in zip(out, edited, trees(edited), strict=True):
+            columns.append((row[2], len(row[3]), hashlib.sha256(text).hexdigest(), row[4].encode(), t.encode(), alike(row[4], t), alike(row[4], after[4])))
         if columns:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*columns, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])

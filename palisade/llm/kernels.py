@@ -149,7 +149,7 @@ class Words:
         n = len(self.start)
         if n < k:
             return np.zeros(0, np.uint64)
-        x = mix(self.hash + np.uint64(seed + 1) * _R3)
+        x = mix(self.hash + np.uint64((seed + 1) * int(_R3) % (1 << 64)))
         out, have, span = None, 0, 1
         while span <= k:
             if k & span:

@@ -1,4 +1,4 @@
-"""Ranges of document ids that hold about equal amounts of text."""
+"""Ranges of document ids that hold about equal numbers of rows."""
 
 from __future__ import annotations
 
@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 
 from palisade.llm.scratch import columns
 
-MOST_RANGES = 4096
+#: Bounds that the driver and each task hold, 8 bytes each.
+MOST_RANGES = 200_000
 MOST_KEYS = 20_000
 
 
 def id_ranges(texts: DataFrame, range_bytes: int) -> tuple[np.ndarray, int]:
     """First ids of the ranges, ascending and all of them present in the table (0 if it is empty). There are as many as
-    shuffle partitions at least, so that small tables are spread too, and MOST_RANGES at most: beyond, ranges grow. Also the bytes of all texts."""
+    shuffle partitions at least, so that small tables are spread too, and MOST_RANGES at most: beyond some 2 TB ranges
+    grow (to 500 MB at 100 TB), and stream through their tasks all the same. Also the bytes of all texts."""
     size = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("least")).first()
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = min(MOST_RANGES, max(parts, (size.bytes or 0) // range_bytes))
     least = size.least if size.least is not None else 0
-    cuts = texts.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * MOST_RANGES).alias("q")).first().q if n > 1 else []
+    cuts = texts.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(40_000, 10 * n)).alias("q")).first().q if n > 1 else []
     return np.unique(np.array([least, *(cuts or [])], np.int64)), size.bytes or 0
 
 

@@ -68,6 +68,24 @@ def test_words_are_those_of_split(texts):
     assert len(set(zip(flat, w.hash.tolist(), strict=True))) == len(set(flat)) == len(set(w.hash.tolist()))
 
 
+def test_words_of_like_structure_have_hashes_of_their_own():
+    import pyarrow as pa
+
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    texts = [bytes(97 + b for b in bits), bytes(98 - b for b in bits), bytes(97 + b for b in bits[:1024]), bytes(98 - b for b in bits[:1024]), b"ab" * 40, b"ba" * 40, b"a" * 65, b"a" * 66]
+    w = kernels.Words(pa.array(texts, pa.large_binary()))
+    assert len(set(w.hash.tolist())) == len(texts)
+    names = [b" ".join(b"xy"[b : b + 1] for b in y) for y in (bits, [1 - b for b in bits])]
+    w = kernels.Words(pa.array(names, pa.large_binary()))
+    for k in (1, 2, 3, 5, 16, 50, 64):
+        start, row = w.windows(k)
+        seen = {}
+        for s, h, g in zip(start.tolist(), w.rolling(k)[start].tolist(), w.rolling(k, 1)[start].tolist(), strict=True):
+            seq = tuple(w.word(i) for i in range(s, s + k))
+            assert seen.setdefault(h, seq) == seq and h != g
+    assert len(set(w.runs(w.first[:-1], w.first[1:]).tolist())) == 2
+
+
 def test_slices_hold_every_row_once():
     import pyarrow as pa
 
@@ -226,21 +244,42 @@ def test_fingerprints(spark, docs, empty):
         after = rows[(i + 1) % len(rows)][1]
         cut = len(t) // 4
         e = t[: len(t) - cut] + after[:cut]
-        a, b, c = (fingerprints.fingerprints([x.encode()])[0][0] for x in (t, e, after))
-        expected.append((doc, len(t), hashlib.sha256(e.encode()).hexdigest(), a, b, fingerprints.likeness(a, b), fingerprints.likeness(a, c)))
+        own, edited, other = (fingerprints.trees([x.encode()])[0] for x in (t, e, after))
+        expected.append((doc, len(t), hashlib.sha256(e.encode()).hexdigest(), own.encode(), edited.encode(), plain_likeness(own, edited), plain_likeness(own, other)))
     assert sorted(map(tuple, got)) == sorted(expected)
     assert fingerprints.compare_with_next(empty).count() == 0
     only = fingerprints.compare_with_next(frame(spark, [(1, "a b c d", "en", "s", 7)])).first()
     assert only.near_next == 1.0
+    unnamed = fingerprints.compare_with_next(frame(spark, [(None, "a b", "en", "s", 3), (1, "c d", "en", "s", 3)])).collect()
+    assert sorted((r.doc_id is None, r.n_chars) for r in unnamed) == [(False, 3), (True, 3)]
+
+
+def plain_likeness(a, b):
+    """All leaves against all, without a look at the branches above them."""
+    if a.root == b.root:
+        return 1.0
+    x, y = Counter(a.leaves.tolist()), Counter(b.leaves.tolist())
+    return 2 * (x & y).total() / max(1, x.total() + y.total())
 
 
 def test_equal_texts_and_edits():
     a = b"\n".join(b"paragraph %d with some words of its own" % i for i in range(60))
     b = a.replace(b"paragraph 30", b"sentence 30")
-    x, y, z = fingerprints.fingerprints([a, b, a])[0]
+    x, y, z = (t.encode() for t in fingerprints.trees([a, b, a]))
     assert x == z != y and fingerprints.edits(x, z) == [] and fingerprints.edits(x, y) == [(30, 31, 30, 31)]
     assert 0.9 < fingerprints.likeness(x, y) < 1
-    assert fingerprints.fingerprints([b"a b"])[0] != fingerprints.fingerprints([b"a  b"])[0]
+    assert fingerprints.trees([b"a b"])[0].root != fingerprints.trees([b"a  b"])[0].root
+    added = a.replace(b"paragraph 7 ", b"new\nnew too\nparagraph 7 ")
+    assert fingerprints.edits(x, fingerprints.trees([added])[0].encode()) == [(7, 7, 7, 9)]
+
+
+def test_trees_of_many_paragraphs_end_soon():
+    a, b = b"same line\n" * 70_000 + b"end", b"same line\n" * 69_990 + b"other\nend"
+    x, y = fingerprints.trees([a, b])
+    decoded = fingerprints.Tree.decode(x.encode())
+    assert sum(n for _, n in decoded.sections) == 70_001 and sum(n for _, n in decoded.paragraphs) == len(decoded.leaves)
+    runs = fingerprints.edits(x.encode(), y.encode())
+    assert runs and all(i <= j and k <= m for i, j, k, m in runs) and 0.99 < fingerprints.alike(x, y) < 1
 
 
 # 4
@@ -337,16 +376,20 @@ def test_tokenizer_gives_the_ids_of_the_plain_one():
     import public_tokenizers
 
     t = packing.loaded(public_tokenizers.path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
     assert t.fast is not None
-    for text in ["", "a  b\n\n c\t\td  x", " lead", "trail ", "don't I'll 12 34,5 ...", "\x1c a\x85b", "é日本 x", "<|endoftext|> a", "x" * 3000, "​﻿z"]:
-        assert t.encode(text).tolist() == t.plain.encode(text, add_special_tokens=False).ids
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert t.encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    for text in ["", "x<|ENDOFTEXT|>", "<|endoftext|><|endoftext|>", "a  b\n\n c\t\td  x", " lead", "trail ", "don't I'll 12 34,5 ...", "\x1c a\x85b", "é日本 x", "<|endoftext|> a", "x" * 3000, "​﻿z"]:
+        assert t.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_neighbours_come_first():
     rng = random.Random(4)
     topics = [[rng.randrange(100, 40000) for _ in range(60)] for _ in range(4)]
     docs = [(i, np.array([rng.choice(topics[i % 4]) for _ in range(500)], np.uint16)) for i in range(40)]
-    df = np.zeros(packing.VOCABULARY)
+    df = np.zeros(1 << 16)
     for _, x in docs:
         df[np.unique(x)] += 1
     packer = packing.Packer(np.where(df > 0, np.log1p((40 - df + 0.5) / (df + 0.5)), 0), 500, 0)
@@ -441,6 +484,65 @@ def test_html():
     assert html_text.main_text(f"<div><a href=x>Home</a> <a href=y>More</a></div><p>{long}</p><p>Short one.</p><p>{long}</p><p>Tail</p>") == f"{long}\nShort one.\n{long}"
 
 
+def test_names_of_what_a_page_has_drop_nothing():
+    prose = "<p>It is what it was, and all of us were there for the most of it, as they said to him and to her.</p>" * 3
+    for name in ("content has-sidebar", "no-ads", "post with-comments", "sidebar-right", "layout-sidebar"):
+        assert len(html_text.main_text(f'<div class="{name}"><article>{prose}</article></div>')) > 200
+        assert len(html_text.main_text(f'<div class="{name}">{prose}</div>')) > 200
+    assert len(html_text.main_text('<p id="related-work">' + prose[3:])) > 200
+    page = f'{prose}<div class="ad">It is for you and all of yours.</div><div id="comments">{prose}</div><div class="cookie-banner">We use it for the site and for you.</div><div class="header">It was the site of all that is.</div>'
+    assert html_text.main_text(page) == html_text.main_text(prose)
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a ">"', "<b><div></div>", "<script ", "<script>", "<!--", "<div></p>", "<i><div><b></i>", '<div class="ad">x', "<", "&#", "<p x='"])
+def test_odd_pages_take_linear_time(piece):
+    import time
+
+    began = time.time()
+    html_text.main_text(piece * (1_000_000 // len(piece)) + "</p></div>" * 20_000 + ">")
+    assert time.time() - began < 10
+
+
+def plain_passes(found):
+    """The two passes, block by block."""
+    found = [b for b in found if b.main] or found
+    first = []
+    for b in found:
+        n, links = len(b.text), b.linked / len(b.text)
+        w = [x for x in "".join(c if c.isalpha() else " " for c in b.text.lower()).split()]
+        stop = sum(x in html_text.STOP_WORDS for x in w) / max(1, len(w))
+        if links > html_text.MOST_LINKS and not (b.main and (links <= 0.8 or n >= html_text.SHORT)):
+            first.append("bad")
+        elif b.main:
+            first.append("short" if b.linked and n < html_text.SHORT else "good")
+        elif n < html_text.SHORT:
+            first.append("bad" if b.linked else "short")
+        elif stop < html_text.LOW_STOP:
+            first.append("bad")
+        else:
+            first.append("good" if stop >= html_text.HIGH_STOP and n > html_text.LONG else "near")
+    if "good" not in first:
+        first = ["good" if x == "near" else x for x in first]
+    for kind, needed in (("near", 1), ("short", 2)):
+        known = list(first)
+        for i, x in enumerate(known):
+            if x == kind:
+                sides = (next((y for y in reversed(known[:i]) if y in ("good", "bad")), "bad"), next((y for y in known[i + 1 :] if y in ("good", "bad")), "bad"))
+                first[i] = "good" if sides.count("good") >= needed else "bad"
+    return [b.text for b, x in zip(found, first, strict=True) if x == "good"]
+
+
+def test_two_passes_equal_plain_ones():
+    rng = random.Random(12)
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randrange(1, 14)):
+            text = " ".join(rng.choice(["the", "and", "of", "xylo", "quark", "brim"]) for _ in range(rng.randrange(1, 70)))
+            parts.append(rng.choice([f"<p>{text}</p>", f"<p><a href=x>{text}</a></p>", f"<div>{text} <a>{text[:20]}</a></div>", f"<li>{text}"]))
+        page = "".join(parts) if rng.random() < 0.7 else f"<p>top</p><article>{''.join(parts)}</article>"
+        assert html_text.main_text(page).split("\n") == (plain_passes(html_text.blocks(page)) or [""])
+
+
 def test_html_rows(spark, sf):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (2, None, "<article>a &lt; b</article>", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [(1, "", 0), (1, "", 0), (2, "a < b", 5)]
