@@ -7,14 +7,16 @@ size, and smoothed by absolute discounting. Contexts become states; what a conte
 to the next shorter one at the cost of its backoff weight. A document's log-probability is accumulated in one
 left-to-right traversal that carries the state; the documents of a block are traversed in step.
 
-Nothing of the model is held in one place. Word counts are joined by hash: blocks of documents send their distinct words
-and get the counts back. Grams follow in three rounds in which each block sends what it knows, packed by shards of the
-grams' hashes, and gets back what the shards have summed: bigrams; then trigrams of kept bigrams, with each letter's
-discounted counts after it; then those after each bigram. From these a block builds the states and arcs of the automaton
-that its own documents can reach. Blocks and shards are of bounded size; their number grows with the corpus.
-
-Edge cases: null and empty texts are the end token alone; without training documents every count is 0; repeated rows
-count and are scored as often as they occur; extra columns are ignored.
+Nothing of the model is held in one place. Texts are dealt once to blocks, which keep them as numbers of their own
+distinct words. Then come four rounds, in each of which every block sends what it counts, packed by shards of the hashes
+and in their order, and gets back what the shards have summed, place by place: words; bigrams; trigrams of kept bigrams,
+with each letter's discounted counts after it; then those after each bigram. From these a block builds the states and
+arcs of the automaton that its own documents can reach. A block sends each gram once, however often it holds it, so a
+frequent gram is a few bytes of each block. Blocks and shards are of bounded size; their number grows with the corpus.
+
+Edge cases: null and empty texts are the end token alone; a row without an id is trained on, scored and keeps its null;
+without training documents every count is 0; repeated rows count and are scored as often as they occur; very long texts
+are traversed whole; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +38,9 @@ ADD = 0.1
 LEAST = 2
 DISCOUNT = 0.75
 BLOCK_BYTES = 12 << 20
-#: Grams, counted once per block, of a shard.
+#: Grams, counted once per block, of a shard, and bytes of text that have one at least.
 SHARD_GRAMS = 2_000_000
-#: Distinct words that a task holds before it sends them.
-HELD_WORDS = 1_500_000
+GRAM_BYTES = 5
 
 SHAPES = 17 * 5 * 4
 #: Letters: shapes, then the end, then the start, then frequent words.
@@ -64,109 +65,32 @@ def shapes(w: Words) -> np.ndarray:
 
 
 class Blocks:
-    """Blocks of documents: ranges of ids, each dealt to as many parts as keep it near BLOCK_BYTES."""
+    """Blocks of documents: ranges of ids, each dealt to as many parts as keep it near BLOCK_BYTES. Rows of one id are
+    dealt by their texts."""
 
     def __init__(self, spark: SparkSession, bounds: np.ndarray, total: int):
         self.bounds = bounds
         self.parts = max(1, -(-total // (2 * BLOCK_BYTES * len(bounds))))
         self.keys = even_keys(spark, len(bounds) * self.parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def of(self, ids: pa.Array) -> np.ndarray:
-        x = np.asarray(ids)
-        return self.keys[range_of(self.bounds, x) * self.parts + (mix(x.astype(np.uint64)) % np.uint64(self.parts)).astype(np.int64)]
+    def of(self, ids: pa.Array, salt: pa.Array) -> np.ndarray:
+        x = np.asarray(ids.fill_null(0))
+        part = mix(x.astype(np.uint64) ^ np.asarray(salt).view(np.uint64)) % np.uint64(self.parts)
+        return self.keys[range_of(self.bounds, x) * self.parts + part.astype(np.int64)]
 
 
 def _held_out(ids: pa.Array) -> np.ndarray:
-    return crc_of_id(np.asarray(ids)) % HELD_OUT == 0
+    return (crc_of_id(np.asarray(ids.fill_null(0))) % HELD_OUT == 0) & np.asarray(ids.is_valid())
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h, n, shape = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(h, kind="stable")
-    start, _ = groups(h[order])
-    return h[order][start], np.add.reduceat(n[order], start) if len(start) else n, shape[order][start]
-
-
-def _count_words(blocks: Blocks):
-    """Distinct words of each block in a partition: block, hash, shape, occurrences in training documents."""
-
-    def run(batches):
-        held: dict[int, list] = {}
-        size = 0
-
-        def send():
-            for block, parts in held.items():
-                h, n, shape = _merge(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block, np.int32)), pa.array(h.view(np.int64)), pa.array(shape.astype(np.int32)), pa.array(n)], names=["block", "hash", "shape", "n"])
-            held.clear()
-
-        for b in slices(batches):
-            w = Words(b.column("text"), lower=True)
-            train = ~_held_out(b.column("doc_id"))
-            block = blocks.of(b.column("doc_id"))
-            row = w.row()
-            shape = shapes(w)
-            for x in np.unique(block):
-                own = np.flatnonzero(block[row] == x)
-                if len(own):
-                    part = _merge([(w.hash[own], train[row[own]].astype(np.int64), shape[own])])
-                    held.setdefault(int(x), []).append(part)
-                    size += len(part[0])
-            if size > HELD_WORDS:
-                yield from send()
-                size = 0
-        yield from send()
-
-    return run
-
-
-def _total(batches):
-    """Rows in order of hash -> the same rows with the hash's total; the first row of each hash is marked."""
-    held: list[pa.RecordBatch] = []
-
-    def done(table: pa.Table):
-        h, n = np.asarray(table["hash"]), np.asarray(table["n"])
-        start, size = groups(h)
-        total = np.repeat(np.add.reduceat(n, start), size)
-        mark = np.zeros(len(h), bool)
-        mark[start] = True
-        for b in pa.table([table["block"], table["hash"], table["shape"], pa.array(total), pa.array(mark)], names=["block", "hash", "shape", "n", "mark"]).to_batches():
-            yield b
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        h = np.asarray(b.column("hash"))
-        cut = int(np.searchsorted(-(h != h[-1]).astype(np.int8), 0))  # where the last hash begins
-        if cut or held and np.asarray(held[-1].column("hash"))[-1] != h[-1]:
-            yield from done(pa.Table.from_batches([*held, b.slice(0, cut)]))
-            held = [b.slice(cut)]
-        else:
-            held.append(b)
-    if held:
-        yield from done(pa.Table.from_batches(held))
-
-
-class Alphabet:
-    """Letters of words: hashes of the frequent words, ascending."""
-
-    def __init__(self, frequent: np.ndarray):
-        self.frequent = np.sort(frequent)
-
-    def letters(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """The letter of each word and whether it is a rare one."""
-        if not len(self.frequent):
-            return shapes(w), np.ones(len(w.start), bool)
-        at = np.minimum(np.searchsorted(self.frequent, w.hash), len(self.frequent) - 1)
-        known = self.frequent[at] == w.hash
-        return np.where(known, FIRST_WORD + at, shapes(w)), ~known
-
-
-PACKED = "shard int, block int, kind int, data binary"
-#: Kinds of packed rows: a block's documents, discounted counts after letters, bigrams, trigrams, discounted counts after bigrams.
-DOCUMENTS, AFTER_LETTER, BIGRAM, TRIGRAM, AFTER_BIGRAM = range(5)
-#: Bits of a hash that aren't sent: of 10 billion grams, one in some 7 million shares the other 56 with another.
+PACKED = "shard int, block int, kind int, data binary, sums array<long>"
+#: Kinds of packed rows: a block's documents, words, bigrams, discounted counts after letters, trigrams, discounted counts
+#: after bigrams, and a shard's totals of words by shape.
+DOCUMENTS, WORD, BIGRAM, AFTER_LETTER, TRIGRAM, AFTER_BIGRAM, TOTALS = range(7)
+#: Bits of a gram's hash that aren't sent: of 10 billion grams, one in some 7 million shares the other 56 with another.
 UNUSED = np.uint64(8)
+#: Discounted counts are sent as whole numbers of quarters.
+QUARTERS = 4
 #: Bits of a letter's number in a block's own keys.
 WIDE = 31
 _BIGRAM, _TRIGRAM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -185,55 +109,99 @@ def _unpack(data: bytes) -> dict[str, np.ndarray]:
     return {k: np.cumsum(x, dtype=x.dtype) if k == "h" else x for k, x in arrays.items()}
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as they need."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def _rows(rows: list[tuple]) -> pa.Table:
-    shard, block, kind, data = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.table([pa.array(shard, pa.int32()), pa.array(block, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["shard", "block", "kind", "data"])
+    shard, block, kind, data, sums = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+    return pa.table([pa.array(shard, pa.int32()), pa.array(block, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary()), pa.array(sums, pa.list_(pa.int64()))], names=["shard", "block", "kind", "data", "sums"])
 
 
-def _send(shards: np.ndarray, block: int, kind: int, h: np.ndarray, value: np.ndarray) -> list[tuple]:
-    """Rows of distinct hashes and values for the shards that have them. shards: their keys."""
-    h = h >> UNUSED
-    order = np.argsort(h)
-    h, value = h[order], value[order].astype(np.float64)
-    at = ((h >> np.uint64(32 - int(UNUSED))) * np.uint64(len(shards)) >> np.uint64(32)).astype(np.int64)
-    start, size = groups(at)
-    return [(int(shards[at[i]]), block, kind, _pack({"h": h[i : i + n], "n": value[i : i + n]})) for i, n in zip(start.tolist(), size.tolist(), strict=True)]
+def _sent_bits(kind: int, h: np.ndarray) -> np.ndarray:
+    return h if kind == WORD else h >> UNUSED
 
 
-def _sum_shard(key, rows):
-    """To each block the sums of its grams: those of LEAST training occurrences, one block of each marked, and discounted counts above 0."""
+def _send(shards: np.ndarray, block: int, kind: int, h: np.ndarray, value: np.ndarray, shape: np.ndarray | None = None) -> list[tuple]:
+    """Rows of distinct hashes and values for the shards that have them, in order. shards: their keys."""
+    h = _sent_bits(kind, h)
+    order = np.argsort(h, kind="stable")
+    h, value = h[order], value[order]
+    top = h >> np.uint64(32 if kind == WORD else 32 - int(UNUSED))
+    start, size = groups((top * np.uint64(len(shards)) >> np.uint64(32)).astype(np.int64))
+    at = (top[start] * np.uint64(len(shards)) >> np.uint64(32)).astype(np.int64)
     out = []
-    kinds = np.asarray(rows["kind"])
-    for kind in np.unique(kinds):
-        own = np.flatnonzero(kinds == kind)
-        blocks = rows["block"].take(own).to_pylist()
-        parts = [_unpack(rows["data"][int(i)].as_py()) for i in own]
-        h, value = (np.concatenate([p[x] for p in parts]) for x in "hn")
-        order = np.argsort(h, kind="stable")
-        start, size = groups(h[order])
-        total, mark = np.empty(len(h)), np.zeros(len(h), bool)
-        total[order] = np.repeat(np.add.reduceat(value[order], start), size)
-        mark[order[start]] = True
-        kept = total >= LEAST if kind in (BIGRAM, TRIGRAM) else total > 0
-        at = 0
-        for block, part in zip(blocks, parts, strict=True):
-            has = at + np.flatnonzero(kept[at : at + len(part["h"])])
-            at += len(part["h"])
-            if len(has):
-                out.append((0, block, int(kind), _pack({"h": h[has], "n": total[has], "mark": mark[has]})))
-    return _rows(out)
+    for shard, i, n in zip(at.tolist(), start.tolist(), size.tolist(), strict=True):
+        data = {"h": h[i : i + n], "n": _small(value[i : i + n])}
+        if shape is not None:
+            data["s"] = shape[order[i : i + n]].astype(np.uint16)
+        out.append((int(shards[shard]), block, kind * len(shards) + shard, _pack(data), None))
+    return out
+
+
+def _sum_shard(count: int):
+    """To each block the sums of its grams, place by place: all words; grams of LEAST training occurrences, one block of
+    each marked; discounted counts above 0. count: how many shards there are."""
+
+    def run(key, rows):
+        out = []
+        where = np.asarray(rows["kind"])
+        for kind in np.unique(where // count):
+            own = np.flatnonzero(where // count == kind)
+            blocks = rows["block"].take(own).to_pylist()
+            parts = [_unpack(rows["data"][int(i)].as_py()) for i in own]
+            # several shards may have one key
+            h = np.concatenate([p["h"] for p in parts])
+            value = np.concatenate([p["n"].astype(np.int64) for p in parts])
+            order = np.argsort(h, kind="stable")
+            start, size = groups(h[order])
+            each = np.add.reduceat(value[order], start) if len(start) else value
+            total, mark = np.empty(len(h), np.int64), np.zeros(len(h), bool)
+            total[order] = np.repeat(each, size)
+            mark[order[start]] = True
+            if kind == WORD:
+                shape = np.concatenate([p["s"] for p in parts])[order[start]].astype(np.int64)
+                often = each >= LEAST
+                once = (each > 0) & ~often
+                sums = [np.bincount(shape[x], w[x], SHAPES) for x, w in ((often, each), (often, np.ones(len(each))), (once, each), (once, np.ones(len(each))))]
+                out.append((0, -1, TOTALS, b"", np.concatenate(sums).astype(np.int64).tolist()))
+            kept = total >= LEAST if kind in (BIGRAM, TRIGRAM) else total > 0
+            at = 0
+            for i, block, part in zip(own, blocks, parts, strict=True):
+                n = len(part["h"])
+                has = kept[at : at + n]
+                answer = {"size": np.array([n]), "has": np.packbits(has), "n": _small(total[at : at + n][has])}
+                if kind in (BIGRAM, TRIGRAM):
+                    answer["mark"] = np.packbits(mark[at : at + n][has])
+                at += n
+                out.append((int(where[i] % count), block, int(kind), _pack(answer), None))
+        return _rows(out)
+
+    return run
 
 
 class Block:
-    """The documents of a block as letters, and what the rounds so far have given for their grams."""
+    """The documents of a block as letters, and what the rounds so far have given for its grams."""
 
     def __init__(self, rows: pa.Table):
-        kinds = np.asarray(rows["kind"])
-        got = {k: [_unpack(rows["data"][int(i)].as_py()) for i in np.flatnonzero(kinds == k)] for k in range(5)}
-        self.docs = d = got[DOCUMENTS][0]
-        self.size = len(d["letter"])
-        own, counts = d["own"].astype(np.int64), d["counts"]
+        kinds, shards = np.asarray(rows["kind"]), np.asarray(rows["shard"])
+        at = np.lexsort((shards, kinds))
+        self.got = {k: [_unpack(rows["data"][int(i)].as_py()) for i in at[kinds[at] == k]] for k in range(TOTALS)}
+        self.docs = self.got[DOCUMENTS][0]
+
+    def spell(self) -> None:
+        """Words become letters, documents sequences of bigrams."""
+        d = self.docs
+        self.word_count = self.given(WORD, d["word"])[0]
+        often = self.word_count >= LEAST
+        letter_of = np.where(often, FIRST_WORD + np.cumsum(often) - 1, d["shape"].astype(np.int64))
+        own = letter_of[d["own"]]
+        self.hashes = np.concatenate((mix(np.arange(1, FIRST_WORD + 1, dtype=np.uint64)), d["word"][often]))
+        self.counts = self.word_count[often]
+        self.own, self.size = own, len(self.hashes)
         # each row: two starts, its letters, the end
+        counts = d["counts"].astype(np.int64)
         size = counts + 3
         first = np.cumsum(size) - size
         c = np.full(int(size.sum()), START, np.int64)
@@ -252,19 +220,20 @@ class Block:
         self.pair, self.before, self.last = pair, before, c[at]
         a, b = self.pairs >> WIDE, self.pairs & ((1 << WIDE) - 1)
         self.a, self.b = a, b
-        self.hash = np.append(mix(mix(d["letter"][a] ^ _BIGRAM) + d["letter"][b]), mix(mix(d["letter"][START : START + 1] ^ _BIGRAM) + d["letter"][START]))
-        self.got = got
+        self.hash = np.append(mix(mix(self.hashes[a] ^ _BIGRAM) + self.hashes[b]), mix(mix(self.hashes[START : START + 1] ^ _BIGRAM) + self.hashes[START]))
 
     def given(self, kind: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums and marks of grams, 0 of those that were not kept."""
-        total, mark = np.zeros(len(h)), np.zeros(len(h), bool)
-        if self.got[kind]:
-            k, n, m = (np.concatenate([p[x] for p in self.got[kind]]) for x in ("h", "n", "mark"))
-            order = np.argsort(k)
-            k, n, m = k[order], n[order], m[order]
-            at = np.minimum(np.searchsorted(k, h >> UNUSED), len(k) - 1)
-            hit = k[at] == h >> UNUSED
-            total[hit], mark[hit] = n[at[hit]], m[at[hit]]
+        """Sums and marks of the hashes that were sent, 0 of those that were not kept."""
+        total, mark = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        order = np.argsort(_sent_bits(kind, h), kind="stable")
+        at = 0
+        for part in self.got[kind]:
+            n = int(part["size"][0])
+            own = order[at : at + n][np.unpackbits(part["has"], count=n).astype(bool)]
+            total[own] = part["n"]
+            if "mark" in part:
+                mark[own] = np.unpackbits(part["mark"], count=len(own)).astype(bool)
+            at += n
         return total, mark
 
     def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
@@ -276,27 +245,39 @@ class Block:
         can = np.flatnonzero(can[self.before] & can[self.pair])
         key, one, inverse = np.unique(self.before[can] << WIDE | self.last[can], return_index=True, return_inverse=True)
         before, pair = self.before[can][one], self.pair[can][one]
-        n = np.bincount(inverse, self.train[can], len(key))
-        return before, pair, mix(mix(self.hash[before] ^ _TRIGRAM) + self.docs["letter"][self.b[pair]]), n
+        n = np.bincount(inverse, self.train[can], len(key)).astype(np.int64)
+        return before, pair, mix(mix(self.hash[before] ^ _TRIGRAM) + self.hashes[self.b[pair]]), n
+
 
+def _discounted(n: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Quarters of the discounted counts of marked grams."""
+    return np.where(mark, n * QUARTERS - int(DISCOUNT * QUARTERS), 0)
 
-def _first_round(block: Block, shards: np.ndarray, key: int) -> list[tuple]:
-    return _send(shards, key, BIGRAM, block.hash[:-1], np.bincount(block.pair, block.train, len(block.pairs)))
 
+def _words_round(block: Block, shards: np.ndarray, key: int) -> list[tuple]:
+    d = block.docs
+    return _send(shards, key, WORD, d["word"], d["n"].astype(np.int64), d["shape"])
 
-def _second_round(block: Block, shards: np.ndarray, key: int) -> list[tuple]:
+
+def _bigram_round(block: Block, shards: np.ndarray, key: int) -> list[tuple]:
+    block.spell()
+    return _send(shards, key, BIGRAM, block.hash[:-1], np.bincount(block.pair, block.train, len(block.pairs)).astype(np.int64))
+
+
+def _trigram_round(block: Block, shards: np.ndarray, key: int) -> list[tuple]:
+    block.spell()
     n2, mark = block.bigrams()
-    after = np.bincount(block.a, np.where(mark, n2 - DISCOUNT, 0), block.size)
-    used = np.unique(block.a)
+    after = np.bincount(block.a, _discounted(n2, mark), block.size).astype(np.int64)
     _, _, h, n = block.trigrams(n2)
-    return _send(shards, key, AFTER_LETTER, block.docs["letter"][used], after[used]) + _send(shards, key, TRIGRAM, h, n)
+    return _send(shards, key, AFTER_LETTER, block.hashes, after) + _send(shards, key, TRIGRAM, h, n)
 
 
-def _third_round(block: Block, shards: np.ndarray, key: int) -> list[tuple]:
+def _last_round(block: Block, shards: np.ndarray, key: int) -> list[tuple]:
+    block.spell()
     n2, _ = block.bigrams()
     before, _, h, _ = block.trigrams(n2)
     n3, mark = block.given(TRIGRAM, h)
-    after = np.bincount(before, np.where(mark, n3 - DISCOUNT, 0), len(block.hash))
+    after = np.bincount(before, _discounted(n3, mark), len(block.hash)).astype(np.int64)
     used = np.flatnonzero(np.append(n2 > 0, True))
     return _send(shards, key, AFTER_BIGRAM, block.hash[used], after[used])
 
@@ -312,13 +293,13 @@ class Automaton:
         """The states and arcs that a block's documents can reach, of the automaton of all training documents."""
         self = cls.__new__(cls)
         self.bits, self.size = WIDE, block.size
-        count = np.concatenate((shape_tokens, [documents, 0], block.docs["count"])).astype(np.float64)
+        count = np.concatenate((shape_tokens, [documents, 0], block.counts)).astype(np.float64)
         p1 = (count + ADD) / (tokens + ADD * letters)
         p1[START] = 1e-300
         self.root = np.log10(p1)
         context = count.copy()
         context[START], context[END] = documents, 0
-        rest1 = 1 - block.given(AFTER_LETTER, block.docs["letter"])[0] / np.maximum(context, 1)
+        rest1 = 1 - block.given(AFTER_LETTER, block.hashes)[0] / QUARTERS / np.maximum(context, 1)
 
         n2, _ = block.bigrams()
         a, b = block.a, block.b
@@ -326,7 +307,9 @@ class Automaton:
         kept = np.flatnonzero(n2 > 0)
 
         total = np.append(n2, documents)
-        after = block.given(AFTER_BIGRAM, block.hash)[0]
+        used = np.flatnonzero(np.append(n2 > 0, True))
+        after = np.zeros(len(total))
+        after[used] = block.given(AFTER_BIGRAM, block.hash[used])[0] / QUARTERS
         own = np.flatnonzero(after > 0)
         state = np.append(1 + b, 1 + START)  # of each bigram
         state[own] = 1 + self.size + np.arange(len(own))
@@ -451,34 +434,24 @@ class Totals:
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _read(totals):
-    """Texts and word counts of a block -> its documents as letters, with all that needs words."""
-
-    def run(key, docs: pa.Table, counts: pa.Table):
-        if not docs.num_rows:
-            return _rows([])
-        m: Totals = totals.value
-        out = []
-        h = np.asarray(counts["hash"]).view(np.uint64)
-        order = np.argsort(h)
-        h, known = h[order], np.asarray(counts["n"])[order]
-        often = known >= LEAST
-        alphabet = Alphabet(h[often])
-        whole = np.log10(m.tokens + ADD * (m.words + 1))
-        for b in slices(docs.combine_chunks().to_batches()):
-            w = Words(b.column("text"), lower=True)
-            n = known[np.searchsorted(h, w.hash)] if len(w.start) else np.zeros(0, np.int64)
-            own, rare = alphabet.letters(w)
-            log = np.log10(n + ADD)
-            sums = [np.concatenate(([0], np.cumsum(x)))[w.first] for x in (log, np.where(rare, log - m.rare[np.minimum(own, SHAPES - 1)], 0), n > 0)]
-            base, share, seen = (np.diff(x) for x in sums)
-            out.append((np.asarray(b.column("doc_id")), _held_out(b.column("doc_id")), w.counts, seen.astype(np.int64) + (m.documents > 0), base + np.log10(m.documents + ADD) - whole * (w.counts + 1), share, own.astype(np.int32)))
-        whole = dict(zip(("id", "held", "counts", "known", "base", "share", "own"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))
-        block = int(np.asarray(docs["block"])[0])
-        whole |= {"letter": np.concatenate((mix(np.arange(1, FIRST_WORD + 1, dtype=np.uint64)), h[often])), "count": known[often]}
-        return _rows([(0, block, DOCUMENTS, _pack(whole))])
-
-    return run
+def _read(key, docs):
+    """Texts of a block -> its documents as numbers of its distinct words, the most frequent first."""
+    hashes, shape, counts = [], [], []
+    for b in slices(docs.combine_chunks().to_batches()):
+        w = Words(b.column("text"), lower=True)
+        hashes.append(w.hash)
+        shape.append(shapes(w).astype(np.uint16))
+        counts.append(w.counts)
+    hashes, shape, counts = (np.concatenate(x) for x in (hashes, shape, counts))
+    ids = docs["doc_id"].combine_chunks()
+    held = _held_out(ids)
+    word, one, own, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    train = np.bincount(own, np.repeat(~held, counts), len(word)).astype(np.int64)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    data = {"id": np.asarray(ids.fill_null(0)), "null": ~np.asarray(ids.is_valid()), "held": held, "counts": _small(counts), "own": _small(rank[own]), "word": word[order], "shape": shape[one][order], "n": _small(train[order])}
+    return _rows([(0, int(np.asarray(docs["block"])[0]), DOCUMENTS, _pack(data), None)])
 
 
 def _round(step, shards):
@@ -492,9 +465,18 @@ def _score(totals):
     def run(key, rows):
         m: Totals = totals.value
         block = Block(rows)
+        block.spell()
         d = block.docs
-        got = Automaton.part(block, m.tokens, m.letters, m.documents, m.rare_tokens).scores(d["own"], np.concatenate(([0], np.cumsum(d["counts"]))))
-        return pa.table([d["id"], d["held"], d["counts"].astype(np.int64) + 1, d["known"], np.full(len(got), m.tokens), d["base"], got + d["share"]], names=[x.split()[0] for x in RESULT.split(", ")])
+        counts = d["counts"].astype(np.int64)
+        first = np.concatenate(([0], np.cumsum(counts)))
+        # of each word: its base score, the share of a rare one in its letter, whether it is known
+        log = np.log10(block.word_count + ADD)
+        share = np.where(block.word_count < LEAST, log - m.rare[d["shape"]], 0)
+        base, share, seen = (np.diff(np.concatenate(([0], np.cumsum(x[d["own"]])))[first]) for x in (log, share, (block.word_count > 0).astype(np.int64)))
+        base += np.log10(m.documents + ADD) - np.log10(m.tokens + ADD * (m.words + 1)) * (counts + 1)
+        got = Automaton.part(block, m.tokens, m.letters, m.documents, m.rare_tokens).scores(block.own, first)
+        ids = pa.array(d["id"], pa.int64(), mask=d["null"])
+        return pa.table([ids, pa.array(d["held"]), counts + 1, seen + (m.documents > 0), np.full(len(got), m.tokens), base, got + share], names=[x.split()[0] for x in RESULT.split(", ")])
 
     return run
 
@@ -503,35 +485,37 @@ def train_and_score(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    blocks = Blocks(spark, *id_ranges(texts, BLOCK_BYTES))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    bounds, total = id_ranges(texts, BLOCK_BYTES)
+    blocks = Blocks(spark, bounds, total)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = texts.mapInArrow(_count_words(blocks), "block int, hash long, shape int, n long").repartition(parts, "hash").sortWithinPartitions("hash")
-    words = materialise(counted.mapInArrow(_total, "block int, hash long, shape int, n long, mark boolean"), "words")
-    often = F.col("n") >= LEAST
-    shape = words.where("mark and n > 0").groupBy("shape").agg(*(F.sum(F.when(often == x, y)).alias(z) for x, y, z in ((True, F.col("n"), "tokens"), (True, F.lit(1), "words"), (False, F.col("n"), "rare_tokens"), (False, F.lit(1), "rare_words"))))
-    rare_tokens, rare_words, tokens, letters = np.zeros(SHAPES), np.zeros(SHAPES), 0, 0
-    for r in shape.collect():  # a row for each shape
-        rare_tokens[r["shape"]], rare_words[r["shape"]] = r.rare_tokens or 0, r.rare_words or 0
-        tokens, letters = tokens + (r.tokens or 0), letters + (r.words or 0)
-    tokens += int(rare_tokens.sum())
-    documents = texts.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT != 0).count()
-    totals = sc.broadcast(Totals(tokens + documents, letters + int(rare_words.sum()) + (documents > 0), letters + SHAPES + 1, documents, rare_tokens, rare_words))
-    # a block sends a bigram and later a trigram of a token at most
-    shards = sc.broadcast(even_keys(spark, max(parts, -(-tokens // SHARD_GRAMS)), parts))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0, F.lit(False))
+    documents = texts.where(~held_out).count()
+    # a block sends a gram of each token at most
+    count = max(parts, -(-total // (GRAM_BYTES * SHARD_GRAMS)))
+    shards = sc.broadcast(even_keys(spark, count, parts))
 
     def deal(batches):
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(blocks.of(b.column("doc_id")).astype(np.int32)), b.column("doc_id"), b.column("text")], names=["block", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks.of(b.column("doc_id"), b.column("salt")).astype(np.int32)), b.column("doc_id"), b.column("text")], names=["block", "doc_id", "text"])
 
-    dealt = texts.mapInArrow(deal, "block int, doc_id long, text string")
-    held = materialise(dealt.groupBy("block").cogroup(words.select("block", "hash", "n").groupBy("block")).applyInArrow(_read(totals), PACKED), "letters")
-    discard(words)
-    for step in (_first_round, _second_round, _third_round):
+    dealt = texts.withColumn("salt", F.xxhash64("text")).mapInArrow(deal, "block int, doc_id long, text string")
+    held = materialise(dealt.groupBy("block").applyInArrow(_read, PACKED), "blocks")
+    totals = None
+    for step in (_words_round, _bigram_round, _trigram_round, _last_round):
         release(spark)
         sent = held.groupBy("block").applyInArrow(_round(step, shards), PACKED)
-        held = held.union(materialise(sent.groupBy("shard").applyInArrow(_sum_shard, PACKED), "sums"))
+        summed = materialise(sent.groupBy("shard").applyInArrow(_sum_shard(count), PACKED), "sums")
         del sent
+        if totals is None:
+            sums = np.zeros(4 * SHAPES, np.int64)
+            for r in summed.where(F.col("kind") == TOTALS).select(F.posexplode("sums").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():  # four rows for each shape
+                sums[r["at"]] = r.n
+            tokens, letters, rare_tokens, rare_words = sums.reshape(4, SHAPES)
+            all_tokens = int(tokens.sum() + rare_tokens.sum()) + documents
+            all_words = int(letters.sum() + rare_words.sum()) + (documents > 0)
+            totals = sc.broadcast(Totals(all_tokens, all_words, int(letters.sum()) + SHAPES + 1, documents, rare_tokens, rare_words))
+        held = held.union(summed.where(F.col("block") >= 0))
     release(spark)
     return held.groupBy("block").applyInArrow(_score(totals), RESULT)
 

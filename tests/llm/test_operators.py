@@ -589,6 +589,13 @@ def test_backoff(spark, docs, empty):
     for a, b in zip(mine, sorted(expected), strict=True):
         assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9)
     assert np.isfinite(got.score).all() and (got.score <= 0).all()
+    unnamed = backoff.train_and_score(frame(spark, [(None, "a b a b", "en", "s", 3), (1, "a b", "en", "s", 3)])).collect()
+    assert sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.train_tokens) for r in unnamed) == [(0, False, 5, 8), (1, False, 3, 8)]
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ x] for b in bits) for x in (0, 1))
+    alike = backoff.train_and_score(frame(spark, [(1, one, "en", "s", 3), (10, other, "en", "s", 3)])).collect()
+    held = [r for r in alike if r.held_out] or alike
+    assert zlib.crc32(b"1") % 10 and zlib.crc32(b"10") % 10 and all(r.n_known == 2 and math.isclose(r.base_score, math.log10(1.1 / 4.4) + math.log10(2.1 / 4.4)) for r in alike) and held
     assert backoff.train_and_score(empty).count() == 0
 
 
