@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -58,8 +59,11 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of tables that nothing refers to, which it does when the driver's garbage is collected."""
+    """Have Spark delete the shuffle files of tables that nothing refers to, which it does when the driver's garbage is
+    collected. The scheduler refers to its last job until another one ends, so a small one is run first."""
     gc.collect()
+    spark.range(1).count()
+    time.sleep(0.2)
     spark._jvm.System.gc()
 
 
