@@ -37,7 +37,9 @@ ADD = 0.1
 #: Training occurrences that make a word a letter and that an n-gram needs, at every size of the corpus.
 LEAST = 2
 DISCOUNT = 0.75
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
+#: Letters that a document is traversed in one go; the state in which the next ones begin follows from the two before.
+PIECE = 256
 #: Grams, counted once per block, of a shard, and bytes of text that have one at least.
 SHARD_GRAMS = 2_000_000
 GRAM_BYTES = 5
@@ -213,11 +215,16 @@ class Block:
         at = np.flatnonzero(at)
         self.train = np.repeat(~d["held"], counts + 1)
         begins = np.cumsum(counts + 1) - (counts + 1)
-        self.pairs, pair = np.unique(c[at - 1] << WIDE | c[at], return_inverse=True)
+        self.last = c[at].astype(np.int32)
+        key = c[at - 1] << WIDE | c[at]
+        del c, at
+        self.pairs, pair = np.unique(key, return_inverse=True)
+        del key
         # the bigram before each; the last one stands for two starts
+        pair = pair.astype(np.int32)
         before = np.concatenate((pair[:1], pair[:-1]))
         before[begins] = len(self.pairs)
-        self.pair, self.before, self.last = pair, before, c[at]
+        self.pair, self.before = pair, before
         a, b = self.pairs >> WIDE, self.pairs & ((1 << WIDE) - 1)
         self.a, self.b = a, b
         self.hash = np.append(mix(mix(self.hashes[a] ^ _BIGRAM) + self.hashes[b]), mix(mix(self.hashes[START : START + 1] ^ _BIGRAM) + self.hashes[START]))
@@ -243,7 +250,7 @@ class Block:
         """Bigram before, bigram of the last two letters, hash and training occurrences of the trigrams that can be kept."""
         can = np.append(n2 > 0, True)
         can = np.flatnonzero(can[self.before] & can[self.pair])
-        key, one, inverse = np.unique(self.before[can] << WIDE | self.last[can], return_index=True, return_inverse=True)
+        key, one, inverse = np.unique(self.before[can].astype(np.int64) << WIDE | self.last[can], return_index=True, return_inverse=True)
         before, pair = self.before[can][one], self.pair[can][one]
         n = np.bincount(inverse, self.train[can], len(key)).astype(np.int64)
         return before, pair, mix(mix(self.hash[before] ^ _TRIGRAM) + self.hashes[self.b[pair]]), n
@@ -405,20 +412,28 @@ class Automaton:
         return after, score
 
     def scores(self, letters: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Log10 probability of each row of letters and its end, rows traversed in step."""
-        size = np.diff(first)
+        """Log10 probability of each row of letters and its end. Rows are traversed in step, in pieces of PIECE letters."""
+        rows = np.diff(first)
+        pieces = np.maximum(1, -(-rows // PIECE))
+        row = np.repeat(np.arange(len(rows)), pieces)
+        place = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+        begin, size = first[:-1][row] + place, np.minimum(PIECE, rows[row] - place)
         order = np.argsort(-size, kind="stable")
-        live = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")  # rows longer than t
-        state = np.full(len(size), self.start(), np.int64)
-        total = np.zeros(len(size))
-        begin = first[:-1][order]
+        begin, size, place = begin[order], size[order], place[order]
+        state = np.full(len(order), self.start(), np.int64)
+        later = np.flatnonzero(place > 0)
+        if len(later):
+            two = begin[later, None] - [2, 1]
+            state[later], _ = self.step(1 + letters[two[:, 0]].astype(np.int64), letters[two[:, 1]].astype(np.int64))
+        live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")  # pieces longer than t
+        total = np.zeros(len(order))
         for t, n in enumerate(live):
             state[:n], got = self.step(state[:n], letters[begin[:n] + t].astype(np.int64))
             total[:n] += got
-        _, got = self.step(state, np.full(len(size), END))
-        out = np.empty(len(size))
-        out[order] = total + got
-        return out
+        last = np.flatnonzero(place + size == rows[row[order]])
+        _, got = self.step(state[last], np.full(len(last), END))
+        total[last] += got
+        return np.bincount(row[order], total, len(rows))
 
 
 class Totals:

@@ -650,8 +650,15 @@ def test_automaton_is_a_probability():
         states.append(int(a.step(np.array([states[-1]]), np.array([x]))[0][0]))
     for s in {*states} - {1 + backoff.END}:
         assert np.isclose((10 ** a.step(np.full(len(possible), s), possible)[1]).sum(), 1), s
-    # in step or alone, scores are the same
-    seqs = [np.array([letters[i] for i in rng.integers(3, 9, n)]) for n in (0, 5, 2, 9)]
+    # in step and in pieces, scores are those of one letter after the other
+    seqs = [np.array([letters[i] for i in rng.integers(3, 9, n)], np.int64) for n in (0, 5, 2, 9, backoff.PIECE, backoff.PIECE + 1, 3 * backoff.PIECE + 7, 0)]
     first = np.cumsum([0, *map(len, seqs)])
-    together = a.scores(np.concatenate(seqs), first)
-    assert np.allclose(together, [a.scores(s, np.array([0, len(s)]))[0] for s in seqs])
+
+    def plain(seq):
+        state, total = a.start(), 0.0
+        for x in [*seq, backoff.END]:
+            after, got = a.step(np.array([state]), np.array([x]))
+            state, total = int(after[0]), total + float(got[0])
+        return total
+
+    assert np.allclose(a.scores(np.concatenate(seqs), first), [plain(s) for s in seqs])
