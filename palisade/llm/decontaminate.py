@@ -2,8 +2,10 @@
 
 Words are runs of ASCII digits, lower-cased ASCII letters and non-ASCII bytes. A window is ``n`` consecutive words of
 an item, or the whole item if it is shorter. Every hash hit is verified word by word against the item, so results are
-exact. The benchmark is taken in shards of at most SHARD_BYTES of text: one shard is on an executor at a time,
-whatever the benchmark's size, and the documents are never shuffled.
+exact. Documents are read once and never shuffled. Up to INDEX_BYTES of benchmark text, a size that is measured first,
+the whole index of its windows is broadcast and hits are verified where they are found. A larger benchmark is broadcast
+as a set of 2**FILTER_BITS bits, whatever its size; the few windows that pass, with their words, are joined to the
+benchmark's windows by a shuffle of plain exchanges, whose skewed partitions Spark splits.
 
 Edge cases: null or empty texts have no words, are never contaminated and match nothing; an item without words has no
 window; items with equal windows all count; an item without an id contaminates like others but is not in the list of
@@ -21,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.kernels import LOWER, Words, slices
-from palisade.llm.scratch import materialise
+from palisade.llm.scratch import columns, materialise
 
 N_GRAM = 10
-SHARD_BYTES = 16 << 20
+INDEX_BYTES = 16 << 20
+#: Bits of the filter for larger benchmarks: 16 MB.
+FILTER_BITS = 27
 
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[0x30:0x3A] = False
@@ -85,45 +89,97 @@ def _runs(hit: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
 
 
-def _scan(shard, first: bool):
+def _scan(items):
     def run(batches):
-        index = WindowIndex(shard.value)
+        index = WindowIndex(items.value)
         for b in slices(batches):
             w = Words(b.column("text"), lower=True, white=NOT_WORD)
-            hit, items = index.scan(w)
-            spans = []
-            for i in range(b.num_rows):
-                own = hit[w.first[i] : w.first[i + 1]]
-                if not first and (had := b.column("spans")[i].as_py()):
-                    own = own.copy()
-                    for s, e in zip(had[::2], had[1::2], strict=True):
-                        own[s:e] = True
-                    items[i].update(b.column("items")[i].as_py())
-                elif not first:
-                    items[i].update(b.column("items")[i].as_py())
-                spans.append(_runs(own) if own.any() else [])
+            hit, found = index.scan(w)
+            spans = [_runs(hit[i:j]) for i, j in zip(w.first, w.first[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), b.column("text").cast(pa.string()), pa.array(w.counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                [b.column("doc_id"), b.column("text"), pa.array(w.counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
                 names=["doc_id", "text", "n_words", "spans", "items"],
             )
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+_WINDOWS = "k int, hash long, words binary"
+
+
+def _windows_of(w: Words, k: int, start: np.ndarray) -> list[bytes]:
+    return [b" ".join(w.word(x) for x in range(s, s + k)) for s in start.tolist()]
+
+
+def _benchmark_windows(batches):
+    for b in slices(batches):
+        w = Words(b.column("text"), lower=True, white=NOT_WORD)
+        lengths = np.minimum(w.counts, N_GRAM)
+        for k in np.unique(lengths[lengths > 0]).tolist():
+            start, row = w.windows(k)
+            own = lengths[row] == k
+            start, row = start[own], row[own]
+            words = pa.array(_windows_of(w, k, start), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), k, np.int32)), pa.array(w.rolling(k)[start].view(np.int64)), words, b.column("item").take(pa.array(row))], names=["k", "hash", "words", "item"])
+
+
+def _maybe(bits, lengths: list[int]):
+    """Windows of documents that pass the filter."""
+
+    def run(batches):
+        has = bits.value
+        for b in slices(batches):
+            w = Words(b.column("text"), lower=True, white=NOT_WORD)
+            for k in lengths:
+                start, row = w.windows(k)
+                h = w.rolling(k)[start]
+                slot = h >> np.uint64(64 - FILTER_BITS)
+                keep = (has[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+                start, row, h = start[keep], row[keep], h[keep]
+                if len(start):
+                    at = pa.array((start - w.first[row]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), b.column("key").take(pa.array(row)), at, pa.array(np.full(len(start), k, np.int32)), pa.array(h.view(np.int64)), pa.array(_windows_of(w, k, start), pa.binary())], names=["doc_id", "key", "start", "k", "hash", "words"])
+
+    return run
+
+
+def _spans(batches):
+    for b in slices(batches):
+        w = Words(b.column("text"), lower=True, white=NOT_WORD)
+        spans = []
+        for n, hits in zip(w.counts.tolist(), b.column("hits").to_pylist(), strict=True):
+            hit = np.zeros(n + 1, np.int64)
+            for x in hits or []:
+                hit[x["start"]] += 1
+                hit[x["start"] + x["k"]] -= 1
+            spans.append(_runs(np.cumsum(hit[:-1]) > 0))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(w.counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), b.column("items")], names=["doc_id", "text", "n_words", "spans", "items"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Per document: doc_id, text, n_words, spans (starts and ends of hit word runs), items (their ids as strings)."""
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for s in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("text", "item"), F.lit(shards)) == s).collect()
-        shard = spark.sparkContext.broadcast(sorted(((r.item, r.text.encode()) for r in rows), key=lambda x: (x[0] or "", x[1])))
-        if s:
-            found = materialise(found, "contamination")
-        found = found.mapInArrow(_scan(shard, s == 0), _FOUND)
-    return found
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)) + 16)).first()[0] or 0
+    if size <= index_bytes:
+        rows = sorted(((r.item, r.text.encode()) for r in items.collect()), key=lambda x: (x[0] or "", x[1]))
+        return texts.mapInArrow(_scan(sc.broadcast(rows)), _FOUND)
+    windows = materialise(items.mapInArrow(_benchmark_windows, f"{_WINDOWS}, item string"), "windows")
+    slots = windows.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("slot"))
+    words = slots.selectExpr("slot >> 6 AS at", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    held = columns(words)  # 2 ** (FILTER_BITS - 6) rows at most
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits[held["at"]] = held["bits"].view(np.uint64)
+    lengths = [r.k for r in windows.select("k").distinct().collect()]  # N_GRAM at most
+    keyed = texts.withColumn("key", F.xxhash64("text"))
+    maybe = materialise(keyed.mapInArrow(_maybe(sc.broadcast(bits), sorted(lengths)), f"doc_id long, key long, start int, {_WINDOWS}"), "maybe")
+    hits = maybe.join(windows.select("k", "hash", "words", "item").distinct(), ["k", "hash", "words"])
+    # a set of places and one of items for each text, whatever the number of its hits
+    found = materialise(hits.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "k")).alias("hits"), F.sort_array(F.collect_set("item")).alias("items")), "hits")
+    none = F.array().cast("array<string>")
+    joined = keyed.join(found, keyed["key"].eqNullSafe(found["key"]) & keyed["doc_id"].eqNullSafe(found["doc_id"]), "left")
+    return joined.select(keyed["doc_id"], keyed["text"], F.col("hits"), F.coalesce("items", none).alias("items")).mapInArrow(_spans, _FOUND)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", most_hit: float = 0.5) -> DataFrame:

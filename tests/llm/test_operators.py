@@ -113,12 +113,13 @@ def plain_hits(text, items):
     return len(own), len(hit), found
 
 
-@pytest.mark.parametrize("shard_bytes", [decontaminate.SHARD_BYTES, 200])
-def test_decontamination(spark, docs, shard_bytes):
+@pytest.mark.parametrize("index_bytes", [decontaminate.INDEX_BYTES, 200])
+def test_decontamination(spark, docs, empty, index_bytes):
     base = corpus()[7][1].split()
     items = [(1, " ".join(base[5:30])), (2, "TWO, words!"), (3, None), (4, ""), (5, "..."), (6, "one"), (20, " ".join(base[8:20])), (7, "absent from all of the documents here")]
     bench = spark.createDataFrame([(*x, "clash") for x in items], "item_id long, text string, doc_id string")
-    got = decontaminate.contamination(docs, bench, shard_bytes).collect()
+    assert decontaminate.contamination(empty, bench, index_bytes).count() == 0
+    got = decontaminate.contamination(docs, bench, index_bytes).collect()
     expected = [(r[0], *plain_hits(r[1], items)) for r in corpus()]
     mine = [(r.doc_id, r.n_words, sum(r.spans[1::2]) - sum(r.spans[::2]), set(r["items"])) for r in got]
     assert sorted(map(repr, mine)) == sorted(map(repr, expected))
