@@ -21,14 +21,13 @@ are traversed whole; an empty table gives no row; extra columns are ignored.
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.kernels import Words, crc_of_id, groups, mix, slices
+from palisade.llm.packed import pack, small, unpack
 from palisade.llm.ranges import even_keys, id_ranges, range_of
 from palisade.llm.scratch import discard, materialise, release
 
@@ -98,24 +97,6 @@ WIDE = 31
 _BIGRAM, _TRIGRAM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _pack(arrays: dict[str, np.ndarray]) -> bytes:
-    """Arrays by bytes of equal weight, which compress well. Those named h ascend and are kept as differences."""
-    planes = {k: np.diff(x, prepend=x.dtype.type(0)) if k == "h" else x for k, x in arrays.items()}
-    raw = pickle.dumps({k: (x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)) for k, x in planes.items()}, 5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _unpack(data: bytes) -> dict[str, np.ndarray]:
-    planes = pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True))
-    arrays = {k: np.ascontiguousarray(x.T).reshape(-1).view(kind) for k, (kind, x) in planes.items()}
-    return {k: np.cumsum(x, dtype=x.dtype) if k == "h" else x for k, x in arrays.items()}
-
-
-def _small(x: np.ndarray) -> np.ndarray:
-    """Whole numbers in as few bytes as they need."""
-    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
-
-
 def _rows(rows: list[tuple]) -> pa.Table:
     shard, block, kind, data, sums = zip(*rows, strict=True) if rows else ((), (), (), (), ())
     return pa.table([pa.array(shard, pa.int32()), pa.array(block, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary()), pa.array(sums, pa.list_(pa.int64()))], names=["shard", "block", "kind", "data", "sums"])
@@ -135,10 +116,10 @@ def _send(shards: np.ndarray, block: int, kind: int, h: np.ndarray, value: np.nd
     at = (top[start] * np.uint64(len(shards)) >> np.uint64(32)).astype(np.int64)
     out = []
     for shard, i, n in zip(at.tolist(), start.tolist(), size.tolist(), strict=True):
-        data = {"h": h[i : i + n], "n": _small(value[i : i + n])}
+        data = {"h": h[i : i + n], "n": small(value[i : i + n])}
         if shape is not None:
             data["s"] = shape[order[i : i + n]].astype(np.uint16)
-        out.append((int(shards[shard]), block, kind * len(shards) + shard, _pack(data), None))
+        out.append((int(shards[shard]), block, kind * len(shards) + shard, pack(data), None))
     return out
 
 
@@ -152,7 +133,7 @@ def _sum_shard(count: int):
         for kind in np.unique(where // count):
             own = np.flatnonzero(where // count == kind)
             blocks = rows["block"].take(own).to_pylist()
-            parts = [_unpack(rows["data"][int(i)].as_py()) for i in own]
+            parts = [unpack(rows["data"][int(i)].as_py()) for i in own]
             # several shards may have one key
             h = np.concatenate([p["h"] for p in parts])
             value = np.concatenate([p["n"].astype(np.int64) for p in parts])
@@ -173,11 +154,11 @@ def _sum_shard(count: int):
             for i, block, part in zip(own, blocks, parts, strict=True):
                 n = len(part["h"])
                 has = kept[at : at + n]
-                answer = {"size": np.array([n]), "has": np.packbits(has), "n": _small(total[at : at + n][has])}
+                answer = {"size": np.array([n]), "has": np.packbits(has), "n": small(total[at : at + n][has])}
                 if kind in (BIGRAM, TRIGRAM):
                     answer["mark"] = np.packbits(mark[at : at + n][has])
                 at += n
-                out.append((int(where[i] % count), block, int(kind), _pack(answer), None))
+                out.append((int(where[i] % count), block, int(kind), pack(answer), None))
         return _rows(out)
 
     return run
@@ -189,7 +170,7 @@ class Block:
     def __init__(self, rows: pa.Table):
         kinds, shards = np.asarray(rows["kind"]), np.asarray(rows["shard"])
         at = np.lexsort((shards, kinds))
-        self.got = {k: [_unpack(rows["data"][int(i)].as_py()) for i in at[kinds[at] == k]] for k in range(TOTALS)}
+        self.got = {k: [unpack(rows["data"][int(i)].as_py()) for i in at[kinds[at] == k]] for k in range(TOTALS)}
         self.docs = self.got[DOCUMENTS][0]
 
     def spell(self) -> None:
@@ -465,8 +446,8 @@ def _read(key, docs):
     order = np.argsort(-n, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    data = {"id": np.asarray(ids.fill_null(0)), "null": ~np.asarray(ids.is_valid()), "held": held, "counts": _small(counts), "own": _small(rank[own]), "word": word[order], "shape": shape[one][order], "n": _small(train[order])}
-    return _rows([(0, int(np.asarray(docs["block"])[0]), DOCUMENTS, _pack(data), None)])
+    data = {"id": np.asarray(ids.fill_null(0)), "null": ~np.asarray(ids.is_valid()), "held": held, "counts": small(counts), "own": small(rank[own]), "word": word[order], "shape": shape[one][order], "n": small(train[order])}
+    return _rows([(0, int(np.asarray(docs["block"])[0]), DOCUMENTS, pack(data), None)])
 
 
 def _round(step, shards):

@@ -181,48 +181,62 @@ def test_kneser_ney_is_a_probability_and_equals_a_plain_one(spark):
     keys, n = np.unique(characters.encode(texts)[0], return_counts=True)
     counts = spark.createDataFrame([(int(k), int(v)) for k, v in zip(keys, n, strict=True)], "key long, n long")
     grams, contexts = quality.kneser_ney(counts, 5)
-    model = quality.Model(characters, grams.toPandas(), contexts.toPandas(), 5)
+    g, c = grams.toPandas(), contexts.toPandas()
+    tables = quality.by_order(*(g[x].to_numpy() for x in ("order", "key", "logp"))), quality.by_order(*(c[x].to_numpy() for x in ("order", "key", "weight")))
+    logs = lambda key: quality.logs(key, *tables, -math.log10(5))
     p = plain_kneser_ney(ids, 5)
     for t in ("abcab", "ccccc", "a b z", "zzzz"):
         key, _ = characters.encode([t])
         seq = [quality.START] * 4 + [int(k) & quality.mask(1) for k in key]
-        assert np.allclose(model.logs(key), [math.log10(p(tuple(seq[i : i + 5]))) for i in range(len(t))])
+        assert np.allclose(logs(key), [math.log10(p(tuple(seq[i : i + 5]))) for i in range(len(t))])
     context = characters.encode(["abca"])[0][-1]
     following = np.array([(int(context) << 12 & quality.mask(5)) | i for i in range(1, 6)])
-    assert np.isclose((10 ** model.logs(following)).sum(), 1)
+    assert np.isclose((10 ** logs(following)).sum(), 1)
 
 
-def test_quality_rejects_junk_and_keeps_prose(spark):
+def test_quality_rejects_junk_and_keeps_prose(spark, empty):
     rng = random.Random(5)
     prose = lambda: " ".join(rng.choice("the cat sat on a mat with his old hat and dog".split()) for _ in range(40))
     rows = [(i, prose(), "en", "s", 1) for i in range(300)] + [(300 + i, "".join(rng.choice("#%$&*@!XQZ") for _ in range(100)), "en", "s", 1) for i in range(20)]
     rows += [(400, None, "en", "s", 0), (401, "  ", None, "s", 0), (402, prose(), None, "s", 1)]
     d = frame(spark, rows)
     labels = spark.createDataFrame([(i, 1 if i < 300 else 0, "x") for i in range(0, 320, 2)] + [(5, None, "x"), (0, 1, "x")], "doc_id long, quality int, text string")
-    model, cuts = quality.fit(d, labels)
-    got = {r.doc_id: r for r in quality.classify(d, model, cuts).collect()}
+    got = {r.doc_id: r for r in quality.judged(d, labels).collect()}
     assert sum(got[i].accepted for i in range(300)) >= 297 and not any(got[i].accepted for i in (*range(300, 320), 400, 401)) and got[402].accepted
     assert got[400].perplexity is None and got[1].source == "s"
-    assert quality.fit(d, labels.where("false")) == (None, {})
-    assert quality.classify(d, None, {}).where("accepted").count() == 321
+    assert quality.train(d, labels.where("false")) is None
+    assert quality.judged(d, labels.where("false")).where("accepted").count() == 321
+    assert quality.judged(empty, labels).count() == 0
 
 
-@pytest.mark.parametrize("ids", [quality.BROADCAST_IDS, 10])
-def test_quality_thresholds_are_of_all_trusted_rows(spark, monkeypatch, ids):
+@pytest.mark.parametrize("size", [quality.BLOCK_BYTES, 2000])
+def test_quality_thresholds_are_of_all_trusted_rows(spark, monkeypatch, size):
     """A language that is rare in the training sample has its own quantile, of all its trusted rows."""
-    monkeypatch.setattr(quality, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(quality, "BLOCK_BYTES", size)
+    monkeypatch.setattr(quality, "SHARD_BYTES", size)
     rng = random.Random(5)
     prose = lambda x: " ".join(rng.choice(x.split()) for _ in range(40))
     rows = [(i, prose("der hund lief weit durch wald" if i % 5 == 0 else "the cat sat on a mat with his old hat and dog"), "de" if i % 5 == 0 else "en", "s", 1) for i in range(600)]
     d = frame(spark, rows)
     labels = spark.createDataFrame([(i, 1) for i in range(600)], "doc_id long, quality int")
-    model, cuts = quality.fit(d, labels, trusted_rows=100)
+    model = quality.train(d, labels, trusted_rows=100)
+    measured = quality.measure(d, model).cache()
+    cuts = quality.thresholds(measured, model)
     assert set(cuts) == {"*", "en", "de"}
     chosen = {r.doc_id for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(100).collect() if zlib.crc32(str(r.doc_id).encode()) % quality.CALIBRATE}
-    p = {r.doc_id: r.perplexity for r in quality.perplexities(d, model).collect()}
+    assert {r.doc_id for r in model.learned.collect()} == chosen
+    p = {r.doc_id: r.perplexity for r in measured.collect()}
+    # the sharded join against the whole model in one place
+    g, c = model.grams.toPandas(), model.contexts.toPandas()
+    tables = quality.by_order(*(g[x].to_numpy() for x in ("order", "key", "logp"))), quality.by_order(*(c[x].to_numpy() for x in ("order", "key", "weight")))
+    for i, text, *_ in rows:
+        key, _ = model.characters.encode([text])
+        assert math.isclose(p[i], 10 ** -quality.logs(key, *tables, -math.log10(model.vocabulary)).mean(), rel_tol=1e-5)
     own = sorted(p[i] for i in range(0, 600, 5) if i not in chosen)
-    cut = cuts["de"] if isinstance(cuts["de"], float) else cuts["de"][0]
-    assert math.isclose(cut, own[math.ceil(quality.QUANTILE * len(own)) - 1] * quality.MARGIN)
+    assert math.isclose(cuts["de"][0], own[math.ceil(quality.QUANTILE * len(own)) - 1] * quality.MARGIN)
+    got = {r.doc_id: r for r in quality.classify(measured, cuts).collect()}
+    variety = {r.doc_id: r.variety for r in measured.collect()}
+    assert all(got[i].accepted == (p[i] <= cuts[lang][0] and variety[i] >= cuts[lang][1]) for i, _, lang, *_ in rows)
 
 
 def test_quality_rejects_what_repeats_itself(spark):
@@ -230,7 +244,7 @@ def test_quality_rejects_what_repeats_itself(spark):
     prose = lambda n: " ".join(rng.choice("the cat sat on a mat with his old hat and dog by that big house".split()) + rng.choice("abcdefgh") for _ in range(n))
     rows = [(i, prose(rng.randrange(10, 2000)), "en", "s", 1) for i in range(300)] + [(300 + i, " ".join([prose(1 + i % 3)] * (30 + 40 * i)), "en", "s", 1) for i in range(20)]
     d = frame(spark, rows)
-    got = {r.doc_id: r.accepted for r in quality.classify(d, *quality.fit(d, spark.createDataFrame([(i, 1) for i in range(0, 300, 2)], "doc_id long, quality int"))).collect()}
+    got = {r.doc_id: r.accepted for r in quality.judged(d, spark.createDataFrame([(i, 1) for i in range(0, 300, 2)], "doc_id long, quality int")).collect()}
     assert sum(got[i] for i in range(300)) >= 294 and not any(got[i] for i in range(300, 320))
 
 
