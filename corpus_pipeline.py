@@ -25,8 +25,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    model, thresholds = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.classify(docs.select(*COLUMNS), model, thresholds).where("accepted").select(*COLUMNS)
+    return quality.judged(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet")).where("accepted").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
