@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.kernels import Words, crc_of_id, groups, mix, slices
-from palisade.llm.packed import pack, small, unpack
-from palisade.llm.ranges import even_keys, id_ranges, range_of
+from palisade.llm.packed import deal, gathered, pack, small, unpack
+from palisade.llm.ranges import Blocks, even_keys
 from palisade.llm.scratch import discard, materialise, release
 
 HELD_OUT = 10
@@ -65,21 +65,6 @@ def shapes(w: Words) -> np.ndarray:
     return (accent * 5 + _KIND[w.data[w.end - 1]]) * 4 + size if len(w.start) else np.zeros(0, np.int64)
 
 
-class Blocks:
-    """Blocks of documents: ranges of ids, each dealt to as many parts as keep it near BLOCK_BYTES. Rows of one id are
-    dealt by their texts."""
-
-    def __init__(self, spark: SparkSession, bounds: np.ndarray, total: int):
-        self.bounds = bounds
-        self.parts = max(1, -(-total // (2 * BLOCK_BYTES * len(bounds))))
-        self.keys = even_keys(spark, len(bounds) * self.parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def of(self, ids: pa.Array, salt: pa.Array) -> np.ndarray:
-        x = np.asarray(ids.fill_null(0))
-        part = mix(x.astype(np.uint64) ^ np.asarray(salt).view(np.uint64)) % np.uint64(self.parts)
-        return self.keys[range_of(self.bounds, x) * self.parts + part.astype(np.int64)]
-
-
 def _held_out(ids: pa.Array) -> np.ndarray:
     return (crc_of_id(np.asarray(ids.fill_null(0))) % HELD_OUT == 0) & np.asarray(ids.is_valid())
 
@@ -432,6 +417,8 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _read(key, docs):
     """Texts of a block -> its documents as numbers of its distinct words, the most frequent first."""
+    key = int(np.asarray(docs["block"])[0])
+    docs = gathered(docs)
     hashes, shape, counts = [], [], []
     for b in slices(docs.combine_chunks().to_batches()):
         w = Words(b.column("text"), lower=True)
@@ -447,7 +434,7 @@ def _read(key, docs):
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     data = {"id": np.asarray(ids.fill_null(0)), "null": ~np.asarray(ids.is_valid()), "held": held, "counts": small(counts), "own": small(rank[own]), "word": word[order], "shape": shape[one][order], "n": small(train[order])}
-    return _rows([(0, int(np.asarray(docs["block"])[0]), DOCUMENTS, pack(data), None)])
+    return _rows([(0, key, DOCUMENTS, pack(data), None)])
 
 
 def _round(step, shards):
@@ -482,21 +469,15 @@ def train_and_score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sc = spark.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds, total = id_ranges(texts, BLOCK_BYTES)
-    blocks = Blocks(spark, bounds, total)
+    blocks = Blocks(texts, BLOCK_BYTES)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0, F.lit(False))
     documents = texts.where(~held_out).count()
     # a block sends a gram of each token at most
-    count = max(parts, -(-total // (GRAM_BYTES * SHARD_GRAMS)))
+    count = max(parts, -(-blocks.total // (GRAM_BYTES * SHARD_GRAMS)))
     shards = sc.broadcast(even_keys(spark, count, parts))
 
-    def deal(batches):
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(blocks.of(b.column("doc_id"), b.column("salt")).astype(np.int32)), b.column("doc_id"), b.column("text")], names=["block", "doc_id", "text"])
-
-    dealt = texts.withColumn("salt", F.xxhash64("text")).mapInArrow(deal, "block int, doc_id long, text string")
-    held = materialise(dealt.groupBy("block").applyInArrow(_read, PACKED), "blocks")
+    held = materialise(deal(texts, blocks).groupBy("block").applyInArrow(_read, PACKED), "blocks")
     totals = None
     for step in (_words_round, _bigram_round, _trigram_round, _last_round):
         release(spark)

@@ -6,6 +6,11 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palisade.llm.kernels import slices
+from palisade.llm.ranges import Blocks
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
@@ -24,3 +29,28 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
 def small(x: np.ndarray) -> np.ndarray:
     """Whole numbers in as few bytes as they need."""
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def deal(docs: DataFrame, blocks: Blocks) -> DataFrame:
+    """(block, data): rows of docs, which has doc_id and text, compressed for the blocks that they belong to."""
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_salt", F.xxhash64("text"))
+
+    def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for b in slices(batches):
+            block = blocks.of(b.column("_id"), b.column("_salt"))
+            b = b.drop_columns(["_id", "_salt"])
+            keys, data = np.unique(block), []
+            for x in keys:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=options) as out:
+                    out.write_batch(b if len(keys) == 1 else b.take(pa.array(np.flatnonzero(block == x))))
+                data.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(data, pa.binary())], names=["block", "data"])
+
+    return keyed.mapInArrow(run, "block int, data binary")
+
+
+def gathered(rows: pa.Table) -> pa.Table:
+    """The rows of a block."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows["data"]])

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.llm.kernels import mix
 from palisade.llm.scratch import columns
 
 #: Bounds that the driver and each task hold, 8 bytes each.
@@ -40,3 +42,19 @@ def even_keys(spark: SparkSession, count: int, parts: int) -> np.ndarray:
 
 def range_of(bounds: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.maximum(np.searchsorted(bounds, ids, "right") - 1, 0)
+
+
+class Blocks:
+    """Blocks of documents: ranges of ids, each dealt to as many parts as keep it near block_bytes. Rows of one id are
+    dealt by their texts."""
+
+    def __init__(self, docs: DataFrame, block_bytes: int):
+        spark = docs.sparkSession
+        self.bounds, self.total = id_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block_bytes)
+        self.parts = max(1, -(-self.total // (2 * block_bytes * len(self.bounds))))
+        self.keys = even_keys(spark, len(self.bounds) * self.parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def of(self, ids: pa.Array, salt: pa.Array) -> np.ndarray:
+        x = np.asarray(ids.fill_null(0))
+        part = mix(x.astype(np.uint64) ^ np.asarray(salt).view(np.uint64)) % np.uint64(self.parts)
+        return self.keys[range_of(self.bounds, x) * self.parts + part.astype(np.int64)]

@@ -231,7 +231,7 @@ def test_quality_thresholds_are_of_all_trusted_rows(spark, monkeypatch, size):
     tables = quality.by_order(*(g[x].to_numpy() for x in ("order", "key", "logp"))), quality.by_order(*(c[x].to_numpy() for x in ("order", "key", "weight")))
     for i, text, *_ in rows:
         key, _ = model.characters.encode([text])
-        assert math.isclose(p[i], 10 ** -quality.logs(key, *tables, -math.log10(model.vocabulary)).mean(), rel_tol=1e-5)
+        assert math.isclose(p[i], 10 ** -quality.logs(key, *tables, -math.log10(model.vocabulary)).mean(), rel_tol=1e-3)
     own = sorted(p[i] for i in range(0, 600, 5) if i not in chosen)
     assert math.isclose(cuts["de"][0], own[math.ceil(quality.QUANTILE * len(own)) - 1] * quality.MARGIN)
     got = {r.doc_id: r for r in quality.classify(measured, cuts).collect()}
