@@ -3,77 +3,120 @@
 from __future__ import annotations
 
 import argparse
-import json
 import re
 import sys
 from dataclasses import fields, replace
+from importlib import metadata
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from palisade.operators import producers
+from palisade.operators import containers, producers, registry
 from palisade.operators.rules import RULES, SECRET_RULES, java
 from palisade.plans import postprocess as P
 from palisade.plans import report
 from palisade.schema import Config
 from palisade.sources import files as SRC
-from palisade.sources import packages as PKG
+from palisade.sources import images, lockfiles, settings
 
-VERSION = "0.1"
+VERSION = "0.2"
+ADVISORY = """id string, name string, ecosystem string, versions array<string>, aliases array<string>, summary string, severity array<struct<score: string>>, refs array<struct<url: string>>,
+    affected array<struct<ranges: array<struct<events: array<struct<introduced: string, fixed: string>>>>>>"""
 
 
 def load_config(path: str | None) -> Config:
-    """A JSON file of settings; a missing one is silent, a broken one warns, unknown keys are ignored."""
-    try:
-        given = json.loads(Path(path).read_text()) if path else {}
-    except FileNotFoundError:
-        given = {}
-    except ValueError as e:
-        print(f"warning: {path}: {e}", file=sys.stderr)
-        given = {}
+    """A file of settings; a missing one is silent, a broken one warns, unknown keys are ignored."""
     known = {f.name for f in fields(Config)}
-    return replace(Config(), **{k: v for k, v in given.items() if k in known})
+    return replace(Config(), **{k: v for k, v in settings.load(path).items() if k in known})
 
 
 def load_baseline(spark: SparkSession, path: str | None):
-    """(suppress, require) tables of a JSON baseline; missing or broken ones are empty."""
-    try:
-        given = json.loads(Path(path).read_text()) if path else {}
-    except (OSError, ValueError) as e:
-        if not isinstance(e, FileNotFoundError):
-            print(f"warning: {path}: {e}", file=sys.stderr)
-        given = {}
-    get = lambda x, *names: tuple(str(x.get(n, "")) for n in names)
-    suppress = spark.createDataFrame([get(x, "fingerprint", "reason") for x in given.get("suppress", [])], "fingerprint string, reason string")
-    return suppress, spark.createDataFrame([get(x, "fingerprint", "rule_id", "file", "reason") for x in given.get("require", [])], "fingerprint string, rule_id string, file string, reason string")
+    """(suppress, require) tables of a baseline; missing or broken ones are empty."""
+    given = settings.load(path)
+    get = lambda x, *names: tuple(str(x.get(n) or "") for n in names)
+    suppress = spark.createDataFrame([get(x, "fingerprint", "reason") for x in given.get("suppress") or []], "fingerprint string, reason string")
+    return suppress, spark.createDataFrame([get(x, "fingerprint", "rule_id", "file", "reason") for x in given.get("require") or []], "fingerprint string, rule_id string, file string, reason string")
 
 
 def packages_of(spark: SparkSession, root: str):
-    """Packages of the lockfiles below a directory that we have parsers for."""
-    f = SRC.lockfiles(SRC.directory(spark, root).withColumn("kind", F.lit("file"))).select("path", F.col("content").cast("string").alias("text"))
-    leaf = F.substring_index("path", "/", -1)
-    found = [PKG.requirements(f.where(leaf.isin("requirements.txt", "requirements-dev.txt"))), PKG.package_lock(f.where(leaf == "package-lock.json")), PKG.go_modules(f.where(leaf == "go.mod"))]
-    p = found[0].unionByName(found[1]).unionByName(found[2])
+    """Packages of the lockfiles below a directory."""
+    p = lockfiles.parse(SRC.lockfiles(SRC.directory(spark, root).withColumn("kind", F.lit("file"))).select("path", F.col("content").cast("string").alias("text")))
     return p.groupBy("name", "version", "ecosystem").agg(F.array_sort(F.collect_set("path")).alias("locations"))
 
 
+def advisories_of(spark: SparkSession, path: str):
+    """Advisories in lines of JSON."""
+    return spark.read.schema(ADVISORY).json(path).fillna("", ["summary"]).withColumns({c: F.coalesce(c, F.array().cast(k)) for c, k in (("versions", "array<string>"), ("aliases", "array<string>"))})
+
+
+def _text(d):
+    return d.select("path", F.col("content").cast("string").alias("text"))
+
+
+@registry.register("secrets", "secrets")
+def _secrets(spark: SparkSession, inputs: dict, cfg: Config):
+    every = inputs["files"]
+    chosen = every.join(SRC.for_secrets(every, cfg.exclude_paths, cfg.max_secret_bytes).select("path"), "path", "left_semi")
+    return producers.secret_findings(_text(chosen), cfg, settings.secret_rules(cfg.secret_rules) if cfg.secret_rules else ()) if cfg.secrets else None
+
+
+@registry.register("sca", "sca")
+def _sca(spark: SparkSession, inputs: dict, cfg: Config):
+    return producers.package_findings(producers.advisory_matches(packages_of(spark, inputs["root"]), advisories_of(spark, cfg.advisories))) if cfg.advisories else None
+
+
+@registry.register("sast", "sast")
+def _sast(spark: SparkSession, inputs: dict, cfg: Config):
+    return producers.source_findings(_text(SRC.for_source(inputs["files"], cfg.languages, cfg.max_source_bytes)), cfg) if cfg.sast else None
+
+
+@registry.register("container", "container")
+def _container(spark: SparkSession, inputs: dict, cfg: Config):
+    if not (cfg.image and cfg.advisories):
+        return None
+    archive = spark.read.format("binaryFile").load(cfg.image).select(F.lit(cfg.image).alias("image"), "content")
+    entries = images.entries(archive, (*images.APK, *images.DPKG, *images.RPM, *images.RELEASE), lockfiles.names())
+    return containers.container_findings(entries, advisories_of(spark, cfg.advisories))
+
+
+@registry.register("license", "license")
+def _license(spark: SparkSession, inputs: dict, cfg: Config):
+    every = inputs["files"]
+    if not (cfg.allowed_licenses or cfg.denied_licenses):
+        return None
+    heads = every.join(SRC.license_files(every).select("path"), "path", "left_semi")
+    return producers.license_findings(producers.licenses(_text(heads)), cfg)
+
+
 def scan(spark: SparkSession, root: str, cfg: Config, baseline: str | None = None):
-    """(findings, required findings that are missing) of a directory."""
+    """(findings, required findings that are missing) of a directory, by all scanners that are registered and on."""
     every = SRC.directory(spark, root)
-    text = lambda d: d.select("path", F.col("content").cast("string").alias("text"))
-    source, made = text(SRC.for_source(every, cfg.languages, cfg.max_source_bytes)), []
-    if cfg.sast:
-        made.append(producers.source_findings(source, cfg))
-    if cfg.secrets:
-        made.append(producers.secret_findings(text(every.join(SRC.for_secrets(every, cfg.exclude_paths, cfg.max_secret_bytes).select("path"), "path", "left_semi")), cfg))
-    if cfg.allowed_licenses or cfg.denied_licenses:
-        heads = text(every.join(SRC.license_files(every).select("path"), "path", "left_semi"))
-        made.append(producers.license_findings(producers.licenses(heads), cfg))
+    made = [f for x in registry.SCANNERS.values() if (f := x.scan(spark, {"root": root, "files": every}, cfg)) is not None]
     if not made:
         raise ValueError("no scanner is selected")
     suppress, require = load_baseline(spark, baseline)
-    return P.process(made, cfg, source, suppress), P.missing_required(P.score(P.dedup(P.with_fingerprints(P.union(made)))), require)
+    # markers count in whatever file has a finding
+    found = P.union(made).select(F.col("file_path").alias("path")).distinct()
+    marked = _text(every.where(F.col("size") <= cfg.max_secret_bytes).join(found, "path", "left_semi"))
+    return P.process(made, cfg, marked, suppress), P.missing_required(P.score(P.dedup(P.with_fingerprints(P.union(made)))), require)
+
+
+def version_info() -> str:
+    """The package's version as installed, else that of the source."""
+    try:
+        return metadata.version("palisade")
+    except metadata.PackageNotFoundError:
+        return VERSION
+
+
+#: Options of a scan: name, setting, kind (a value, a list, or what a bare option sets).
+OPTIONS = (
+    ("--min-severity", "min_severity", str), ("--include-rule", "include_rules", list), ("--exclude-rule", "exclude_rules", list), ("--allow-license", "allowed_licenses", list), ("--deny-license", "denied_licenses", list),
+    ("--language", "languages", list), ("--exclude", "exclude_paths", list), ("--no-secrets", "secrets", False), ("--no-sast", "sast", False), ("--llm-only-sast", "llm_only_sast", True), ("--max-secret-bytes", "max_secret_bytes", int),
+    ("--max-source-bytes", "max_source_bytes", int), ("--no-redact", "redact", False), ("--no-fail", "fail_on_findings", False), ("--secret-rules", "secret_rules", str), ("--advisories", "advisories", str), ("--image", "image", str),
+    ("--namespace", "namespace", str), ("--marker", "marker", str),
+)
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -88,12 +131,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         if name == "scan":
             c.add_argument("--config")
             c.add_argument("--baseline")
-            c.add_argument("--min-severity")
+            for option, setting, kind in OPTIONS:
+                how = {"action": "append"} if kind is list else {"type": kind} if isinstance(kind, type) else {"action": "store_const", "const": kind}
+                c.add_argument(option, dest=setting, default=None, **how)
     commands.add_parser("validate-rules")
     commands.add_parser("version")
     a = parser.parse_args(args)
     if a.command == "version":
-        print(VERSION)
+        print(version_info())
         return 0
     if a.command == "validate-rules":
         for x in (*(r.regex for r in RULES), *(r for _, r, _ in SECRET_RULES)):
@@ -107,13 +152,17 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             df, status = report.render(a.format, packages_of(spark, a.root)), 0
         else:
             cfg = load_config(a.config)
-            found, missing = scan(spark, a.root, replace(cfg, min_severity=a.min_severity) if a.min_severity else cfg, a.baseline)
-            status = report.exit_status(found, missing).first().status if cfg.fail_on_findings else 0
+            given = {setting: getattr(a, setting) for _, setting, _ in OPTIONS if getattr(a, setting) is not None}
+            found, missing = scan(spark, a.root, replace(cfg, **given), a.baseline)
+            status = report.exit_status(found, missing).first().status if replace(cfg, **given).fail_on_findings else 0
             df = report.render(a.format, found)
-        out = df.select("json").toLocalIterator() if "json" in df.columns else df.toJSON().toLocalIterator()
+        if a.command == "scan" and a.format == "json":
+            out = report.json_document(found, report.envelope(found))
+        else:
+            out = (r.json for r in df.select("json").toLocalIterator()) if "json" in df.columns else df.toJSON().toLocalIterator()
         sink = Path(a.output).open("w") if a.output else sys.stdout
-        for r in out:
-            print(r.json if hasattr(r, "json") else r, file=sink)
+        for line in out:
+            print(line, file=sink)
         if a.output:
             sink.close()
             Path(a.output).chmod(0o600)

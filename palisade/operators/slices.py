@@ -60,26 +60,36 @@ def go_edges(files: DataFrame, module: str) -> DataFrame:
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     go = files.where("endswith(path, '.go') and not endswith(path, '_test.go')").select("path", folder.alias("dir"), go_package(F.col("text")).alias("pkg"), "text")
     b = go.select(F.col("path").alias("target"), "dir", "pkg")
-    siblings = go.select("path", "dir", "pkg").join(b, ["dir", "pkg"]).where("path <> target").select("path", "target", F.lit("").alias("_via"))
+    siblings = go.select("path", "dir", "pkg").join(b, ["dir", "pkg"]).where("path <> target").select("path", "target", F.lit("").alias("_via"))  # siblings come first
     via = go.select("path", F.explode(go_imports(F.col("text"))).alias("_via")).where((F.col("_via") == module) | F.col("_via").startswith(module + "/"))
     local = via.withColumn("dir", F.substring("_via", len(module) + 2, 1 << 20)).join(b.drop("pkg"), "dir").where("path <> target").select("path", "target", "_via")
     return siblings.union(local).groupBy("path", "target").agg(F.min("_via").alias("via"))
 
 
+def supporting_language(path: Column) -> Column:
+    """A supporting file's language, by its extension alone."""
+    return F.when(F.contains(S.basename(path), F.lit(".")), S.language(F.concat(F.lit("x."), F.substring_index(path, ".", -1)))).otherwise("")
+
+
 def supporting(edges: DataFrame, files: DataFrame, depth: int = MOST_FILES - 1, most_files: int = MOST_FILES - 1, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """primary, path, rank, text: files reached over edges (path, target) breadth first, each cut to what is left of the
-    budget of bytes, most_files at most."""
-    front = edges.select(F.col("path").alias("primary"), F.col("target").alias("path"), F.lit(1).alias("depth"), F.array("target").alias("via"))
+    """primary, path, rank, text: files reached over edges (path, target, and via, which comes first in order) breadth
+    first, each cut to what is left of the budget of bytes, most_files at most. Files that are missing or empty are
+    passed over and lead nowhere. A cycle can bring back the primary."""
+    has = files.where("octet_length(text) > 0").select(F.col("path").alias("target"))
+    order = F.col("via") if "via" in edges.columns else F.lit("")
+    step = edges.select("path", "target", F.array(order, F.col("target")).alias("_o")).join(has, "target", "left_semi")
+
+    def cut(front: DataFrame) -> DataFrame:  # more than the budget of files is never used
+        return front.withColumn("_r", F.row_number().over(Window.partitionBy("primary").orderBy("via"))).where(F.col("_r") <= most_files).drop("_r")
+
+    front = cut(step.select(F.col("path").alias("primary"), F.col("target").alias("path"), F.lit(1).alias("depth"), F.col("_o").alias("via")))
     seen = front
-    step = edges.select("path", "target")
     for d in range(2, depth + 1):
-        front = front.join(step, "path").select("primary", F.col("target").alias("path"), F.lit(d).alias("depth"), F.array_append("via", F.col("target")).alias("via"))
-        front = front.join(seen.select("primary", "path"), ["primary", "path"], "left_anti").groupBy("primary", "path").agg(F.min("depth").alias("depth"), F.min("via").alias("via"))
-        # more than the budget of files is never used
-        front = front.withColumn("_r", F.row_number().over(Window.partitionBy("primary").orderBy("via"))).where(F.col("_r") <= most_files).drop("_r")
+        front = front.join(step, "path").select("primary", F.col("target").alias("path"), F.lit(d).alias("depth"), F.concat("via", F.col("_o")).alias("via"))
+        front = cut(front.join(seen.select("primary", "path"), ["primary", "path"], "left_anti").groupBy("primary", "path").agg(F.min("depth").alias("depth"), F.min("via").alias("via")))
         seen = seen.union(front)
     w = Window.partitionBy("primary").orderBy("depth", "via")
-    sized = seen.where("path <> primary").join(files.where("octet_length(text) > 0").select("path", "text"), "path").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most_files)
+    sized = seen.join(files.select("path", "text"), "path").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most_files)
     before = F.coalesce(F.sum(F.octet_length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     left = (F.lit(most_bytes) - before).cast("int")
     return sized.withColumn("_left", left).where("_left > 0").select("primary", "path", "rank", F.substring(F.col("text").cast("binary"), F.lit(1), F.col("_left")).cast("string").alias("text"))

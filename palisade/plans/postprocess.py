@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import scalar as S
@@ -28,8 +28,9 @@ def dedup(findings: DataFrame) -> DataFrame:
     reproducible."""
     place = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type")), F.lit(0))
     order = F.struct(place, "file_path", "start_line", "rule_id", "title", F.xxhash64(*[c for c in findings.columns if not c.startswith("time")]))
-    rank = F.row_number().over(Window.partitionBy("fingerprint").orderBy(order))
-    return findings.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    # an aggregate: repeats go before rows are shuffled
+    first = findings.groupBy("fingerprint").agg(F.min_by(F.struct(*findings.columns), order).alias("_first"))
+    return first.select("_first.*")
 
 
 def score(findings: DataFrame) -> DataFrame:
@@ -56,10 +57,11 @@ def by_rule(findings: DataFrame, include: list[str], exclude: list[str]) -> Data
 
 
 def markers(files: DataFrame, marker: str) -> DataFrame:
-    """path, line, rule of each suppression marker; the rule is empty for one that suppresses all."""
-    lines = files.where(F.contains("text", F.lit(marker))).select("path", F.posexplode(S.lines_scanned(F.col("text"))).alias("_pos", "_l")).where(F.contains("_l", F.lit(marker)))
-    rest = S.strip(F.expr(f"substring(_l, instr(_l, '{marker}') + {len(marker)})"))
-    return lines.select("path", (F.col("_pos") + 1).alias("line"), F.lower(F.regexp_extract(rest, r"^(\S*)", 1)).alias("rule"))
+    """path, line, rule of each suppression marker, in whatever case; the rule is empty for one that suppresses all."""
+    sign = F.lit(marker.lower())
+    lines = files.where(F.contains(F.lower("text"), sign)).select("path", F.posexplode(S.lines_scanned(F.lower("text"))).alias("_pos", "_l")).where(F.contains("_l", sign))
+    rest = S.strip(F.substring(F.col("_l"), F.instr(F.col("_l"), sign) + len(marker), F.lit(1 << 20)))
+    return lines.select("path", (F.col("_pos") + 1).alias("line"), F.regexp_extract(rest, r"^(\S*)", 1).alias("rule"))
 
 
 def inline_suppressed(findings: DataFrame, files: DataFrame, marker: str) -> DataFrame:
@@ -108,6 +110,18 @@ def relative_paths(findings: DataFrame, root: str) -> DataFrame:
     return findings.withColumn("file_path", F.when(p.startswith(prefix), F.substring(p, len(prefix) + 1, 1 << 20)).otherwise(p))
 
 
+def suppressed_counts(findings: DataFrame, inline: DataFrame, baseline: DataFrame) -> DataFrame:
+    """One row: findings that markers suppress, those of the others that the baseline does, and both."""
+    marked = findings.join(inline.select("fingerprint").distinct().withColumn("_i", F.lit(1)), "fingerprint", "left").join(baseline.select("fingerprint").where("fingerprint <> ''").distinct().withColumn("_b", F.lit(1)), "fingerprint", "left")
+    n = marked.agg(F.count("_i").alias("inline"), F.count(F.expr("CASE WHEN _i IS NULL THEN _b END")).alias("baseline"))
+    return n.withColumn("suppressed", F.col("inline") + F.col("baseline"))
+
+
+def both_runs(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Findings of two runs one after the other: what both have stays twice."""
+    return first.unionByName(second, allowMissingColumns=True)
+
+
 def process(producers: list[DataFrame], cfg: Config, files: DataFrame | None = None, baseline: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:
     """All of it but the required check, which missing_required() makes on the findings after score()."""
     f = score(dedup(with_fingerprints(union(producers))))

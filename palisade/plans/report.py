@@ -3,12 +3,14 @@ bounded size are put together on the driver."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import scalar as S
 from palisade.plans.postprocess import TYPES
-from palisade.schema import FINDING
+from palisade.schema import FINDING, SEVERITIES
 
 
 def display_order() -> list[Column]:
@@ -33,6 +35,51 @@ def json_rows(findings: DataFrame) -> DataFrame:
     return findings.select("fingerprint", F.to_json(F.struct(*fields)).alias("json"))
 
 
+def envelope(findings: DataFrame, inline: int = 0, baseline: int = 0, seconds: float = 0.0) -> dict:
+    """What stands around the findings of a JSON report: totals, types, suppressed ones, seconds; "findings" is left to be
+    streamed from json_rows() in its place."""
+    s = summary(findings).first()
+    out = {"total_findings": s.total, "scan_types": list(s["types"] or []), "duration_seconds": round(seconds, 3)}
+    return out | ({"suppressed": inline + baseline, "suppressed_inline": inline, "suppressed_baseline": baseline} if inline + baseline else {})
+
+
+def json_document(findings: DataFrame, head: dict):
+    """Lines of an indented JSON report: the envelope with its findings, which stream row by row in display order."""
+    yield "{"
+    for k, v in head.items():
+        yield f"  {json.dumps(k)}: {json.dumps(v)},"
+    yield '  "findings": ['
+    last = None
+    for r in json_rows(findings.orderBy(*display_order())).toLocalIterator():
+        if last is not None:
+            yield last + ","
+        last = "\n".join("    " + x for x in json.dumps(json.loads(r.json), indent=2).split("\n"))
+    if last is not None:
+        yield last
+    yield "  ]"
+    yield "}"
+
+
+def check_run(findings: DataFrame, most: int = 50) -> DataFrame:
+    """One row: failure if there is any finding, else success; how many there are and how many are annotated."""
+    n = findings.agg(F.count("*").alias("findings"), F.count(F.expr("CASE WHEN file_path <> '' AND start_line >= 1 THEN 1 END")).alias("_p"))
+    return n.select(F.when(F.col("findings") > 0, "failure").otherwise("success").alias("conclusion"), "findings", F.least("_p", F.lit(most)).alias("annotated"))
+
+
+def false_positive_boxes(findings: DataFrame, most: int = 30) -> DataFrame:
+    """Lines with a box to mark a finding as false, for the first findings that have a fingerprint."""
+    f = findings.where("fingerprint <> ''").orderBy(*display_order()).limit(most)
+    place = F.when(F.col("file_path") != "", F.concat(F.lit(" in "), F.col("file_path"))).otherwise("")
+    return f.select("fingerprint", F.concat(F.lit("- [ ] "), F.col("rule_id"), place, F.lit(" <!-- fp:"), F.substring("fingerprint", 1, 16), F.lit(" -->")).alias("line"))
+
+
+def table_groups(findings: DataFrame) -> DataFrame:
+    """Groups of the text table in their order: type, findings, and of each severity."""
+    place = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type"))
+    by = [F.count(F.when(F.col("severity") == i, 1)).alias(name.lower()) for i, name in reversed(list(enumerate(SEVERITIES)))]
+    return findings.groupBy("type").agg(F.count("*").alias("findings"), *by).orderBy(place, "type")
+
+
 def sarif_rules(findings: DataFrame) -> DataFrame:
     """rule_id, name, title, tags of the first finding of each rule, in display order."""
     order = F.struct((-F.col("severity")).alias("s"), "file_path", "start_line", "fingerprint")

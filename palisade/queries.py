@@ -651,7 +651,7 @@ def _(s, d):
     return slices.go_edges(_JS.df(s), "ex.com/r")
 
 
-@query("slice_files", "SELECT * FROM (VALUES ('src/a.js', 'src/b.ts', 1), ('src/a.js', 'src/d/index.js', 2), ('src/b.ts', 'src/d/index.js', 1), ('src/b.ts', 'src/a.js', 2), ('src/d/index.js', 'src/a.js', 1), ('src/d/index.js', 'src/b.ts', 2)) AS t(primary_path, path, rank)")
+@query("slice_files", "SELECT * FROM (VALUES ('src/a.js', 'src/b.ts', 1), ('src/a.js', 'src/d/index.js', 2), ('src/b.ts', 'src/d/index.js', 1), ('src/b.ts', 'src/a.js', 2), ('src/d/index.js', 'src/a.js', 1), ('src/d/index.js', 'src/b.ts', 2), ('src/a.js', 'src/a.js', 3), ('src/b.ts', 'src/b.ts', 3), ('src/d/index.js', 'src/d/index.js', 3)) AS t(primary_path, path, rank)")
 def _(s, d):
     f = _JS.df(s)
     return slices.supporting(slices.js_edges(f), f).select(F.col("primary").alias("primary_path"), "path", "rank")
@@ -671,3 +671,6 @@ def _(s, d):
     push = '{"ref":"refs/heads/%s","after":"s2","repository":{"full_name":"o/r"}}'
     rows = [("pull_request", pull % "opened"), ("pull_request", pull % "closed"), ("push", push % "main"), ("push", push % "dev"), ("installation", "{}")]
     return webhook.requests(s.createDataFrame(rows, "event_type string, body string")).select("kind", "repository", "sha", "number")
+
+
+from palisade import more_queries  # noqa: E402,F401  registers itself

@@ -55,3 +55,6 @@ class Config:
     max_source_bytes: int = 512 << 10
     redact: bool = True
     fail_on_findings: bool = True
+    secret_rules: str = ""
+    advisories: str = ""
+    image: str = ""

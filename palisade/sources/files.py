@@ -75,6 +75,16 @@ def lockfiles(entries: DataFrame) -> DataFrame:
     return entries.where((F.col("kind") == "file") & S.basename(F.col("path")).isin(*LOCKFILES) & (F.col("size") <= MAX_LOCKFILE) & S.safe_relative(F.col("path")))
 
 
+# Extensions of source files of which changes count.
+CODE = (".go", ".py", ".js", ".ts", ".jsx", ".tsx", ".java", ".rb", ".rs", ".php", ".c", ".cpp", ".cs", ".kt", ".swift", ".sh")
+
+
+def changed_list(listed: DataFrame, most: int = 100) -> DataFrame:
+    """Changed files (ord, path) of a request, as its host lists them: source files among the first `most`."""
+    first = listed.orderBy("ord").limit(most)
+    return first.where(F.concat(F.lit("."), F.lower(F.substring_index(S.basename(F.col("path")), ".", -1))).isin(*CODE)).select("path")
+
+
 def changed(hashes: DataFrame, known: DataFrame) -> DataFrame:
     """Files (path, sha256) that are new or differ from a known state (path, sha256)."""
     old = known.select("path", F.col("sha256").alias("_old"))

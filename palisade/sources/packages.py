@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sqlite3
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,16 +45,16 @@ def rpm(files: DataFrame) -> DataFrame:
         for b in batches:
             keys, names, versions = [], [], []
             for key, content in zip(b.column("key").to_pylist(), b.column("content").to_pylist(), strict=True):
-                with tempfile.NamedTemporaryFile(suffix=".sqlite") as f:
-                    f.write(content or b"")
-                    f.flush()
-                    db = sqlite3.connect(f"file:{f.name}?mode=ro", uri=True)
-                    try:
-                        rows = db.execute("SELECT name, version, release FROM packages").fetchall()
-                    except sqlite3.Error:
-                        rows = []
-                    finally:
-                        db.close()
+                if not (content or b"").startswith(b"SQLite format 3\0"):
+                    continue
+                db = sqlite3.connect(":memory:")
+                try:
+                    db.deserialize(content)
+                    rows = db.execute("SELECT name, version, release FROM packages").fetchall()
+                except sqlite3.Error:
+                    rows = []
+                finally:
+                    db.close()
                 for name, version, release in rows:
                     keys.append(key)
                     names.append(name)

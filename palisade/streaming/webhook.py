@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +15,14 @@ MAX_BODY = 10 << 20
 def verified(deliveries: DataFrame, secret: str) -> DataFrame:
     """Deliveries (method, event_type, signature, body) by POST, of at most 10 MB, whose HMAC-SHA256 is right."""
 
-    @F.pandas_udf("boolean")
-    def right(body: pd.Series, signature: pd.Series) -> pd.Series:
-        key = secret.encode()
-        return pd.Series([hmac.compare_digest("sha256=" + hmac.new(key, (b or "").encode(), hashlib.sha256).hexdigest(), s or "") for b, s in zip(body, signature, strict=True)])
-
-    return deliveries.where((F.upper("method") == "POST") & (F.octet_length("body") <= MAX_BODY)).where(right("body", "signature"))
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pad = lambda x: F.lit(bytes(b ^ x for b in key))
+    body = F.coalesce(F.col("body"), F.lit("")).cast("binary")
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), body), 256))
+    # both sides are hashed again, so that how long they compare tells nothing
+    right = F.sha2(F.concat(F.lit("sha256="), F.sha2(F.concat(pad(0x5C), inner), 256)), 256) == F.sha2(F.coalesce(F.col("signature"), F.lit("")), 256)
+    return deliveries.where((F.upper("method") == "POST") & (F.octet_length("body") <= MAX_BODY)).where(right)
 
 
 def requests(deliveries: DataFrame) -> DataFrame:
@@ -37,6 +37,22 @@ def requests(deliveries: DataFrame) -> DataFrame:
     )
 
 
+def admitted(requests: DataFrame, running: DataFrame, most: int = 4) -> DataFrame:
+    """requests (at, repository, sha, ...) that may start while those of running (repository, sha) are at work: one for
+    each commit, none that is running, the earliest first while fewer than `most` run."""
+    one = requests.groupBy("repository", "sha").agg(F.min_by(F.struct(*requests.columns), "at").alias("_r")).select("_r.*")
+    waiting = one.join(running.select("repository", "sha"), ["repository", "sha"], "left_anti").select(*requests.columns)
+    return waiting.orderBy("at", "repository", "sha").limit(max(0, most - running.count()))
+
+
+def push_findings(findings: DataFrame, listed: DataFrame) -> DataFrame:
+    """Findings of a push in the files (ord, path) that it changes; they are logged, nothing is posted."""
+    from palisade.plans.postprocess import changed_only
+    from palisade.sources.files import changed_list
+
+    return changed_only(findings, changed_list(listed))
+
+
 def scan_stream(files: DataFrame, scan, state_path: str, checkpoint: str):
     """Scans a stream of files (path, text): in each micro-batch, those whose hash is new or changed. scan takes a
     DataFrame; the state (path, sha256) is kept as Parquet in one folder a batch."""

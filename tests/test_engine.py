@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import json
 import sqlite3
 
 from pyspark.sql import functions as F
@@ -216,7 +217,9 @@ def test_command_line(spark, tmp_path, capsys):
     (root / "a.py").write_text('password = "abcdefgh1"\n')
     (root / "requirements.txt").write_text("requests==2.0\n")
     assert main(["scan", str(root), "--output", str(tmp_path / "o.json")], spark) == 1
-    assert '"rule_id":"palisade.prefilter.hardcoded_secret"' in (tmp_path / "o.json").read_text() and (tmp_path / "o.json").stat().st_mode & 0o777 == 0o600
+    report_ = json.loads((tmp_path / "o.json").read_text())
+    assert report_["total_findings"] == 1 and report_["scan_types"] == ["sast"] and [f["rule_id"] for f in report_["findings"]] == ["palisade.prefilter.hardcoded_secret"]
+    assert (tmp_path / "o.json").stat().st_mode & 0o777 == 0o600
     (tmp_path / "c.json").write_text('{"sast": false, "secrets": true, "unknown": 1}')
     assert main(["scan", str(root), "--config", str(tmp_path / "c.json"), "--format", "sarif"], spark) == 0
     (tmp_path / "b.json").write_text('{"require": [{"rule_id": "x", "file": "y"}]}')
