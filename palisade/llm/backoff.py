@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.kernels import Words, crc_of_id, groups, mix, slices
+from palisade.llm.kernels import Words, crc_of_id, groups, mix, slices, trim
 from palisade.llm.packed import deal, gathered, pack, small, unpack
 from palisade.llm.ranges import Blocks, even_keys
 from palisade.llm.scratch import discard, materialise, release
@@ -439,7 +439,9 @@ def _read(key, docs):
 
 def _round(step, shards):
     def run(key, rows):
-        return _rows(step(Block(rows), shards.value, key[0].as_py()))
+        out = _rows(step(Block(rows), shards.value, key[0].as_py()))
+        trim()
+        return out
 
     return run
 

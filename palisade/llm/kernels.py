@@ -17,18 +17,19 @@ import pyarrow as pa
 SLICE_BYTES = (1 << 20) - 4096
 
 
-def _lean() -> None:
-    """Workers of Python live long beside each other: what they free goes back to the machine, not to pools of their own."""
-    pa.set_memory_pool(pa.system_memory_pool())
-    try:
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
-    except (OSError, AttributeError):  # another C library
-        pass
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    _LIBC.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+pa.set_memory_pool(pa.system_memory_pool())
 
 
-_lean()
+def trim() -> None:
+    """Workers of Python live long beside each other: what a task has freed goes back to the machine."""
+    if _LIBC:
+        _LIBC.malloc_trim(0)
 
 #: Bytes that separate words: space and 0x09 to 0x0D.
 WHITE = np.zeros(256, bool)
@@ -93,6 +94,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    trim()
 
 
 class Words:

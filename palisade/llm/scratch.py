@@ -28,7 +28,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 #: Bytes of an Arrow batch between Spark and Python, where the session has Spark's default of 64 MB.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def small_batches(spark: SparkSession) -> None:
