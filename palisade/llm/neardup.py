@@ -39,6 +39,8 @@ TREES = 24
 DEPTH, STEPS = 2, 2
 LEAF = 64
 PROBE, CHUNKS = 128, 4
+#: Of the first members of the large nodes that hold a document, those that it is compared with before anything else.
+HUBS = 8
 #: Beyond this depth nodes aren't branched but probed in rounds: all their coordinates were equal that often.
 DEEPEST = 64
 #: Equal sketch values that a candidate needs of COORDINATES: 4.5 standard deviations below what similarity 0.75 gives.
@@ -264,7 +266,7 @@ def _few(ids: DataFrame) -> DataFrame:
 def _confirmed(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidates (a, b) whose sets are similar, as a written table. A document's set is made once, from its whole text."""
     candidates = materialise(candidates.distinct(), "candidates")
-    ids = _few(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = _few(candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct())
     # several rows of an id are several sets
     sets = materialise(texts.join(ids, "doc_id", "left_semi").mapInArrow(_hashes, "doc_id long, set binary"), "sets")
     pairs = candidates.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
@@ -296,9 +298,12 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return members.select("members").mapInArrow(_leaf_pairs, "a long, b long")
 
     def stars(large: DataFrame) -> DataFrame:
-        """Each member of a node with the node's first."""
+        """Each member of nodes with the first of each of them, HUBS of these at most: members that this leaves out of their
+        node's main component are compared with all of it."""
         hub = materialise(large.groupBy("path").agg(F.min("rep").alias("a")), "hubs")
-        return large.join(_few(hub), "path").where("rep <> a").select("a", F.col("rep").alias("b"))
+        pairs = large.join(_few(hub), "path").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+        rank = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+        return pairs.withColumn("rank", rank).where(F.col("rank") <= HUBS).select("a", "b")
 
     level = sized(reps.mapInArrow(_roots(DEPTH), "rep long, path long"))
     candidates, depth = leaves(level), DEPTH + STEPS
