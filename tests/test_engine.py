@@ -194,8 +194,11 @@ def test_documents_and_formats(spark):
     assert '"severity":"HIGH"' in report.json_rows(f).first().json and "redacted" not in report.json_rows(f).first().json
     assert '"level":"error"' in report.sarif(f).first().json
     assert "r" in report.comment(f)
-    for name in report.FORMATS:
-        assert name in report.FORMATS
+    packages = spark.createDataFrame([("a", "1", "npm")], "name string, version string, ecosystem string")
+    for name, holds in (("json", "rule_id"), ("sarif", "ruleId"), ("table", "type"), ("cyclonedx", "CycloneDX"), ("spdx", "SPDX-2.3")):
+        df = report.render(name, packages if name in ("cyclonedx", "spdx") else f)
+        assert holds in (df.first().json if "json" in df.columns else df.toJSON().first())
+    assert set(report.FORMATS) == {"json", "sarif", "table", "cyclonedx", "spdx"}
     try:
         report.render("x", f)
         raise AssertionError
