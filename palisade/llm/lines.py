@@ -1,29 +1,31 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-A line (without the spaces around it) of LEAST characters or more is removed if the same line stands earlier, by
-document id and position, or, from LEAST_SIMILAR characters, if a line at an edit distance of at most one does.
-
-Each distinct line of L characters is split into threshold-plus-one, two, segments and indexed by (L, segment's
-number, segment). Of two lines within one edit one segment stays intact, in place or moved by the difference in
-length, so a line probes the index of its own length and of lengths one shorter with the substrings that can match.
-Pairs from buckets of at most BUCKET lines are verified by a banded edit distance (Spark's levenshtein with a
-threshold; SQL has no bit-parallel form). Lines of larger buckets are not paired: they are keyed by what is left after
-the deletion of each single character, which ties exactly the lines within one edit by equal keys, in linear space.
-
-Edge cases: null texts have no lines and stay null; blank and short lines are never removed; removing every line
-leaves an empty text; rows with equal id and equal text are one place, and both keep what is first there; extra
-columns are kept by dedup(), unless their names clash with its own (prefixed with an underscore).
+A line (without the spaces around it) that isn't blank is removed if the same line stands earlier, by document id and
+position, or if an earlier line is within one edit of it. Edits are of words (a word changed, added or gone, however
+long it is) in lines of LEAST_WORDS words or more; of characters in lines of fewer words but LEAST_CHARACTERS or more,
+such as those of scripts without spaces. Shorter lines count as repeated only if they are equal.
+
+Each distinct line of n units (words or characters) is split into threshold-plus-one, two, segments and indexed by (n,
+segment's number, segment). Of two lines within one edit one segment stays intact, in place or moved by the difference
+in length, so a line probes the index of its own length and of lengths one shorter with the runs that can match. Pairs
+from buckets of at most BUCKET lines are verified by within(), a banded bit-parallel edit distance. Lines of larger
+buckets are not paired: they are keyed by what is left after the deletion of each single unit, which ties exactly the
+lines within one edit by equal keys of 128 bits, in linear space.
+
+Edge cases: null texts have no lines and stay null; blank lines are never removed; removing every line leaves an empty
+text; very long lines are rows as all others are; rows with equal id and equal text are one place, and both keep what
+is first there; extra columns are kept by dedup(), unless their names clash with its own (prefixed with an underscore).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.scratch import bounded_broadcast, materialise
 
-LEAST = 16
-LEAST_SIMILAR = 32
+LEAST_WORDS = 8
+LEAST_CHARACTERS = 32
 BUCKET = 64
 #: Sides of joins that are broadcast if they have at most so many rows: some ten MB.
 BROADCAST_ROWS = 600_000
@@ -32,15 +34,40 @@ BROADCAST_ROWS = 600_000
 def _lines(docs: DataFrame) -> DataFrame:
     """Lines that count: _id, _text (a hash of the document's text), _pos, line and a key of 128 bits."""
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"), F.posexplode(F.split("text", "\n", -1)).alias("_pos", "line"))
-    return texts.withColumn("line", F.trim("line")).where(F.length("line") >= LEAST).select("_id", "_text", "_pos", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"))
+    return texts.withColumn("line", F.trim("line")).where("line <> ''").select("_id", "_text", "_pos", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"))
+
+
+def _units(lines: DataFrame) -> DataFrame:
+    """lines with words (whether the units are words) and units, null for lines that are compared as wholes."""
+    words = F.split("line", " ", -1)
+    lines = lines.withColumn("units", words).withColumn("words", F.size("units") >= LEAST_WORDS)
+    return lines.withColumn("units", F.when(F.col("words"), F.col("units")).when(F.length("line") >= LEAST_CHARACTERS, F.filter(F.split("line", ""), lambda c: c != "")))
 
 
 def _segments() -> str:
-    """Index keys of a line, of its own length, then probes among lines one character shorter."""
-    n, m = "length(line)", "(length(line) - 1)"
+    """Index keys of a line, of its own length, then probes among lines one unit shorter."""
+    n, m = "size(units)", "(size(units) - 1)"
     return f"""array(
-        xxhash64({n}, 1, substring(line, 1, {n} div 2)), xxhash64({n}, 2, substring(line, {n} div 2 + 1)),
-        xxhash64({m}, 1, substring(line, 1, {m} div 2)), xxhash64({m}, 2, substring(line, {m} div 2 + 2)))"""
+        xxhash64(words, {n}, 1, slice(units, 1, {n} div 2)), xxhash64(words, {n}, 2, slice(units, {n} div 2 + 1, {n})),
+        xxhash64(words, {m}, 1, slice(units, 1, {m} div 2)), xxhash64(words, {m}, 2, slice(units, {m} div 2 + 2, {n})))"""
+
+
+def within(a: str, b: str, limit: int) -> str:
+    """SQL: whether the arrays a and b are at an edit distance of at most limit.
+
+    An automaton reads b. Bit limit + o of its word d tells whether as much of a as has been read of b, and o units
+    more, can become what has been read by d edits; no other o matters, so a word has 2 * limit + 1 bits.
+    """
+    full, degrees = (1 << 2 * limit + 1) - 1, range(limit + 1)
+    start = ", ".join(f"'r{d}', {sum(1 << limit + o for o in range(d + 1))}L" for d in degrees)
+    equal = " | ".join(f"if(coalesce(get({a}, j + {o - 1}) = get({b}, j - 1), false), {1 << limit + o}L, 0L)" for o in range(-limit, limit + 1))
+    steps = ["s.r0 & m"]
+    for d in degrees[1:]:
+        steps.append(f"(s.r{d} & m) | s.r{d - 1} | shiftright(s.r{d - 1}, 1) | (shiftleft({steps[-1]}, 1) & {full}L)")
+    after = ", ".join(f"'r{d}', {x}" for d, x in enumerate(steps))
+    # the inner aggregate is over one word, that of the units equal to b's next one, which it names
+    read = f"aggregate(sequence(1, size({b})), named_struct({start}), (r, j) -> aggregate(array({equal}), r, (s, m) -> named_struct({after})))"
+    return f"(abs(size({a}) - size({b})) <= {limit} and if(size({b}) = 0, true, shiftright({read}.r{limit}, size({a}) - size({b}) + {limit}) & 1L = 1L))"
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
@@ -52,7 +79,7 @@ def removable(docs: DataFrame) -> DataFrame:
     lines = _lines(docs)
     first = F.min(F.struct("_id", "_text", "_pos")).alias("first")
     distinct = (
-        lines.withColumn("keys", F.when(F.length("line") >= LEAST_SIMILAR, F.expr(_segments())))
+        _units(lines).withColumn("keys", F.when(F.col("units").isNotNull(), F.expr(_segments())))
         .groupBy("h", "g")
         .agg(first, F.count("*").alias("n"), F.first("keys").alias("keys"))
     )
@@ -77,25 +104,28 @@ def removable(docs: DataFrame) -> DataFrame:
     found = near.join(place, ["h", "g"]).where("first = struct(_id, _text, _pos)").dropDuplicates(["h", "g"]).select("h", "g", "first", "line")
     found = materialise(found, "found")
 
-    x, y = (found.select(F.col("h").alias(k), F.col("g").alias(f"{k}_g"), F.col("first").alias(f"{k}_first"), F.col("line").alias(f"{k}_line")) for k in "ab")
-    close = pairs.join(x, "a").join(y, "b").where("levenshtein(a_line, b_line, 1) between 0 and 1")
+    x, y = (_units(found).select(F.col("h").alias(k), F.col("g").alias(f"{k}_g"), F.col("first").alias(f"{k}_first"), F.col("words").alias(f"{k}_words"), F.col("units").alias(f"{k}_units")) for k in "ab")
+    close = pairs.join(x, "a").join(y, "b").where("a_words = b_words").where(within("a_units", "b_units", 1))
     later = close.select(F.when(F.col("a_first") < F.col("b_first"), F.struct(F.col("b").alias("h"), F.col("b_g").alias("g"))).otherwise(F.struct(F.col("a").alias("h"), F.col("a_g").alias("g"))).alias("x")).select("x.h", "x.g")
 
-    crowd = found.join(large, "h", "left_semi")
-    cut = crowd.select("h", "g", "first", F.length("line").alias("size"), "line", F.explode(F.expr("sequence(1, length(line))")).alias("p"))
-    cut = cut.select("h", "g", "first", "size", "p", F.expr("concat(substring(line, 1, p - 1), substring(line, p + 1))").alias("rest"))
-    cut = cut.select("h", "g", "first", "size", "p", F.xxhash64("rest").alias("r1"), F.xxhash64(F.lit(7), "rest").alias("r2"))
-    # lines that differ in one character share what is left around it
-    swapped = cut.select("h", "g", "first", F.xxhash64("size", "p", "r1", "r2").alias("key"))
-    least = materialise(swapped.groupBy("key").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("key", "least"), "swapped")
-    swapped = swapped.join(_maybe_broadcast(least), "key").where("least < first").select("h", "g")
-    # a line that is one character longer than another leaves it whole
-    longer = cut.select("h", "g", "first", "r1", "r2").distinct()
-    whole = crowd.select(F.col("h").alias("r1"), F.col("g").alias("r2"), F.col("first").alias("whole"))
-    both = longer.join(whole, ["r1", "r2"])
-    after_whole = both.where("whole < first").select("h", "g")
-    before_whole = both.where("first < whole").select(F.col("r1").alias("h"), F.col("r2").alias("g"))
-    longer = after_whole.union(before_whole)
+    crowd = _units(found.join(large, "h", "left_semi"))
+    cut = crowd.select("h", "g", "first", "words", F.size("units").alias("size"), F.posexplode("units").alias("p", "unit"))
+    # a text's hash is the exclusive or of those of its units and their places: a left part, and a right one moved by a place
+    line = Window.partitionBy("h", "g")
+    so_far = line.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for i in (1, 2):
+        cut = cut.withColumn("here", F.xxhash64(F.lit(i), "words", "p", "unit")).withColumn("moved", F.xxhash64(F.lit(i), "words", F.col("p") - 1, "unit"))
+        left, right = F.bit_xor("here").over(so_far).bitwiseXOR(F.col("here")), F.bit_xor("moved").over(line).bitwiseXOR(F.bit_xor("moved").over(so_far))
+        cut = cut.withColumn(f"r{i}", left.bitwiseXOR(right)).withColumn(f"w{i}", F.bit_xor("here").over(line))
+    # lines that differ in one unit share what is left around it
+    swapped = cut.select("h", "g", "first", F.xxhash64("size", "p", "r1", "r2").alias("key"), F.col("r2").alias("more"))
+    least = materialise(swapped.groupBy("key", "more").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("key", "more", "least"), "swapped")
+    swapped = swapped.join(_maybe_broadcast(least), ["key", "more"]).where("least < first").select("h", "g")
+    # a line that is one unit longer than another leaves it whole
+    longer = cut.select("h", "g", "first", F.col("size") - 1, "r1", "r2").distinct().toDF("h", "g", "first", "size", "r1", "r2")
+    whole = cut.where("p = 0").select("size", F.col("w1").alias("r1"), F.col("w2").alias("r2"), F.col("h").alias("whole_h"), F.col("g").alias("whole_g"), F.col("first").alias("whole"))
+    both = longer.join(whole, ["size", "r1", "r2"])
+    longer = both.select(F.expr("if(whole < first, struct(h, g), struct(whole_h as h, whole_g as g))").alias("x")).select("x.h", "x.g")
     later = materialise(later.union(swapped).union(longer).distinct(), "later")
 
     repeated = distinct.where("n > 1").select("h", "g", "first").join(_maybe_broadcast(later), ["h", "g"], "left_anti").select("h", "g", "first").union(later.select("h", "g", F.lit(None).cast(distinct.schema["first"].dataType).alias("first")))
@@ -126,17 +156,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.greatest("_lines", F.lit(0)).cast("long").alias("n_lines"), F.greatest("_removed", F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-# DuckDB's levenshtein counts bytes: letters beyond ASCII become single unused bytes first
-_LETTERS = "àáâäçèéêëìíîïñòóôöùúûüßœæåø"
-_BYTES = " || ".join(f"chr({i})" for i in [*range(1, 9), *range(14, 14 + len(_LETTERS) - 8)])
 SQL = rf"""
-WITH l AS (SELECT doc_id, p, trim(x, ' ') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS p FROM documents)),
-d AS MATERIALIZED (SELECT line, min({{'a': doc_id, 'b': p}}) AS first, length(line) AS n, translate(line, '{_LETTERS}', {_BYTES}) AS bytes FROM l WHERE length(line) >= {LEAST} GROUP BY line),
-later AS (SELECT DISTINCT x.line FROM d x JOIN d y ON y.n BETWEEN x.n - 1 AND x.n + 1 AND y.first < x.first
-  AND (substring(x.line, 1, x.n // 2) = substring(y.line, 1, x.n // 2) OR right(x.line, x.n - x.n // 2 - 1) = right(y.line, x.n - x.n // 2 - 1))
-  WHERE x.n >= {LEAST_SIMILAR} AND y.n >= {LEAST_SIMILAR} AND levenshtein(x.bytes, y.bytes) <= 1),
-r AS (SELECT doc_id, p, l.line, d.line IS NOT NULL AND (later.line IS NOT NULL OR {{'a': doc_id, 'b': p}} <> d.first) AS gone FROM l LEFT JOIN d USING (line) LEFT JOIN later USING (line)),
-t AS (SELECT doc_id, x, p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS p FROM documents))
-SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
-FROM r JOIN t USING (doc_id, p) GROUP BY doc_id
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, unnest(x) AS x, unnest(range(0, len(x))) AS p FROM s),
+l AS (SELECT doc_id, p, x, trim(x, ' ') AS line FROM t),
+f AS (SELECT line, min({{'a': doc_id, 'b': p}}) AS first, string_split(line, ' ') AS w FROM l WHERE line <> '' GROUP BY line),
+d AS MATERIALIZED (SELECT *, len(u) AS n, len(w) >= {LEAST_WORDS} AS k FROM
+  (SELECT *, CASE WHEN len(w) >= {LEAST_WORDS} THEN w WHEN length(line) >= {LEAST_CHARACTERS} THEN string_split(line, '') END AS u FROM f)),
+pairs AS (
+  SELECT x.line AS a, y.line AS b, x.u AS v, y.u AS w, x.first AS a_first, y.first AS b_first FROM d x JOIN d y ON x.k = y.k AND y.n = x.n AND y.u[1:x.n // 2] = x.u[1:x.n // 2] AND x.first < y.first
+  UNION ALL SELECT x.line, y.line, x.u, y.u, x.first, y.first FROM d x JOIN d y ON x.k = y.k AND y.n = x.n AND y.u[x.n // 2 + 1:] = x.u[x.n // 2 + 1:] AND x.first < y.first
+  UNION ALL SELECT x.line, y.line, x.u, y.u, x.first, y.first FROM d x JOIN d y ON x.k = y.k AND y.n = x.n + 1 AND y.u[1:x.n // 2] = x.u[1:x.n // 2]
+  UNION ALL SELECT x.line, y.line, x.u, y.u, x.first, y.first FROM d x JOIN d y ON x.k = y.k AND y.n = x.n + 1 AND y.u[x.n // 2 + 2:] = x.u[x.n // 2 + 1:]),
+m AS (SELECT *, len([i for i in range(1, len(v) + 1) if v[i] = w[i]]) AS same FROM pairs),
+later AS (SELECT DISTINCT CASE WHEN a_first < b_first THEN b ELSE a END AS line FROM m
+  WHERE (len(v) = len(w) AND same >= len(v) - 1)
+  OR (len(w) = len(v) + 1 AND len([i for i in range(1, len(w) + 1) if w[1:i - 1] = v[1:i - 1] AND w[i + 1:] = v[i:]]) > 0)),
+r AS (SELECT l.doc_id, l.p, l.x, f.line IS NOT NULL AND (later.line IS NOT NULL OR {{'a': l.doc_id, 'b': l.p}} <> f.first) AS gone FROM l LEFT JOIN f USING (line) LEFT JOIN later USING (line))
+SELECT d.doc_id, count(r.p) AS n_lines, coalesce(CAST(sum(CAST(gone AS INT)) AS BIGINT), 0) AS n_removed, sha256(coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
 """

@@ -455,28 +455,79 @@ def test_every_window_holds_a_picked_phrase(seq):
 # 7
 
 
-def within_one(a, b):
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def units(line):
+    words = line.split(" ")
+    return (True, words) if len(words) >= lines.LEAST_WORDS else (False, list(line)) if len(line) >= lines.LEAST_CHARACTERS else None
 
 
 def plain_lines(rows):
     seen, out = {}, []
     own = [(d, p, x.strip(" ")) for d, t, *_ in rows if t is not None for p, x in enumerate(t.split("\n"))]
     for d, p, x in own:
-        if len(x) >= lines.LEAST:
+        if x:
             seen[x] = min(seen.get(x, (d, p)), (d, p))
-    later = {x for x in seen for y in seen if min(len(x), len(y)) >= lines.LEAST_SIMILAR and seen[y] < seen[x] and within_one(x, y)}
+    split = {x: u for x in seen if (u := units(x))}
+    close = lambda a, b: a[0] == b[0] and abs(len(a[1]) - len(b[1])) <= 1 and edits(a[1], b[1]) <= 1
+    later = {x for x in split for y in split if seen[y] < seen[x] and close(split[x], split[y])}
     for d, t, *_ in rows:
         keep = [x for p, x in enumerate(t.split("\n")) if not ((k := x.strip(" ")) in seen and (k in later or seen[k] != (d, p)))] if t is not None else None
         out.append((d, "\n".join(keep) if keep is not None else None))
     return sorted(out, key=repr)
 
 
+def line_cases():
+    """Lines of words and of characters with one edit and with two, at the ends and inside, short lines, repeated ones."""
+    rng = random.Random(4)
+    letters = "abcdefghijé一😀"
+    said = lambda n: " ".join("".join(rng.choice("abc") for _ in range(3)) for _ in range(n))
+    rows = []
+    for i in range(60):
+        words, signs = said(rng.choice((7, 8, 9, 30))).split(" "), [rng.choice(letters) for _ in range(rng.choice((31, 32, 33, 50)))]
+        out = []
+        for had in (words, signs):
+            for k in (0, 1, 1, 2):
+                new = list(had)
+                for _ in range(k):
+                    p, how = rng.randrange(len(new)), rng.randrange(3)
+                    new[p : p + (how > 0)] = [] if how == 1 else ["zz" if had is words else rng.choice(letters)]
+                out.append((" " if had is words else "").join(new))
+        rng.shuffle(out)
+        rows.append((1000 + i, "\n".join([*out, "So.", "", " x ", "x"])))
+    return rows
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3])
+def test_bit_parallel_edit_distance(spark, limit):
+    rng = random.Random(limit)
+    pairs = [([], []), ([], ["a"]), (["a"], [])]
+    for _ in range(300):
+        a = [rng.choice("ab") for _ in range(rng.randrange(9))]
+        b = list(a) if rng.random() < 0.5 else [rng.choice("ab") for _ in range(rng.randrange(9))]
+        for _ in range(rng.randrange(limit + 2)):
+            b[(p := rng.randrange(len(b) + 1)) : p + rng.randrange(2)] = rng.choice(([], ["c"]))
+        pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>").selectExpr("a", "b", f"{lines.within('a', 'b', limit)} as near")
+    for r in df.collect():
+        assert r.near == (edits(r.a, r.b) <= limit), r
+
+
+@pytest.mark.parametrize("bucket", [64, 1])
+def test_lines_within_an_edit(spark, monkeypatch, bucket):
+    monkeypatch.setattr(lines, "BUCKET", bucket)
+    rows = line_cases()
+    got = sorted(((r.doc_id, r.text) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == plain_lines(rows)
+
+
 @pytest.mark.parametrize("bucket", [64, 1])
 def test_line_dedup(docs, empty, monkeypatch, bucket):
     monkeypatch.setattr(lines, "BUCKET", bucket)
