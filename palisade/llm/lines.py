@@ -27,8 +27,8 @@ from palisade.llm.scratch import bounded_broadcast, materialise
 LEAST_WORDS = 8
 LEAST_CHARACTERS = 32
 BUCKET = 64
-#: Sides of joins that are broadcast if they have at most so many rows: some ten MB.
-BROADCAST_ROWS = 600_000
+#: Sides of joins that are broadcast if they have at most so many rows, of 60 bytes at most: 12 MB.
+BROADCAST_ROWS = 200_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
