@@ -10,11 +10,13 @@ segment's number, segment). Of two lines within one edit one segment stays intac
 in length, so a line probes the index of its own length and of lengths one shorter with the runs that can match. Pairs
 from buckets of at most BUCKET lines are verified by within(), a banded bit-parallel edit distance. Lines of larger
 buckets are not paired: they are keyed by what is left after the deletion of each single unit, which ties exactly the
-lines within one edit by equal keys of 128 bits, in linear space.
+lines within one edit by equal keys of 128 bits, in linear space. No join is hinted: tables in between are Parquet, so
+Spark knows their bytes and broadcasts what is within its own threshold.
 
 Edge cases: null texts have no lines and stay null; blank lines are never removed; removing every line leaves an empty
 text; very long lines are rows as all others are; rows with equal id and equal text are one place, and both keep what
-is first there; extra columns are kept by dedup(), unless their names clash with its own (prefixed with an underscore).
+is first there; rows of null id keep all their lines, which count as earlier than others only where those are equal;
+extra columns are kept by dedup(), unless their names clash with its own (prefixed with an underscore).
 """
 
 from __future__ import annotations
@@ -22,13 +24,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.scratch import bounded_broadcast, materialise
+from palisade.llm.scratch import materialise
 
 LEAST_WORDS = 8
 LEAST_CHARACTERS = 32
 BUCKET = 64
-#: Sides of joins that are broadcast if they have at most so many rows, of 60 bytes at most: 12 MB.
-BROADCAST_ROWS = 200_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -70,10 +70,6 @@ def within(a: str, b: str, limit: int) -> str:
     return f"(abs(size({a}) - size({b})) <= {limit} and if(size({b}) = 0, true, shiftright({read}.r{limit}, size({a}) - size({b}) + {limit}) & 1L = 1L))"
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if bounded_broadcast(df, BROADCAST_ROWS) else df
-
-
 def removable(docs: DataFrame) -> DataFrame:
     """(_id, _text, _pos) of the lines to remove."""
     lines = _lines(docs)
@@ -88,7 +84,7 @@ def removable(docs: DataFrame) -> DataFrame:
     # the edit join
     keyed = distinct.where("keys is not null").select("h", F.posexplode("keys").alias("k", "key")).select("h", (F.col("k") < 2).alias("index"), "key")
     sizes = materialise(keyed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("index").cast("int")).alias("indexed")).where("m > 1 and indexed > 0").select("key", "m"), "sizes")
-    shared = materialise(keyed.join(_maybe_broadcast(sizes), "key"), "shared")
+    shared = materialise(keyed.join(sizes, "key"), "shared")
     a, b = (shared.where(F.col("m") <= BUCKET).select("key", F.col("h").alias(x), F.col("index").alias(f"{x}_index")) for x in "ab")
     pairs = a.where("a_index").join(b, "key").where("a <> b and (not b_index or a < b)").select("a", "b").distinct()
     pairs = materialise(pairs, "pairs")
@@ -96,11 +92,11 @@ def removable(docs: DataFrame) -> DataFrame:
 
     # texts of the lines to be compared, from where they stand first
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(large).distinct()
-    places = distinct.where("keys is not null").join(_maybe_broadcast(wanted), "h", "left_semi").select("h", "g", "first")
+    places = distinct.where("keys is not null").join(wanted, "h", "left_semi").select("h", "g", "first")
     places = materialise(places, "places")
-    ids = _maybe_broadcast(places.select(F.col("first._id").alias("doc_id")).distinct())
+    ids = places.select(F.col("first._id").alias("doc_id")).distinct()
     near = _lines(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
-    place = _maybe_broadcast(places.select("h", "g", "first"))
+    place = places.select("h", "g", "first")
     found = near.join(place, ["h", "g"]).where("first = struct(_id, _text, _pos)").dropDuplicates(["h", "g"]).select("h", "g", "first", "line")
     found = materialise(found, "found")
 
@@ -120,7 +116,7 @@ def removable(docs: DataFrame) -> DataFrame:
     # lines that differ in one unit share what is left around it
     swapped = cut.select("h", "g", "first", F.xxhash64("size", "p", "r1", "r2").alias("key"), F.col("r2").alias("more"))
     least = materialise(swapped.groupBy("key", "more").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("key", "more", "least"), "swapped")
-    swapped = swapped.join(_maybe_broadcast(least), ["key", "more"]).where("least < first").select("h", "g")
+    swapped = swapped.join(least, ["key", "more"]).where("least < first").select("h", "g")
     # a line that is one unit longer than another leaves it whole
     longer = cut.select("h", "g", "first", F.col("size") - 1, "r1", "r2").distinct().toDF("h", "g", "first", "size", "r1", "r2")
     whole = cut.where("p = 0").select("size", F.col("w1").alias("r1"), F.col("w2").alias("r2"), F.col("h").alias("whole_h"), F.col("g").alias("whole_g"), F.col("first").alias("whole"))
@@ -128,17 +124,15 @@ def removable(docs: DataFrame) -> DataFrame:
     longer = both.select(F.expr("if(whole < first, struct(h, g), struct(whole_h as h, whole_g as g))").alias("x")).select("x.h", "x.g")
     later = materialise(later.union(swapped).union(longer).distinct(), "later")
 
-    repeated = distinct.where("n > 1").select("h", "g", "first").join(_maybe_broadcast(later), ["h", "g"], "left_anti").select("h", "g", "first").union(later.select("h", "g", F.lit(None).cast(distinct.schema["first"].dataType).alias("first")))
-    repeated = _maybe_broadcast(materialise(repeated, "repeated"))
+    repeated = distinct.where("n > 1").select("h", "g", "first").join(later, ["h", "g"], "left_anti").select("h", "g", "first").union(later.select("h", "g", F.lit(None).cast(distinct.schema["first"].dataType).alias("first")))
+    repeated = materialise(repeated, "repeated")
     return lines.drop("line").join(repeated, ["h", "g"]).where("first is null or first <> struct(_id, _text, _pos)").select("_id", "_text", "_pos")
 
 
 def drops(docs: DataFrame) -> DataFrame:
     """(_id, _text, _drop) of the documents that lose lines: the lines' positions."""
     gone = materialise(removable(docs), "gone")
-    few = bounded_broadcast(gone, BROADCAST_ROWS)
-    out = gone.groupBy("_id", "_text").agg(F.collect_set("_pos").alias("_drop"))
-    return F.broadcast(out) if few else out
+    return gone.groupBy("_id", "_text").agg(F.collect_set("_pos").alias("_drop"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
