@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import backoff, binary_tokens, decontaminate, fim, fingerprints, html_text, lines, neardup, packing, quality, substrings, toxicity
+from palisade.llm import backoff, binary_tokens, decontaminate, fim, fingerprints, html_text, lines, neardup, packing, phrases, quality, substrings, toxicity
 from palisade.llm.scratch import small_batches
 
 _MODULES = {
@@ -20,6 +20,7 @@ _MODULES = {
     "op8_html_text": html_text,
     "op9_toxicity": toxicity,
     "op10_backoff": backoff,
+    "op11_phrases": phrases,
     "op12_fim": fim,
     "op13_token_files": binary_tokens,
 }
