@@ -40,7 +40,7 @@ INSIDE = 80
 #: Bits of the largest filter: 16 MB.
 FILTER_BITS = 27
 SALTS = 256
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
