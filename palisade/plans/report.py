@@ -4,6 +4,7 @@ bounded size are put together on the driver."""
 from __future__ import annotations
 
 import json
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ def display_order() -> list[Column]:
     return [F.desc("severity"), F.asc("file_path"), F.asc("start_line"), F.asc("rule_id"), F.asc("fingerprint")]
 
 
-def json_rows(findings: DataFrame) -> DataFrame:
-    """A JSON object for each finding, without empty fields."""
+def json_object() -> Column:
+    """A finding as JSON, without empty fields."""
     fields = []
     for name, (kind, _) in FINDING.items():
         c = F.col(name)
@@ -32,7 +33,12 @@ def json_rows(findings: DataFrame) -> DataFrame:
         elif kind.startswith("array"):
             c = F.when(F.size(c) > 0, c)
         fields.append(c.alias(name))
-    return findings.select("fingerprint", F.to_json(F.struct(*fields)).alias("json"))
+    return F.to_json(F.struct(*fields))
+
+
+def json_rows(findings: DataFrame) -> DataFrame:
+    """A JSON object for each finding."""
+    return findings.select("fingerprint", json_object().alias("json"))
 
 
 def envelope(findings: DataFrame, inline: int = 0, baseline: int = 0, seconds: float = 0.0) -> dict:
@@ -195,6 +201,89 @@ def spdx(packages: DataFrame, name: str = "sbom", created: str = "") -> DataFram
     return g.select(F.to_json(F.struct(*head, "packages", "relationships")).alias("json"))
 
 
+# documents of any size, an item a row
+
+
+class Document(NamedTuple):
+    """What stands around the sections of a document, and their items (section, json), sorted."""
+
+    frame: list[str]
+    items: DataFrame
+
+
+def _sorted(*sections: tuple[DataFrame, list[Column]]) -> DataFrame:
+    """Rows (json) of each section in its order. The orders have as many columns of the same types or are filled up."""
+    most = max(len(order) for _, order in sections)
+    parts = []
+    for i, (df, order) in enumerate(sections):
+        keys = [c.alias(f"_k{j}") for j, c in enumerate([*order, *[F.lit(None).cast("string")] * (most - len(order))])]
+        parts.append(df.select(F.lit(i).alias("section"), *keys, "json"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.orderBy("section", *[f"_k{j}" for j in range(most)]).select("section", "json")
+
+
+def _place() -> list[Column]:
+    """display_order() as columns that ascend."""
+    return [(4 - F.col("severity")).cast("int"), F.col("file_path"), F.col("start_line").cast("int"), F.col("rule_id"), F.col("fingerprint")]
+
+
+def sarif_document(findings: DataFrame, tool: str = "palisade", version: str = "0") -> Document:
+    """SARIF 2.1.0: each rule as its first finding has it, in order of those, and the results in display order."""
+    start = F.greatest("start_line", F.lit(1))
+    region = F.struct(start.alias("startLine"), F.when(F.col("end_line") >= start, F.col("end_line")).alias("endLine"), F.nullif("start_column", F.lit(0)).alias("startColumn"), F.nullif("end_column", F.lit(0)).alias("endColumn"))
+    place = F.struct(F.struct(F.struct(S.file_uri(F.col("file_path")).alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    text = lambda c: F.struct(F.col(c).alias("text"))
+    result = F.to_json(F.struct(F.col("rule_id").alias("ruleId"), S.sarif_level(F.col("severity")).alias("level"), text("description").alias("message"), F.array(place).alias("locations"), F.struct(F.col("fingerprint").alias("primary")).alias("fingerprints")))
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_place())])
+    rules = findings.groupBy("rule_id").agg(F.min_by(F.struct("rule_name", "title", "tags"), key).alias("x"), F.min(key).alias("k"))
+    rule = F.to_json(F.struct(F.col("rule_id").alias("id"), F.col("x.rule_name").alias("name"), F.struct(F.col("x.title").alias("text")).alias("shortDescription"), F.when(F.size("x.tags") > 0, F.struct(F.col("x.tags").alias("tags"))).alias("properties")))
+    items = _sorted((rules.withColumn("json", rule), [F.col(f"k.k{i}") for i in range(5)]), (findings.withColumn("json", result), _place()))
+    head = json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0"})[:-1]
+    driver = json.dumps({"name": tool, "version": version})[:-1]
+    return Document([f'{head}, "runs": [{{"tool": {{"driver": {driver}, "rules": [\n', '\n]}}, "results": [\n', "\n]}]}\n"], items)
+
+
+def json_report(findings: DataFrame, inline: int = 0, baseline: int = 0, seconds: float = 0.0) -> Document:
+    """The envelope around all findings in display order."""
+    head = json.dumps(envelope(findings, inline, baseline, seconds))[:-1]
+    rows = findings.select(*[c.alias(f"_p{i}") for i, c in enumerate(_place())], json_object().alias("json"))
+    return Document([f'{head}, "findings": [\n', "\n]}\n"], _sorted((rows, [F.col(f"_p{i}") for i in range(5)])))
+
+
+def cyclonedx_document(packages: DataFrame, serial: str = "", timestamp: str = "") -> Document:
+    split = S.group_and_name(F.col("name"))
+    one = F.to_json(F.struct(F.lit("library").alias("type"), S.nonempty(split["group"]).alias("group"), split["name"].alias("name"), "version", "purl"))
+    head = {"bomFormat": "CycloneDX", "specVersion": "1.5"} | ({"serialNumber": serial} if serial else {}) | {"version": 1, "metadata": {"timestamp": timestamp}}
+    return Document([json.dumps(head)[:-1] + ', "components": [\n', "\n]}\n"], _sorted((components(packages).withColumn("json", one), [F.col("purl"), F.col("name"), F.col("ecosystem")])))
+
+
+def spdx_document(packages: DataFrame, name: str = "sbom", created: str = "") -> Document:
+    """SPDX 2.3: the packages and that the document describes each."""
+    p = spdx_packages(packages)
+    ref = F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), F.col("purl").alias("referenceLocator"))
+    one = F.struct(F.col("spdx_id").alias("SPDXID"), "name", F.col("version_info").alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"), F.array(ref).alias("externalRefs"))
+    edge = F.struct(F.lit("SPDXRef-DOCUMENT").alias("spdxElementId"), F.lit("DESCRIBES").alias("relationshipType"), F.col("spdx_id").alias("relatedSpdxElement"))
+    head = {"spdxVersion": "SPDX-2.3", "dataLicense": "CC0-1.0", "SPDXID": "SPDXRef-DOCUMENT", "name": name, "creationInfo": {"created": created}}
+    order = [F.col("spdx_id"), F.col("purl")]
+    return Document([json.dumps(head)[:-1] + ', "packages": [\n', '\n], "relationships": [\n', "\n]}\n"], _sorted((p.withColumn("json", F.to_json(one)), order), (p.withColumn("json", F.to_json(edge)), order)))
+
+
+DOCUMENTS = {"json": json_report, "sarif": sarif_document, "cyclonedx": cyclonedx_document, "spdx": spdx_document}
+
+
+def save(name: str, df: DataFrame, path: str, /, **info) -> None:
+    """Write the document of that name over findings or packages as one file, by all executors. df is read more than
+    once: give a table, or something that is written or cached."""
+    from palisade.sinks.document import write_document
+
+    if name not in DOCUMENTS:
+        raise ValueError(f"unknown document {name!r}; there are {', '.join(DOCUMENTS)}")
+    made = DOCUMENTS[name](df, **info)
+    write_document(made.items, path, made.frame)
+
+
 FORMATS = {"json": json_rows, "sarif": sarif, "table": by_type_layout, "cyclonedx": cyclonedx, "spdx": spdx}
 
 

@@ -1,4 +1,4 @@
-"""Webhook deliveries as a stream: verified, decoded and turned into scan requests; incremental state by micro-batch."""
+"""Webhook deliveries: verified, decoded and turned into scan requests."""
 
 from __future__ import annotations
 
@@ -51,27 +51,3 @@ def push_findings(findings: DataFrame, listed: DataFrame) -> DataFrame:
     from palisade.sources.files import changed_list
 
     return changed_only(findings, changed_list(listed))
-
-
-def scan_stream(files: DataFrame, scan, state_path: str, checkpoint: str):
-    """Scans a stream of files (path, text): in each micro-batch, those whose hash is new or changed. scan takes a
-    DataFrame; the state (path, sha256) is kept as Parquet in one folder a batch."""
-    spark = files.sparkSession
-    schema = "path string, sha256 string"
-
-    def batch(df: DataFrame, number: int) -> None:
-        from palisade.sources.files import changed
-
-        old = spark.read.schema("path string, sha256 string, batch int").parquet(state_path) if number or _exists(spark, state_path) else spark.createDataFrame([], schema + ", batch int")
-        # what an earlier attempt at this batch wrote doesn't count
-        known = old.where(F.col("batch") < number).groupBy("path").agg(F.max_by("sha256", "batch").alias("sha256"))
-        new = changed(df.withColumn("sha256", F.sha2(F.col("text"), 256)), known)
-        scan(new)
-        new.select("path", "sha256").write.mode("overwrite").parquet(f"{state_path}/batch={number}")
-
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-
-
-def _exists(spark, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -15,7 +15,7 @@ from palisade.plans import report
 from palisade.schema import Config, as_findings
 from palisade.sources import files as SRC
 from palisade.sources import packages as PKG
-from palisade.streaming import webhook
+from palisade.streaming import state, webhook
 
 
 def one(spark, column, **values):
@@ -180,7 +180,7 @@ def test_scan_stream_skips_what_it_knows(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema("path string, text string").json(str(source))
-        webhook.scan_stream(stream, lambda df: seen.append(sorted(r.path for r in df.collect())), str(tmp_path / "state"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        state.scan_stream(stream, lambda df: seen.append(sorted(r.path for r in df.collect())), str(tmp_path / "cp")).awaitTermination()
 
     files([("a", "1"), ("b", "1")])
     run()
