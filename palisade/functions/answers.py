@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palisade.functions import limits
 from palisade.functions import scalar as S
 
 FINDINGS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("level", "issue", "location", "risk", "fix")]))
@@ -93,13 +94,29 @@ def secret_verdict(text: Column) -> Column:
     return S.first(F.regexp_extract_all(text, F.lit(r"(?md)^\s*VERDICT:\s*(.*)$"), F.lit(1)))
 
 
-def complete(prompts, completer, answer: str = "answer"):
+def complete(prompts, completer, answer: str = "answer", limiter=None, answer_tokens: int = limits.ANSWER_TOKENS):
     """prompts (.., prompt) with the answers of an injected completer, a picklable function of a list of texts. One that
-    raises gives null answers."""
+    raises gives null answers. With a limiter (limits.shared) prompts are sent one by one as it allows, whatever the number
+    of tasks; those that its budget of tokens does not hold, and null prompts, are not sent and have null answers."""
     schema = T.StructType([*prompts.schema.fields, T.StructField(answer, T.StringType())])
 
+    def one(prompt):
+        if prompt is None:
+            return None
+        try:
+            limiter.wait(limits.prompt_tokens(prompt, answer_tokens))
+        except limits.OutOfTokens:
+            return None
+        try:
+            return completer([prompt])[0]
+        except Exception:
+            return None
+
     def run(frames):
         for f in frames:
+            if limiter is not None:
+                yield f.assign(**{answer: [one(p) for p in f["prompt"]]})
+                continue
             try:
                 got = completer(f["prompt"].tolist())
             except Exception:

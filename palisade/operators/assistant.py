@@ -70,9 +70,9 @@ def triage_prompts(findings: DataFrame, files: DataFrame) -> DataFrame:
     return f.select("fingerprint", F.concat(head, subject, hint, F.lit("\nAnswer with VERDICT, CONFIDENCE, REASON, EXPLANATION, RECOMMENDATION and CODE_FIX.")).alias("prompt"))
 
 
-def triaged(findings: DataFrame, files: DataFrame, completer) -> DataFrame:
-    """Parsed answers (fingerprint, verdict, ...) of a model; without an answer the verdict is UNKNOWN."""
-    a = A.complete(triage_prompts(findings, files), completer).withColumn("_r", A.parse_triage("answer"))
+def triaged(findings: DataFrame, files: DataFrame, completer, limiter=None) -> DataFrame:
+    """Parsed answers (fingerprint, verdict, ...) of a model; without an answer the verdict is UNKNOWN. limiter: functions.limits."""
+    a = A.complete(triage_prompts(findings, files), completer, limiter=limiter).withColumn("_r", A.parse_triage("answer"))
     reason = F.when(F.col("answer").isNull(), "no answer").otherwise(F.col("_r.reason"))
     return a.select("fingerprint", F.when(F.col("answer").isNull(), "UNKNOWN").otherwise(F.col("_r.verdict")).alias("verdict"), "_r.confidence", reason.alias("reason"), "_r.explanation", "_r.recommendation", "_r.code_fix")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import scalar as S
@@ -37,13 +37,51 @@ def score(findings: DataFrame) -> DataFrame:
     return findings.withColumn("priority_score", S.priority(F.col("severity"), F.col("tags")))
 
 
+#: Characters of the part of a path by which requirements look for findings.
+GRAM = 6
+
+
+def _parts(text: Column, n: Column) -> Column:
+    """The n-grams of a text that is no shorter."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))
+
+
+def _probes(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_r, _p, _g): the parts of the paths of pairs (_r, _p) by which some requirement of their rule is looked for."""
+    # a part has GRAM characters, or is all of a shorter name
+    sizes = [r.n for r in wanted.select(F.length("_g").alias("n")).distinct().collect()]  # GRAM at most
+    none = F.array().cast("array<string>")
+    each = pairs.withColumn("_g", F.explode(F.array_distinct(F.flatten(F.array(none, *[F.when(F.length("_p") >= n, _parts(F.col("_p"), F.lit(n))).otherwise(none) for n in sizes])))))
+    return each.join(wanted.select("_r", "_g").distinct(), ["_r", "_g"], "left_semi")
+
+
+def contained(required: DataFrame, findings: DataFrame) -> DataFrame:
+    """Distinct (_r, file) of required (_r, file) that some path of findings (_r, _p) of that rule contains.
+
+    A containment is no equality, so it is looked for by an index of the paths' n-grams: of the parts of a file's name,
+    the one that the fewest paths of the rule have. Only paths that have it are compared. A rule that all findings share
+    is spread over its parts; parts of all requirements are counted, and only parts that some requirement has leave the
+    paths, so the index is no larger than what is asked of it."""
+    r, pairs = required.select("_r", "file").distinct(), findings.select("_r", "_p").distinct()
+    whole = r.where("file = ''").join(pairs.select("_r").distinct(), "_r", "left_semi")
+    parts = r.where("file <> ''").select("_r", "file", F.explode(_parts(F.col("file"), F.least(F.length("file"), F.lit(GRAM)))).alias("_g"))
+    index = _probes(pairs, parts)
+    counted = parts.select("_r", "_g").distinct().join(index.groupBy("_r", "_g").agg(F.count("*").alias("_n")), ["_r", "_g"], "left")
+    # a part that no path has settles the matter: nothing is compared
+    rarest = parts.join(counted, ["_r", "_g"]).groupBy("_r", "file").agg(F.min_by(F.struct("_g", "_n"), F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_x")).where("_x._n IS NOT NULL").select("_r", "file", F.col("_x._g").alias("_g"))
+    found = rarest.join(index, ["_r", "_g"]).where(F.contains("_p", F.col("file"))).select("_r", "file").distinct()
+    return whole.unionByName(found)
+
+
 def missing_required(findings: DataFrame, required: DataFrame) -> DataFrame:
-    """required (fingerprint, rule_id, file, reason) that no finding meets, with their descriptions."""
-    r, f = required.withColumn("_n", F.monotonically_increasing_id()), findings.select(F.col("fingerprint").alias("_f"), F.lower("rule_id").alias("_r"), F.col("file_path").alias("_p")).distinct()
-    by_print = r.where("fingerprint <> ''").join(f, F.col("fingerprint") == F.col("_f"), "left_anti")
-    by_rule = r.where("fingerprint = ''").join(f, (F.lower("rule_id") == F.col("_r")) & F.contains(F.col("_p"), F.col("file")), "left_anti")
+    """required (fingerprint, rule_id, file, reason) that no finding meets, with their descriptions. One with a fingerprint
+    is met by that finding, others by one of their rule, in whatever case, in a path that contains their file; one without
+    a fingerprint and a rule is never met."""
+    by_print = required.where("fingerprint <> ''").join(findings.select("fingerprint").distinct(), "fingerprint", "left_anti").select(*required.columns)
+    r, f = required.where("fingerprint = ''").withColumn("_r", F.lower("rule_id")), findings.select(F.lower("rule_id").alias("_r"), F.col("file_path").alias("_p"))
+    by_rule = r.join(contained(r.where("rule_id <> ''"), f), ["_r", "file"], "left_anti").select(*required.columns)
     text = S.choose([(F.col("reason") != "", F.col("reason")), (F.col("fingerprint") != "", F.concat(F.lit("fingerprint "), F.substring("fingerprint", 1, 8), F.lit("...")))], F.concat_ws(" in ", "rule_id", "file"))
-    return by_print.unionByName(by_rule).drop("_n").withColumn("description", text)
+    return by_print.unionByName(by_rule).withColumn("description", text)
 
 
 def severe(findings: DataFrame, least: str) -> DataFrame:

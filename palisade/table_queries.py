@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators import rule_table, rules
-from palisade.queries import _WITH, Fixture, files, query
+from palisade.plans import postprocess as P
+from palisade.queries import _WITH, Fixture, all_findings, files, query
 
 # a rule for each long word of the benchmark: that word at the end of a clause
 
@@ -47,3 +48,21 @@ _SECRET_ROWS = Fixture("rule string, regex string", [(n, r) for n, r, _ in _SECR
 def _(s, d):
     table = s.createDataFrame(_SECRET_TABLE[:-1], "name string, regex string, group int")
     return rule_table.secrets_table(files(s, d), table).select("path", "line", "rule", "secret")
+
+
+# requirements of one rule for every document, by a part of its path, beside those of other rules
+
+
+def _requirements(s: SparkSession, d: str) -> DataFrame:
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "source")
+    id_ = F.col("doc_id").cast("string")
+    file = F.when(F.col("doc_id") % 3 == 0, F.concat_ws("/", "source", id_)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("/"), id_)).otherwise(F.concat_ws("/", F.expr("substr(source, -2)"), F.substring(id_, 1, 2)))
+    rule = F.when(F.col("doc_id") % 10 < 9, "palisade.prefilter.HARDCODED_secret").otherwise("palisade.license.denied")
+    return docs.select(F.lit("").alias("fingerprint"), rule.alias("rule_id"), file.alias("file"), F.lit("").alias("reason")).distinct()
+
+
+@query("required_by_path", _WITH + """, r AS (SELECT DISTINCT '' AS fingerprint, CASE WHEN doc_id % 10 < 9 THEN 'palisade.prefilter.HARDCODED_secret' ELSE 'palisade.license.denied' END AS rule_id,
+  CASE doc_id % 3 WHEN 0 THEN source || '/' || CAST(doc_id AS VARCHAR) WHEN 1 THEN '/' || CAST(doc_id AS VARCHAR) ELSE right(source, 2) || '/' || left(CAST(doc_id AS VARCHAR), 2) END AS file FROM documents)
+SELECT rule_id, file, rule_id || ' in ' || file AS description FROM r WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE lower(f.rule_id) = lower(r.rule_id) AND contains(f.file_path, r.file))""")
+def _(s, d):
+    return P.missing_required(all_findings(s, d), _requirements(s, d)).select("rule_id", "file", "description")
