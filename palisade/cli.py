@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+import os
 import re
 import sys
 from dataclasses import fields, replace
@@ -12,11 +14,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from palisade.operators import containers, producers, registry
+from palisade.functions import answers as A
+from palisade.functions import limits
+from palisade.functions import scalar as S
+from palisade.operators import assistant, containers, producers, registry
 from palisade.operators.rules import RULES, SECRET_RULES, java
 from palisade.plans import postprocess as P
 from palisade.plans import report
 from palisade.schema import Config
+from palisade.sinks.folders import shared_folder
 from palisade.sources import files as SRC
 from palisade.sources import images, lockfiles, settings
 
@@ -56,9 +62,7 @@ def _text(d):
 
 @registry.register("secrets", "secrets")
 def _secrets(spark: SparkSession, inputs: dict, cfg: Config):
-    every = inputs["files"]
-    chosen = every.join(SRC.for_secrets(every, cfg.exclude_paths, cfg.max_secret_bytes).select("path"), "path", "left_semi")
-    return producers.secret_findings(_text(chosen), cfg, settings.secret_rules(cfg.secret_rules) if cfg.secret_rules else ()) if cfg.secrets else None
+    return producers.secret_findings(_text(SRC.for_secrets(inputs["files"], cfg.exclude_paths, cfg.max_secret_bytes)), cfg, settings.secret_rules(cfg.secret_rules) if cfg.secret_rules else ()) if cfg.secrets else None
 
 
 @registry.register("sca", "sca")
@@ -68,7 +72,13 @@ def _sca(spark: SparkSession, inputs: dict, cfg: Config):
 
 @registry.register("sast", "sast")
 def _sast(spark: SparkSession, inputs: dict, cfg: Config):
-    return producers.source_findings(_text(SRC.for_source(inputs["files"], cfg.languages, cfg.max_source_bytes)), cfg) if cfg.sast else None
+    if not cfg.sast:
+        return None
+    source = SRC.for_source(inputs["files"], cfg.languages, cfg.max_source_bytes)
+    if "known" in inputs:  # incremental: only what is new or differs from the last scan
+        hashes = source.select("path", F.sha2("content", 256).alias("sha256"))
+        source = source.join(SRC.changed(hashes, inputs["known"]).select("path"), "path", "left_semi")
+    return producers.source_findings(_text(source), cfg)
 
 
 @registry.register("container", "container")
@@ -82,24 +92,72 @@ def _container(spark: SparkSession, inputs: dict, cfg: Config):
 
 @registry.register("license", "license")
 def _license(spark: SparkSession, inputs: dict, cfg: Config):
-    every = inputs["files"]
     if not (cfg.allowed_licenses or cfg.denied_licenses):
         return None
-    heads = every.join(SRC.license_files(every).select("path"), "path", "left_semi")
+    named = inputs["files"].where(S.basename(F.col("path")).isin(*SRC.LICENSE_FILES))  # few: only they are joined
+    heads = named.join(SRC.license_files(named).select("path"), "path", "left_semi")
     return producers.license_findings(producers.licenses(_text(heads)), cfg)
 
 
-def scan(spark: SparkSession, root: str, cfg: Config, baseline: str | None = None):
-    """(findings, required findings that are missing) of a directory, by all scanners that are registered and on."""
+@registry.register("package-intelligence", "sca")
+def _unknown_packages(spark: SparkSession, inputs: dict, cfg: Config):
+    """Packages that no registry has, by the responses (backend, ecosystem, name, http_status) of a file."""
+    if not (cfg.package_intelligence and cfg.registry_responses):
+        return None
+    packages = packages_of(spark, inputs["root"])
+    asked = registry.backends(spark, {"npm": cfg.npm_registry_url, "pypi": cfg.pypi_registry_url, "crates": cfg.crates_registry_url}, cfg.package_registry_mode)
+    responses = spark.read.schema("backend string, ecosystem string, name string, http_status int").json(cfg.registry_responses)
+    return producers.hallucinated_findings(packages, producers.registry_decisions(producers.registry_lookups(packages, asked, responses)), cfg)
+
+
+def _written(df, name: str):
+    """df as a table in the shared folder: what stands above it runs once."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def completer_of(name: str):
+    """The function of a list of prompts that module:function names."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def scan(spark: SparkSession, root: str, cfg: Config, baseline: str | None = None, cache: str | None = None):
+    """(findings, required findings that are missing) of a directory, by all scanners that are registered and on. Files
+    are scanned once: what the scanners find is written, and all that follows reads that. cache: a file of hashes; source
+    code that it knows is passed over, and what was scanned is remembered in it."""
     every = SRC.directory(spark, root)
-    made = [f for x in registry.SCANNERS.values() if (f := x.scan(spark, {"root": root, "files": every}, cfg)) is not None]
+    inputs = {"root": root, "files": every} | ({"known": SRC.load_state(spark, cache)} if cache else {})
+    made = [f for x in registry.SCANNERS.values() if (f := x.scan(spark, inputs, cfg)) is not None]
     if not made:
         raise ValueError("no scanner is selected")
     suppress, require = load_baseline(spark, baseline)
+    raw = _written(P.score(P.dedup(P.with_fingerprints(P.union(made)))), "scanned")
     # markers count in whatever file has a finding
-    found = P.union(made).select(F.col("file_path").alias("path")).distinct()
-    marked = _text(every.where(F.col("size") <= cfg.max_secret_bytes).join(found, "path", "left_semi"))
-    return P.process(made, cfg, marked, suppress), P.missing_required(P.score(P.dedup(P.with_fingerprints(P.union(made)))), require)
+    marked = _text(every.where(F.col("size") <= cfg.max_secret_bytes).join(raw.select(F.col("file_path").alias("path")).distinct(), "path", "left_semi"))
+    found = P.process([raw], cfg, marked, suppress)
+    if cfg.model and (cfg.ai_filter_secrets or cfg.ai_triage):
+        found = _reviewed(spark, _written(found, "found"), marked, cfg)
+    found = _written(found, "findings")
+    if cache:
+        known, source = inputs["known"], SRC.for_source(every, cfg.languages, cfg.max_source_bytes)
+        SRC.save_state(_written(SRC.remembered(known, source.select("path", F.sha2("content", 256).alias("sha256"))), "state"), cache)
+    return found, P.missing_required(raw, require)
+
+
+def _reviewed(spark: SparkSession, found, files, cfg: Config):
+    """Findings after a language model has seen them, within the limits of requests that all tasks share."""
+    completer = completer_of(cfg.model)
+    with limits.shared(spark) as limiter:
+        if cfg.ai_filter_secrets:
+            secret = found.where("type = 'secrets'")
+            answers = A.complete(assistant.triage_prompts(secret, files), completer, limiter=limiter)
+            found = _written(P.without_false_secrets(found, answers.select("fingerprint", A.secret_verdict(F.col("answer")).alias("verdict"))), "filtered")
+        if cfg.ai_triage:
+            answers = assistant.triaged(found, files, completer, limiter)
+            found = _written(P.merge_triage(found, answers if cfg.explain else answers.withColumn("explanation", F.lit(""))), "triaged")
+    return found
 
 
 def version_info() -> str:
@@ -115,7 +173,9 @@ OPTIONS = (
     ("--min-severity", "min_severity", str), ("--include-rule", "include_rules", list), ("--exclude-rule", "exclude_rules", list), ("--allow-license", "allowed_licenses", list), ("--deny-license", "denied_licenses", list),
     ("--language", "languages", list), ("--exclude", "exclude_paths", list), ("--no-secrets", "secrets", False), ("--no-sast", "sast", False), ("--llm-only-sast", "llm_only_sast", True), ("--max-secret-bytes", "max_secret_bytes", int),
     ("--max-source-bytes", "max_source_bytes", int), ("--no-redact", "redact", False), ("--no-fail", "fail_on_findings", False), ("--secret-rules", "secret_rules", str), ("--advisories", "advisories", str), ("--image", "image", str),
-    ("--namespace", "namespace", str), ("--marker", "marker", str),
+    ("--namespace", "namespace", str), ("--marker", "marker", str), ("--package-intelligence", "package_intelligence", True), ("--package-registry-mode", "package_registry_mode", str), ("--registry-responses", "registry_responses", str),
+    ("--npm-registry-url", "npm_registry_url", str), ("--pypi-registry-url", "pypi_registry_url", str), ("--crates-registry-url", "crates_registry_url", str), ("--ai-model", "model", str), ("--ai-triage", "ai_triage", True),
+    ("--ai-filter-secrets", "ai_filter_secrets", True), ("--explain", "explain", True),
 )
 
 
@@ -128,9 +188,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         c.add_argument("root")
         c.add_argument("--format", default="json" if name == "scan" else "cyclonedx")
         c.add_argument("--output")
+        c.add_argument("--workers", type=int)
+        c.add_argument("--quiet", action="store_true")
         if name == "scan":
             c.add_argument("--config")
             c.add_argument("--baseline")
+            c.add_argument("--incremental", action="store_true")
+            c.add_argument("--cache-path", default=".palisade-cache.json")
             for option, setting, kind in OPTIONS:
                 how = {"action": "append"} if kind is list else {"type": kind} if isinstance(kind, type) else {"action": "store_const", "const": kind}
                 c.add_argument(option, dest=setting, default=None, **how)
@@ -147,18 +211,27 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"{len(RULES)} source rules, {len(SECRET_RULES)} secret rules")
         return 0
     try:
-        spark = spark or SparkSession.builder.appName("palisade").getOrCreate()
+        if spark is None:
+            builder = SparkSession.builder.appName("palisade")
+            spark = (builder.master(f"local[{a.workers}]") if a.workers else builder).getOrCreate()
+            spark.sparkContext.setLogLevel("ERROR" if a.quiet else "WARN")
         if a.command == "sbom":
-            df, status = report.render(a.format, packages_of(spark, a.root)), 0
+            found, status = packages_of(spark, a.root), 0
         else:
             cfg = load_config(a.config)
             given = {setting: getattr(a, setting) for _, setting, _ in OPTIONS if getattr(a, setting) is not None}
-            found, missing = scan(spark, a.root, replace(cfg, **given), a.baseline)
-            status = report.exit_status(found, missing).first().status if replace(cfg, **given).fail_on_findings else 0
-            df = report.render(a.format, found)
+            cfg = replace(cfg, **given)
+            found, missing = scan(spark, a.root, cfg, a.baseline, os.path.abspath(a.cache_path) if a.incremental else None)
+            status = report.exit_status(found, missing).first().status if cfg.fail_on_findings else 0
+        if a.output and a.format in report.DOCUMENTS:
+            target = os.path.abspath(a.output)
+            report.save(a.format, found, target)
+            Path(target).chmod(0o600)
+            return status
         if a.command == "scan" and a.format == "json":
             out = report.json_document(found, report.envelope(found))
         else:
+            df = report.render(a.format, found)
             out = (r.json for r in df.select("json").toLocalIterator()) if "json" in df.columns else df.toJSON().toLocalIterator()
         sink = Path(a.output).open("w") if a.output else sys.stdout
         for line in out:

@@ -58,3 +58,13 @@ class Config:
     secret_rules: str = ""
     advisories: str = ""
     image: str = ""
+    package_intelligence: bool = False
+    package_registry_mode: str = "auto"
+    registry_responses: str = ""
+    npm_registry_url: str = ""
+    pypi_registry_url: str = ""
+    crates_registry_url: str = ""
+    model: str = ""
+    ai_triage: bool = False
+    ai_filter_secrets: bool = False
+    explain: bool = False

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,10 +41,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def directory(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a directory: path relative to it, size, content. Filters on size reach the scan."""
+    """Files below a directory: path relative to it, size, content. Filters on size reach the scan. A root without a scheme
+    is a local path, and may be relative."""
+    root = root if "://" in root or root.startswith("file:") else os.path.abspath(root)
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
-    absolute = F.regexp_replace("path", "^file:/+", "/")
-    return d.select(F.when(absolute.startswith(root.rstrip("/") + "/"), F.substring(absolute, len(root.rstrip("/")) + 2, 1 << 20)).otherwise(absolute).alias("path"), F.col("length").alias("size"), "content")
+    absolute, base = F.regexp_replace("path", "^file:/+", "/"), re.sub("^file:/+", "/", root).rstrip("/") + "/"
+    return d.select(F.when(absolute.startswith(base), F.substring(absolute, len(base) + 1, 1 << 20)).otherwise(absolute).alias("path"), F.col("length").alias("size"), "content")
 
 
 def outside(path: Column, names: tuple[str, ...]) -> Column:
@@ -96,6 +100,14 @@ def remembered(known: DataFrame, finished: DataFrame) -> DataFrame:
     return known.join(finished.select("path"), "path", "left_anti").select("path", "sha256").unionByName(finished.select("path", "sha256"))
 
 
+def save_state(state: DataFrame, path: str) -> None:
+    """A state (path, sha256) as the JSON that load_state() reads, written by all executors as one document."""
+    from palisade.sinks.document import write_document
+
+    quoted = lambda c: F.regexp_replace(F.to_json(F.struct(F.col(c).alias("k"))), r'^\{"k":|\}$', "")
+    write_document(state.orderBy("path").select(F.lit(0).alias("section"), F.concat(quoted("path"), F.lit(": "), quoted("sha256")).alias("json")), path, ['{"hashes": {\n', "\n}}\n"])
+
+
 def load_state(spark: SparkSession, path: str) -> DataFrame:
     """A JSON state of hashes; missing or broken ones are empty."""
     try:

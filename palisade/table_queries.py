@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palisade.operators import rule_table, rules
+from palisade.functions.versions import version_key
+from palisade.operators import producers, rule_table, rules
 from palisade.plans import postprocess as P
 from palisade.queries import _WITH, Fixture, all_findings, files, query
 
@@ -66,3 +67,30 @@ def _requirements(s: SparkSession, d: str) -> DataFrame:
 SELECT rule_id, file, rule_id || ' in ' || file AS description FROM r WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE lower(f.rule_id) = lower(r.rule_id) AND contains(f.file_path, r.file))""")
 def _(s, d):
     return P.missing_required(all_findings(s, d), _requirements(s, d)).select("rule_id", "file", "description")
+
+
+# parts as packages of Debian, whose versions have epochs, tildes, builds and revisions
+
+_TAILS = ["~rc1", "", "-2", "a", "+b1"]  # in their order
+_VERSION = "CASE WHEN p_partkey % 11 = 0 THEN '1:' ELSE '' END || CAST(p_size AS {0}) || '.' || CAST(p_partkey % 7 AS {0}) || CASE p_partkey % 5 WHEN 0 THEN '-2' WHEN 1 THEN 'a' WHEN 2 THEN '' WHEN 3 THEN '~rc1' ELSE '+b1' END"
+_TAIL = "CASE p_partkey % 5 WHEN 3 THEN 0 WHEN 2 THEN 1 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 4 END"
+_EPOCH = "CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END"
+
+
+@query("debian_versions", f"SELECT DISTINCT p_brand AS brand, {_VERSION.format('VARCHAR')} AS version, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY {_EPOCH}, p_size, p_partkey % 7, {_TAIL}) AS INT) AS place FROM part")
+def _(s, d):
+    v = s.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("brand"), F.expr(_VERSION.format("STRING")).alias("version")).distinct()
+    order = Window.partitionBy("brand").orderBy(version_key(F.col("version"), F.lit("Debian:12")))
+    return v.withColumn("place", F.dense_rank().over(order))
+
+
+@query("debian_matches", f"""WITH p AS (SELECT DISTINCT p_type || '/' || p_name AS name, {_VERSION.format('VARCHAR')} AS version, {_EPOCH} AS epoch, p_size AS a, p_partkey % 7 AS b, {_TAIL} AS tail FROM part),
+n AS (SELECT DISTINCT name FROM p)
+SELECT 'D-' || name AS advisory, name, version FROM p WHERE epoch = 0 AND a * 100 + b * 10 + tail < 2531 AND a * 100 + b * 10 + tail >= 500""")
+def _(s, d):
+    packages = s.read.parquet(f"{d}/part.parquet").select(F.concat_ws("/", "p_type", "p_name").alias("name"), F.expr(_VERSION.format("STRING")).alias("version"), F.lit("Debian:12").alias("ecosystem")).distinct()
+    empty = F.array().cast("array<string>")
+    events = F.array(F.struct(F.lit("5.0~rc1").alias("introduced"), F.lit("").alias("fixed")), F.struct(F.lit("").alias("introduced"), F.lit("25.3").alias("fixed")))
+    ranged = F.array(F.struct(F.array(F.struct(events.alias("events"))).alias("ranges")))
+    advisories = packages.select("name", "ecosystem").distinct().select(F.concat(F.lit("D-"), "name").alias("id"), "name", "ecosystem", empty.alias("versions"), ranged.alias("affected"))
+    return producers.advisory_matches(packages, advisories).select("advisory", "name", "version")
