@@ -1,9 +1,9 @@
 """Rules from a table, hundreds or thousands of them, at a cost that follows the text.
 
-Whatever a rule matches holds one of a few literals: its required literals, which are read off its regular expression.
-Those of all rules go into one Aho-Corasick automaton in each task. It runs over a text once and names the lines, and
-for each the rules, that may match; only these lines leave the task, and only these pairs meet the regular expressions,
-in Spark's own engine. A literal only selects: hits are the expressions' own, as if each rule had been tried on each line.
+Whatever a rule matches holds certain literals, or one of each of some groups, which are read off its regular
+expression. The best group of each rule goes into one Aho-Corasick automaton in each task. It runs over a text once and
+names the lines, and for each the rules, that may match; lines that lack a literal of another group are passed over. Only
+the rest leaves the task, and only these pairs meet the regular expressions, in Spark's own engine. A literal only selects: hits are the expressions' own, as if each rule had been tried on each line.
 
 Case does not count for the automaton, which folds ASCII letters and the two letters that fold to them, so it serves
 expressions with and without (?i). Rules whose expressions name no literal of LEAST_LITERAL characters, or that Python
@@ -47,54 +47,66 @@ def fold(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_FOLD)
 
 
-def required(regex: str) -> list[str] | None:
-    """Folded literals of which every match holds one; None if there are none of LEAST_LITERAL characters."""
+def needed(regex: str) -> list[list[str]]:
+    """Groups of folded literals: whatever matches holds one of each group. The first one selects best; none if the
+    expression cannot be read."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = _parser.parse(regex)
     except (re.error, OverflowError, RecursionError):
-        return None
-    best = _of_sequence(tree)
-    return sorted(best) if best and min(map(len, best)) >= LEAST_LITERAL and len(best) <= MOST_LITERALS else None
+        return []
+    groups = {frozenset(g) for g in _of_sequence(tree) if len(g) <= MOST_LITERALS}
+    return [sorted(g) for g in sorted(groups, key=lambda g: (-min(map(len, g)), len(g), sorted(g)))]
+
+
+def required(regex: str) -> list[str] | None:
+    """The literals by which the automaton looks for an expression; None if there are none of LEAST_LITERAL characters."""
+    first = next(iter(needed(regex)), None)
+    return first if first and min(map(len, first)) >= LEAST_LITERAL else None
 
 
-def _better(a: set[str] | None, b: set[str] | None) -> set[str] | None:
-    """The alternatives whose shortest literal is longer, then the fewer."""
-    rank = lambda x: (min(map(len, x)), -len(x)) if x else (0, 0)
-    return a if rank(a) >= rank(b) else b
+def _folded(code: int) -> str | None:
+    c = fold(chr(code))
+    return c if len(c) == 1 and c.isascii() else None
 
 
-def _of_sequence(items) -> set[str] | None:
-    best: set[str] | None = None
+def _of_sequence(items) -> list[set[str]]:
+    groups: list[set[str]] = []
     run = ""
     for op, value in items:
-        if op is K.LITERAL and len(c := fold(chr(value))) == 1 and c.isascii():
+        if op is K.LITERAL and (c := _folded(value)):
             run += c
             continue
-        own: set[str] | None = None
+        if op is K.AT or op in (K.ASSERT, K.ASSERT_NOT):  # takes no characters: the run goes on
+            continue
+        if run:
+            groups.append({run})
+            run = ""
         if op is K.SUBPATTERN:
-            own = _of_sequence(value[3])
+            groups += _of_sequence(value[3])
         elif op is K.ATOMIC_GROUP:
-            own = _of_sequence(value)
+            groups += _of_sequence(value)
         elif op is K.BRANCH:
-            parts = [_of_sequence(x) for x in value[1]]
-            own = set().union(*parts) if all(parts) else None
+            best = [max(_of_sequence(x), key=lambda g: (min(map(len, g)), -len(g)), default=None) for x in value[1]]
+            groups += [set().union(*best)] if all(best) else []
         elif op in (K.MAX_REPEAT, K.MIN_REPEAT, K.POSSESSIVE_REPEAT) and value[0] >= 1:
-            own = _of_sequence(value[2])
-        elif op is K.AT or op in (K.ASSERT, K.ASSERT_NOT):  # takes no characters: the run goes on
-            continue
-        best = _better(_better(best, {run} if run else None), own)
-        run = ""
-    return _better(best, {run} if run else None)
+            groups += _of_sequence(value[2])
+        elif op is K.IN and all(o is K.LITERAL and _folded(v) for o, v in value):
+            groups.append({_folded(v) for _, v in value})
+    return [*groups, {run}] if run else groups
 
 
 class Automaton:
-    """The required literals of some rules; rules without any are left out."""
+    """The literals of some rules: those of their first groups are looked for, the others in the lines that have them.
+    Rules without a group of LEAST_LITERAL characters are left out."""
 
-    def __init__(self, literals: list[list[str] | None]):
+    def __init__(self, groups: list[list[list[str]]]):
         import ahocorasick
 
+        literals = [g[0] if g and min(map(len, g[0])) >= LEAST_LITERAL else None for g in groups]
+        self.others = [g[1:] for g in groups]
+
         by_literal: dict[str, list[int]] = {}
         for ordinal, words in enumerate(literals):
             for word in words or ():
@@ -129,16 +141,21 @@ class Automaton:
             number += text.count("\n", last, start)
             last = start
             end = text.find("\n", start)
-            yield number, text[start : len(text) if end < 0 else end], sorted(rules)
+            line = text[start : len(text) if end < 0 else end]
+            low = fold(line)
+            kept = sorted(r for r in rules if all(any(x in low for x in g) for g in self.others[r]))
+            if kept:
+                yield number, line, kept
 
 
 #: The automaton that a worker process has built last.
 _BUILT: dict[str, Automaton] = {}
 
 
-def candidates(files: DataFrame, literals: list[list[str] | None]) -> DataFrame:
-    """The columns of files but text, and (pos, line, ordinal): lines, numbered from 0, and the rules that they may match."""
-    shared, key = files.sparkSession.sparkContext.broadcast(literals), uuid.uuid4().hex
+def candidates(files: DataFrame, groups: list[list[list[str]]], flag: str | None = None) -> DataFrame:
+    """The columns of files but text, and (_pos, _line, ordinal): lines, numbered from 0, and the rules that they may match;
+    for files whose column `flag` is true also one row of ordinal -1, without a line."""
+    shared, key = files.sparkSession.sparkContext.broadcast(groups), uuid.uuid4().hex
     kept = [c for c in files.columns if c != "text"]
 
     def run(batches):
@@ -147,7 +164,8 @@ def candidates(files: DataFrame, literals: list[list[str] | None]) -> DataFrame:
             _BUILT[key] = Automaton(shared.value)
         automaton = _BUILT[key]
         for b in batches:
-            row, pos, line, ordinal = [], [], [], []
+            row = [i for i, x in enumerate(b.column(flag).to_pylist()) if x] if flag else []
+            pos, line, ordinal = [0] * len(row), [""] * len(row), [-1] * len(row)
             for i, text in enumerate(b.column("text")):
                 for number, content, rules in automaton.lines(text.as_py() or ""):
                     for r in rules:
@@ -157,7 +175,8 @@ def candidates(files: DataFrame, literals: list[list[str] | None]) -> DataFrame:
                         ordinal.append(r)
             if row:
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in kept), pa.array(pos, pa.int32()), pa.array(line, pa.string()), pa.array(ordinal, pa.int32())], names=[*kept, "_pos", "_line", "ordinal"])
+                made = pa.table([*(b.column(c).take(take) for c in kept), pa.array(pos, pa.int32()), pa.array(line, pa.string()), pa.array(ordinal, pa.int32())], names=[*kept, "_pos", "_line", "ordinal"])
+                yield from made.sort_by("ordinal").to_batches()  # so that each expression is compiled once a batch
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "text"]
     return files.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join([*schema, "_pos int", "_line string", "ordinal int"]))
@@ -171,20 +190,21 @@ def collected(rules: DataFrame) -> list[tuple]:
     return [tuple(r) for r in rules.orderBy(*rules.columns).collect()]
 
 
-def _verified(found: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+def _verified(found: DataFrame, rows: list[tuple], schema: str, flagged: bool) -> DataFrame:
     """Pairs of lines and rules whose expression matches, with the rule's columns."""
     names = [x.split()[0] for x in schema.split(", ")]
-    table = found.sparkSession.createDataFrame([(i, java(r[names.index("regex")]), *r) for i, r in enumerate(rows)], f"ordinal int, _java string, {schema}").drop("regex")
-    return found.join(F.broadcast(table), "ordinal").where(F.expr("_line rlike _java")).drop("_java")
+    table = found.sparkSession.createDataFrame([(i, java(r[names.index("regex")]), *r) for i, r in enumerate(rows)] + [(-1, "", *[None] * len(names))] * flagged, f"ordinal int, _java string, {schema}").drop("regex")
+    return found.join(F.broadcast(table), "ordinal").where(F.expr("regexp_instr(_line, _java) > 0")).drop("_java")
 
 
-def matches(files: DataFrame, rows: list[tuple], schema: str = RULE) -> DataFrame:
+def matches(files: DataFrame, rows: list[tuple], schema: str = RULE, flag: str | None = None) -> DataFrame:
     """files (path, text, ...) and rules of a schema that has regex -> a row for each rule and line that it matches: the
-    files' columns but text, _pos, _line, ordinal and the rule's columns but regex."""
+    files' columns but text, _pos, _line, ordinal and the rule's columns but regex. Files whose column `flag` is true
+    give a row of ordinal -1, without a rule."""
     at = [x.split()[0] for x in schema.split(", ")].index("regex")
-    literals = [required(r[at]) for r in rows]
-    made = candidates(files, literals)
-    bare = [i for i, x in enumerate(literals) if x is None]
+    groups = [needed(r[at]) for r in rows]
+    made = candidates(files, groups, flag)
+    bare = [i for i, g in enumerate(groups) if not g or min(map(len, g[0])) < LEAST_LITERAL]
     if bare:
         any_ = F.lit(False)
         for i in bare[:50]:
@@ -192,7 +212,7 @@ def matches(files: DataFrame, rows: list[tuple], schema: str = RULE) -> DataFram
         some = files.where(any_) if len(bare) <= 50 else files  # a text without a match of any has no line with one
         lines = some.select(*[c for c in files.columns if c != "text"], F.posexplode(S.lines_kept(F.col("text"))).alias("_pos", "_line"))
         made = made.unionByName(lines.withColumn("ordinal", F.explode(F.array(*map(F.lit, bare)))).withColumn("ordinal", F.col("ordinal").cast("int")))
-    return _verified(made, rows, schema)
+    return _verified(made, rows, schema, flag is not None)
 
 
 def prefilter_table(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -203,9 +223,9 @@ def prefilter_table(files: DataFrame, rules: DataFrame | None = None) -> DataFra
     return hits.select(*[c for c in files.columns if c != "text"], (F.col("_pos") + 1).alias("line"), "ordinal", "name", "cwe", "severity", "category")
 
 
-def secrets_table(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """rules.secrets() with the rules of a table (name, regex, group): path, line, rule, secret for each match."""
-    rows = collected(rules.select("name", "regex", F.col("group").cast("int").alias("group")))
+def secrets_table(files: DataFrame, rules) -> DataFrame:
+    """rules.secrets() with the rules of a table, or a list, of (name, regex, group): path, line, rule, secret for each match."""
+    rows = collected(rules.select("name", "regex", F.col("group").cast("int").alias("group"))) if isinstance(rules, DataFrame) else [tuple(r) for r in rules]
     hits = matches(files.select("path", "text"), rows, "name string, regex string, group int")
     regexes = files.sparkSession.createDataFrame([(i, "(?d)" + r[1]) for i, r in enumerate(rows)], "ordinal int, _regex string")
     found = hits.join(F.broadcast(regexes), "ordinal").withColumn("secret", F.explode(F.expr("regexp_extract_all(_line, _regex, `group`)")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions import scalar as S
+from palisade.operators.reach import written
+from palisade.sinks.folders import shared_folder
 
 MOST_FILES, MOST_BYTES = 6, 16 << 10
 # Extensions that an import may leave out, by the importing file's language.
@@ -82,11 +84,13 @@ def supporting(edges: DataFrame, files: DataFrame, depth: int = MOST_FILES - 1,
     def cut(front: DataFrame) -> DataFrame:  # more than the budget of files is never used
         return front.withColumn("_r", F.row_number().over(Window.partitionBy("primary").orderBy("via"))).where(F.col("_r") <= most_files).drop("_r")
 
-    front = cut(step.select(F.col("path").alias("primary"), F.col("target").alias("path"), F.lit(1).alias("depth"), F.col("_o").alias("via")))
+    # each level is written: the next one joins it and all before it, and none is computed again
+    folder = shared_folder(edges.sparkSession, "slices")
+    front = written(cut(step.select(F.col("path").alias("primary"), F.col("target").alias("path"), F.lit(1).alias("depth"), F.col("_o").alias("via"))), f"{folder}/1")
     seen = front
     for d in range(2, depth + 1):
         front = front.join(step, "path").select("primary", F.col("target").alias("path"), F.lit(d).alias("depth"), F.concat("via", F.col("_o")).alias("via"))
-        front = cut(front.join(seen.select("primary", "path"), ["primary", "path"], "left_anti").groupBy("primary", "path").agg(F.min("depth").alias("depth"), F.min("via").alias("via")))
+        front = written(cut(front.join(seen.select("primary", "path"), ["primary", "path"], "left_anti").groupBy("primary", "path").agg(F.min("depth").alias("depth"), F.min("via").alias("via"))), f"{folder}/{d}")
         seen = seen.union(front)
     w = Window.partitionBy("primary").orderBy("depth", "via")
     sized = seen.join(files.select("path", "text"), "path").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most_files)

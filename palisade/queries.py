@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import answers as A
 from palisade.functions import scalar as S
-from palisade.operators import layers, producers, rules, slices
+from palisade.operators import layers, producers, rule_table, rules, slices
 from palisade.plans import postprocess as P
 from palisade.plans import report
 from palisade.schema import SEVERITIES, Config
@@ -18,6 +18,7 @@ from palisade.sources import files as SRC
 from palisade.sources import packages as PKG
 
 CFG = Config(denied_licenses=["Apache-2.0", "GPL-3.0"])
+NO_SECRETS = Config(denied_licenses=CFG.denied_licenses, secrets=False)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -67,8 +68,7 @@ def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of rules and of license policy over all documents, deduplicated and scored."""
-    f = files(spark, sf_dir)
-    return P.process([producers.source_findings(f, CFG), producers.license_findings(producers.licenses(f), CFG)], CFG)
+    return P.process([producers.text_findings(files(spark, sf_dir), NO_SECRETS)], CFG)
 
 
 # the same in SQL, as named subqueries
@@ -110,7 +110,7 @@ _LABEL = "CASE severity WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'M
 
 @query("prefilter_findings", _WITH + "SELECT path, line, name, cwe, severity, category FROM hits")
 def _(s, d):
-    return rules.prefilter(files(s, d)).select("path", "line", "name", "cwe", "severity", "category")
+    return rule_table.prefilter_table(files(s, d)).select("path", "line", "name", "cwe", "severity", "category")
 
 
 @query("findings_by_rule", _WITH + "SELECT rule_id, type, severity, priority_score, count(*) AS n FROM findings GROUP BY ALL")
@@ -263,13 +263,13 @@ _TOKEN = r"""(?i)\b(?:token|secret|password|api[_-]?key)\s*[=:]\s*["']([A-Za-z0-
 
 @query("secrets_redacted", _WITH + f"SELECT path, no AS line, left(x, 4) || '****' || right(x, 4) AS redacted FROM (SELECT path, no, unnest(regexp_extract_all(line, {_literal(_TOKEN)}, 1)) AS x FROM lines)")
 def _(s, d):
-    return rules.secrets(files(s, d), rules.SECRET_RULES[-1:]).select("path", F.col("line").cast("long").alias("line"), S.redact(F.col("secret")).alias("redacted"))
+    return rule_table.secrets_table(files(s, d), rules.SECRET_RULES[-1:]).select("path", F.col("line").cast("long").alias("line"), S.redact(F.col("secret")).alias("redacted"))
 
 
 @query("secrets_per_lang", f"SELECT lang, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, {_literal(_TOKEN)}, 1)) AS x FROM documents) GROUP BY lang")
 def _(s, d):
     lang = s.read.parquet(f"{d}/documents.parquet").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "lang")
-    return rules.secrets(files(s, d), rules.SECRET_RULES[-1:]).join(lang, "path").groupBy("lang").agg(F.count("*").alias("n"))
+    return rule_table.secrets_table(files(s, d), rules.SECRET_RULES[-1:]).join(lang, "path").groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query("redact", "SELECT * FROM (VALUES ('abcdefgh', '********'), ('abcdefghi', 'abcd****fghi'), ('', '')) AS t(text, redacted)")

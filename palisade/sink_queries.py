@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palisade.operators.reach import breadth_first
 from palisade.plans import report
 from palisade.queries import _LABEL, _WITH, all_findings, query
 from palisade.sinks.folders import shared_folder
+from palisade.sinks.keyed_table import KeyedTable, comment_upserts
 
 
 def _lines(s: SparkSession, path: str) -> DataFrame:
@@ -71,3 +75,66 @@ UNION ALL SELECT '{"spdxElementId":"SPDXRef-DOCUMENT","relationshipType":"DESCRI
 UNION ALL SELECT ']}'""")
 def _(s, d):
     return _written(s, "spdx", _parts(s, d))
+
+
+# the state of a scan as a table by path: four scans, each with one changed document of a hundred
+
+_SCANS = 4
+
+
+def _hashes(s: SparkSession, d: str, scan: int) -> DataFrame:
+    """Paths and hashes at a scan: a hundredth of the documents has changed, some of them are new."""
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    own = docs.where(F.col("doc_id") % 100 == scan) if scan else docs.where(F.col("doc_id") % 200 != 1)
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(f" {scan}") if scan else F.lit(""))
+    return own.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.sha2(text, 256).alias("sha256"), F.lit(scan).alias("scan"))
+
+
+_STATE = """WITH v AS (SELECT source || '/' || CAST(doc_id AS VARCHAR) AS path, sha256(coalesce(text, '') || CASE scan WHEN 0 THEN '' ELSE ' ' || CAST(scan AS VARCHAR) END) AS sha256, CAST(scan AS INT) AS scan
+  FROM documents, range(4) t(scan) WHERE CASE scan WHEN 0 THEN doc_id % 200 <> 1 ELSE doc_id % 100 = scan END),
+state AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY path ORDER BY scan DESC, sha256 DESC) = 1)
+"""
+
+
+def _state(s: SparkSession, d: str) -> KeyedTable:
+    table = KeyedTable(s, shared_folder(s, "state"))
+    table.create(_hashes(s, d, 0), ["path"])
+    for scan in range(1, _SCANS):
+        table.upsert(_hashes(s, d, scan))
+    return table
+
+
+@query("state_upsert", _STATE + "SELECT path, sha256, scan FROM state")
+def _(s, d):
+    return _state(s, d).read()
+
+
+@query("state_versions", "SELECT CAST(scan + 1 AS INT) AS version, (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id % 200 <> 1 OR (doc_id % 100 = 1 AND scan >= 1)) AS rows FROM range(4) t(scan)")
+def _(s, d):
+    table = _state(s, d)
+    counts = [table.read(n).agg(F.lit(n).alias("version"), F.count("*").alias("rows")) for n in table.versions()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+# turns of conversations as comments, and a summary for each conversation
+
+
+@query("comment_upsert", "SELECT conv_id AS place, min(turn) FILTER (contains(text, 'the')) AS id, CASE WHEN count(*) FILTER (contains(text, 'the')) > 0 THEN 'edit' ELSE 'create' END AS action, '<!-- the --> ' || CAST(count(*) AS VARCHAR) || ' turns' AS body FROM conversations GROUP BY conv_id")
+def _(s, d):
+    turns = s.read.parquet(f"{d}/conversations.parquet")
+    wanted = turns.groupBy(F.col("conv_id").alias("place")).agg(F.concat(F.lit("<!-- the --> "), F.count("*").cast("string"), F.lit(" turns")).alias("body"))
+    return comment_upserts(turns.select(F.col("conv_id").alias("place"), F.col("turn").alias("id"), F.col("text").alias("body")), wanted, "the")
+
+
+# links between pages: two that follow each other among those with a link in common
+
+
+@query("link_graph", r"""WITH RECURSIVE l AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages),
+e AS (SELECT DISTINCT path, target FROM (SELECT url AS path, lead(url) OVER (PARTITION BY h ORDER BY url) AS target FROM l) WHERE target IS NOT NULL),
+r AS (SELECT DISTINCT url AS start, url AS path, 0 AS depth FROM pages WHERE page_id % 20 = 0 UNION SELECT start, target, depth + 1 FROM r JOIN e USING (path) WHERE depth < 5)
+SELECT start, path, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY start, path""")
+def _(s, d):
+    pages = s.read.parquet(f"{d}/pages.parquet")
+    links = pages.select("url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h")).distinct()
+    edges = links.select(F.col("url").alias("path"), F.lead("url").over(Window.partitionBy("h").orderBy("url")).alias("target"))
+    return breadth_first(edges, pages.where("page_id % 20 = 0").select(F.col("url").alias("primary")), 5).withColumnRenamed("primary", "start")

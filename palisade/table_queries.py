@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.functions.versions import version_key
 from palisade.operators import producers, rule_table, rules
 from palisade.plans import postprocess as P
-from palisade.queries import _WITH, Fixture, all_findings, files, query
+from palisade.queries import _WITH, CFG, Fixture, all_findings, files, query
 
 # a rule for each long word of the benchmark: that word at the end of a clause
 
@@ -36,9 +36,9 @@ def _(s, d):
     return hits.groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("name").alias("rules"), F.countDistinct("path").alias("files"))
 
 
-@query("prefilter_by_automaton", _WITH + "SELECT path, line, ordinal, name, cwe, severity, category FROM hits")
+@query("prefilter_in_spark", _WITH + "SELECT path, line, ordinal, name, cwe, severity, category FROM hits")
 def _(s, d):
-    return rule_table.prefilter_table(files(s, d)).select("path", "line", "ordinal", "name", "cwe", "severity", "category")
+    return rules.prefilter(files(s, d)).select("path", "line", "ordinal", "name", "cwe", "severity", "category")
 
 
 _SECRET_TABLE = [*rules.SECRET_RULES, ("assignment", r"""(?i)\b(token|secret|password)\s*[=:]\s*["'][^"']+["']""", 1), ("year", "([A-Za-z]+) (?:19|20)[0-9]{2}", 1), ("short", r"\b([a-z])\1[0-9]", 1)]
@@ -94,3 +94,22 @@ def _(s, d):
     ranged = F.array(F.struct(F.array(F.struct(events.alias("events"))).alias("ranges")))
     advisories = packages.select("name", "ecosystem").distinct().select(F.concat(F.lit("D-"), "name").alias("id"), "name", "ecosystem", empty.alias("versions"), ranged.alias("affected"))
     return producers.advisory_matches(packages, advisories).select("advisory", "name", "version")
+
+
+# all producers of texts, secrets included, in one scan
+
+_SECRET_FIXTURE = Fixture("rule string, regex string", [(n, r) for n, r, _ in rules.SECRET_RULES])
+_EVERY = _WITH + f""", secret AS (SELECT path, no, rule, unnest(regexp_extract_all(line, regex, 1)) AS x FROM lines, (SELECT * FROM {_SECRET_FIXTURE.sql}) r),
+every AS (SELECT type, rule_id, severity, file_path, CAST(start_line AS INT) AS start_line, title, '' AS redacted FROM (SELECT * FROM sast UNION ALL SELECT * FROM policy)
+  UNION ALL SELECT 'secrets', rule, 3, path, CAST(no AS INT), 'Secret: ' || rule, CASE WHEN strlen(x) <= 8 THEN repeat('*', strlen(x)) ELSE left(x, 4) || '****' || right(x, 4) END FROM secret)
+"""
+
+
+@query("one_pass_findings", _EVERY + "SELECT * FROM every")
+def _(s, d):
+    return producers.text_findings(files(s, d), CFG).select("type", "rule_id", "severity", "file_path", "start_line", "title", "redacted")
+
+
+@query("one_pass_by_rule", _EVERY + "SELECT type, rule_id, count(*) AS n, count(DISTINCT file_path) AS files FROM every GROUP BY ALL")
+def _(s, d):
+    return producers.text_findings(files(s, d), CFG).groupBy("type", "rule_id").agg(F.count("*").alias("n"), F.countDistinct("file_path").alias("files"))
