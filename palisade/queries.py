@@ -673,4 +673,4 @@ def _(s, d):
     return webhook.requests(s.createDataFrame(rows, "event_type string, body string")).select("kind", "repository", "sha", "number")
 
 
-from palisade import model_queries, more_queries, sink_queries, stream_queries, table_queries  # noqa: E402,F401  they register themselves
+from palisade import given_queries, model_queries, more_queries, sink_queries, stream_queries, table_queries  # noqa: E402,F401  they register themselves
