@@ -85,8 +85,9 @@ def _sast(spark: SparkSession, inputs: dict, cfg: Config):
 def _container(spark: SparkSession, inputs: dict, cfg: Config):
     if not (cfg.image and cfg.advisories):
         return None
-    archive = spark.read.format("binaryFile").load(cfg.image).select(F.lit(cfg.image).alias("image"), "content")
-    entries = images.entries(archive, (*images.APK, *images.DPKG, *images.RPM, *images.RELEASE), lockfiles.names())
+    image = cfg.image if "://" in cfg.image else os.path.abspath(cfg.image)
+    archive = spark.createDataFrame([(cfg.image, image)], "image string, path string")
+    entries = images.file_entries(archive, (*images.APK, *images.DPKG, *images.RPM, *images.RELEASE), lockfiles.names())
     return containers.container_findings(entries, advisories_of(spark, cfg.advisories))
 
 

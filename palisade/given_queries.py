@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from palisade.functions import answers as A
 from palisade.functions import scalar as S
-from palisade.operators import layers, producers
+from palisade.operators import containers, layers, producers
 from palisade.plans import postprocess as P
 from palisade.queries import _SLUG, _WITH, CFG, query
 from palisade.sources import files as SRC
-from palisade.sources import lockfiles
+from palisade.sources import images, lockfiles
 from palisade.sources import packages as PKG
 from palisade.streaming import webhook
 
@@ -297,3 +297,58 @@ def _(s, d):
     sent = _deliveries(s, d).mapInPandas(sign, "event_id long, event_type string, body string, method string, signature string")
     forged = sent.withColumn("signature", F.expr("CASE WHEN event_id % 5 = 0 THEN reverse(signature) ELSE signature END"))
     return webhook.verified(forged, _SECRET).select("event_id", F.substring("signature", 8, 64).alias("mac"))
+
+
+# an image for each brand of parts: a layer with a database, one with lockfiles, one that removes a part of them
+
+
+def _images(s: SparkSession, d: str) -> DataFrame:
+    import io
+    import json
+    import tarfile
+
+    import pyarrow as pa
+
+    from palisade.sinks.folders import file_system, shared_folder
+
+    folder = shared_folder(s, "images")
+
+    def tar(files: dict[str, bytes]) -> bytes:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as t:
+            for name, data in files.items():
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+        return out.getvalue()
+
+    def save(batches):
+        system, root = file_system(folder)
+        system.create_dir(root, recursive=True)
+        for b in batches:
+            paths = []
+            for brand, apk, pins in zip(*(b.column(c).to_pylist() for c in ("brand", "apk", "pins")), strict=True):
+                layers_ = {"0.tar": {"etc/os-release": b"ID=alpine\nVERSION_ID=3.19.1\n", "lib/apk/db/installed": apk.encode()}, "1.tar": {"app/requirements.txt": pins.encode(), "old/requirements.txt": pins.encode()}, "2.tar": {"old/.wh.requirements.txt": b""}}
+                files = {n: tar(x) for n, x in layers_.items()} | {"manifest.json": json.dumps([{"Layers": list(layers_)}]).encode()}
+                paths.append(f"{folder}/{brand.replace('#', '-')}.tar")
+                with system.open_output_stream(f"{root}/{brand.replace('#', '-')}.tar") as f:
+                    f.write(tar(files))
+            yield pa.RecordBatch.from_arrays([b.column("brand"), pa.array(paths, pa.string())], names=["image", "path"])
+
+    joined = lambda line, between: F.array_join(F.array_sort(F.collect_list(F.expr(line))), between)
+    p = _packages(s, d).groupBy("brand").agg(joined("'P:' || n || '\nV:' || v", "\n\n").alias("apk"), joined("n || '==' || v", "\n").alias("pins"))
+    table = f"{folder}/table"
+    p.mapInArrow(save, "image string, path string").write.parquet(table)
+    return images.file_entries(s.read.schema("image string, path string").parquet(table), (*images.APK, *images.DPKG, *images.RPM, *images.RELEASE), lockfiles.names())
+
+
+@query("image_entries_of_parts", "SELECT DISTINCT p_brand AS image, CAST(x.l AS INT) AS layer_index, CAST(x.t AS INT) AS tar_pos, x.p AS path, x.w AS whole FROM part, (VALUES (0, 0, 'etc/os-release', true), (0, 1, 'lib/apk/db/installed', true), (1, 0, 'app/requirements.txt', true), (1, 1, 'old/requirements.txt', true), (2, 0, 'old/.wh.requirements.txt', false)) x(l, t, p, w)")
+def _(s, d):
+    whole = F.coalesce((F.octet_length("content") == F.col("size")) & F.startswith("layer_digest", F.lit("sha256:")), F.lit(False))
+    return _images(s, d).select("image", "layer_index", "tar_pos", "path", whole.alias("whole"))
+
+
+@query("image_packages_of_parts", f"SELECT p_brand AS image, 0 AS layer_index, {_NAME.format('VARCHAR')} AS name, {_PART_VERSION.format('VARCHAR')} AS version, 'Alpine:v3.19' AS ecosystem FROM part UNION ALL SELECT p_brand, 1, {_NAME.format('VARCHAR')}, {_PART_VERSION.format('VARCHAR')}, 'PyPI' FROM part")
+def _(s, d):
+    e, columns = _images(s, d), ["image", "layer_index", "name", "version", "ecosystem"]
+    return containers.system_packages(e).select(columns).unionByName(containers.language_packages(e).select(columns))
