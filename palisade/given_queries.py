@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from palisade.functions import answers as A
 from palisade.functions import scalar as S
 from palisade.operators import containers, layers, producers
 from palisade.plans import postprocess as P
-from palisade.queries import _SLUG, _WITH, CFG, query
+from palisade.plans import report
+from palisade.queries import _SLUG, _WITH, CFG, all_findings, query
 from palisade.sources import files as SRC
 from palisade.sources import images, lockfiles
 from palisade.sources import packages as PKG
@@ -352,3 +355,22 @@ def _(s, d):
 def _(s, d):
     e, columns = _images(s, d), ["image", "layer_index", "name", "version", "ecosystem"]
     return containers.system_packages(e).select(columns).unionByName(containers.language_packages(e).select(columns))
+
+
+# the outcome of scans: each source of documents is a scan, with or without findings and missing requirements
+
+
+@query("exit_statuses", _WITH + """, n AS (SELECT count(*) AS n FROM findings) SELECT k AS scan, CASE WHEN k % 2 = 0 THEN n ELSE 0 END AS findings, CAST(CASE WHEN k < 2 THEN 2 ELSE 0 END AS BIGINT) AS missing, CAST(CASE WHEN k % 2 = 0 AND n > 0 OR k < 2 THEN 1 ELSE 0 END AS INT) AS status FROM n, range(4) t(k)""")
+def _(s, d):
+    f = all_findings(s, d)
+    need = s.createDataFrame([("", "no.such.rule", "src", ""), ("0" * 64, "", "", ""), ("", "palisade.prefilter.hardcoded_secret", "src", "")], "fingerprint string, rule_id string, file string, reason string")
+    missing = P.missing_required(f, need)
+    cases = [report.exit_status(a, b).select(F.lit(i).cast("long").alias("scan"), "findings", "missing", F.col("status").cast("int").alias("status")) for i, (a, b) in enumerate([(f, missing), (f.where("severity > 9"), missing), (f, missing.where("false")), (f.where("severity > 9"), missing.where("false"))])]
+    return reduce(DataFrame.unionByName, cases)
+
+
+@query("summary_of_triaged", _WITH + "SELECT count(*) AS total, count(*) FILTER (type = 'sast') > 0 AS triaged, list_aggregate(list_sort(list(DISTINCT type)), 'string_agg', ',') AS types FROM findings")
+def _(s, d):
+    f = all_findings(s, d)
+    said = f.where("type = 'sast'").select("fingerprint", F.lit("FALSE_POSITIVE").alias("verdict"), *[F.lit("x").alias(c) for c in ("confidence", "reason", "explanation", "recommendation", "code_fix")])
+    return report.summary(P.merge_triage(f, said)).select("total", "triaged", F.array_join(F.array_sort("types"), ",").alias("types"))

@@ -96,7 +96,7 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 def sarif_results(findings: DataFrame) -> DataFrame:
     start = F.greatest("start_line", F.lit(1))
     return findings.select(
-        "rule_id", S.sarif_level(F.col("severity")).alias("level"), F.col("title").alias("message"), S.file_uri(F.col("file_path")).alias("uri"), start.alias("start_line"),
+        "rule_id", S.sarif_level(F.col("severity")).alias("level"), F.col("description").alias("message"), S.file_uri(F.col("file_path")).alias("uri"), start.alias("start_line"),
         F.when(F.col("end_line") >= start, F.col("end_line")).alias("end_line"), "fingerprint",
     )
 

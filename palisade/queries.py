@@ -394,12 +394,12 @@ def _(s, d):
     return producers.importing_files(_PACKAGES.df(s), _IMPORTS.df(s)).select("name", "path", "rank")
 
 
-@query("reach_annotate", "SELECT * FROM (VALUES ('HIGH', 'high', 'GHSA-1: lodash@4.17.20', 'reachable'), ('MEDIUM', 'low', '[Unreachable] GHSA-2: lodash@4.17.20', 'unreachable'), ('MEDIUM', '', 'GHSA-4: rails@6.0', 'reachability-unknown')) AS t(label, confidence, title, tag)")
+@query("reach_annotate", "SELECT * FROM (VALUES ('HIGH', 'high', 'one | r', 'reachable'), ('MEDIUM', 'low', '[Unreachable] two | r', 'unreachable'), ('MEDIUM', '', 'four', 'reachability-unknown')) AS t(label, confidence, description, tag)")
 def _(s, d):
     m = producers.advisory_matches(_PACKAGES.df(s).dropDuplicates(["name"]), s.createDataFrame(_ADVISORIES, _ADVISORY))
     f = P.with_fingerprints(producers.package_findings(m)).withColumn("severity", F.when(F.col("rule_id") == "GHSA-1", 3).otherwise(F.col("severity")))
     said = f.where("rule_id <> 'GHSA-4'").select("fingerprint", F.when(F.col("rule_id") == "GHSA-1", "REACHABLE").otherwise("UNREACHABLE").alias("status"), F.lit("r").alias("reason"))
-    return producers.annotate_reachability(f, said).select(S.severity_label(F.col("severity")).alias("label"), "confidence", "title", F.element_at("tags", -1).alias("tag"))
+    return producers.annotate_reachability(f, said).select(S.severity_label(F.col("severity")).alias("label"), "confidence", "description", F.element_at("tags", -1).alias("tag"))
 
 
 # containers
@@ -467,7 +467,12 @@ def _(s, d):
 
 # reports
 
-@query("sarif_results", _WITH + "SELECT rule_id, CASE WHEN severity >= 3 THEN 'error' WHEN severity = 2 THEN 'warning' ELSE 'note' END AS level, title AS message, file_path AS uri, start_line, fingerprint FROM findings")
+_DESCRIBED = _WITH + """, described AS (SELECT f.*, cwe, CASE type WHEN 'sast' THEN title || ' (' || cwe || ')' ELSE 'License ' || replace(title, 'Denied license: ', '') || ' is denied' END AS description
+  FROM findings f LEFT JOIN rules ON rules.name = f.rule_name)
+"""
+
+
+@query("sarif_results", _DESCRIBED + "SELECT rule_id, CASE WHEN severity >= 3 THEN 'error' WHEN severity = 2 THEN 'warning' ELSE 'note' END AS level, description AS message, file_path AS uri, start_line, fingerprint FROM described")
 def _(s, d):
     return report.sarif_results(all_findings(s, d)).drop("end_line")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators.reach import breadth_first
 from palisade.plans import report
-from palisade.queries import _LABEL, _WITH, all_findings, query
+from palisade.queries import _DESCRIBED, _LABEL, all_findings, query
 from palisade.sinks.folders import shared_folder
 from palisade.sinks.keyed_table import KeyedTable, comment_upserts
 
@@ -29,9 +29,6 @@ def _written(s: SparkSession, name: str, df: DataFrame, **info) -> DataFrame:
     return _lines(s, path)
 
 
-_DESCRIBED = _WITH + """, described AS (SELECT f.*, cwe, CASE type WHEN 'sast' THEN title || ' (' || cwe || ')' ELSE 'License ' || replace(title, 'Denied license: ', '') || ' is denied' END AS description
-  FROM findings f LEFT JOIN rules ON rules.name = f.rule_name)
-"""
 _ORDER = "ORDER BY severity DESC, file_path, start_line, rule_id, fingerprint"
 
 
@@ -44,7 +41,7 @@ def _(s, d):
     return _written(s, "sarif", all_findings(s, d), version="1")
 
 
-@query("json_file", _DESCRIBED + f"""SELECT '{{"total_findings": ' || count(*) || ', "scan_types": ["sast", "license"], "duration_seconds": 0.0, "findings": [' AS line FROM findings
+@query("json_file", _DESCRIBED + f"""SELECT '{{"total_findings": ' || count(*) || ', "scan_types": [' || coalesce((SELECT string_agg('"' || type || '"', ', ' ORDER BY CASE type WHEN 'sast' THEN 3 ELSE 6 END) FROM (SELECT DISTINCT type FROM findings)), '') || '], "duration_seconds": 0.0, "findings": [' AS line FROM findings
 UNION ALL SELECT '{{"type":"' || type || '","rule_id":"' || rule_id || '","rule_name":' || to_json(rule_name) || ',"severity":"' || {_LABEL} || '","priority_score":' || priority_score || ',"title":' || to_json(title) || ',"description":' || to_json(description) || ',"file_path":"' || file_path || '","start_line":' || start_line || CASE type WHEN 'sast' THEN ',"cwe":["' || cwe || '"]' ELSE '' END || ',"tags":' || to_json(tags) || ',"fingerprint":"' || fingerprint || '"}}' FROM described
 UNION ALL SELECT ']}}'""")
 def _(s, d):

@@ -189,8 +189,9 @@ def _one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(every).alias("_row")).select("_row.*")
 
 
-def comment_upserts(comments: DataFrame, wanted: DataFrame, marker: str) -> DataFrame:
-    """comments (place, id, body) that there are and wanted (place, body) -> place, id, body, action: the first comment of a
-    place whose body holds the marker is edited; where there is none, one is made (id null)."""
-    own = comments.where(F.contains("body", F.lit(marker))).groupBy("place").agg(F.min("id").alias("id"))
+def comment_upserts(comments: DataFrame, wanted: DataFrame, marker: str, most: int = 50) -> DataFrame:
+    """comments (place, id, body) that there are and wanted (place, body) -> place, id, body, action: of the first `most`
+    comments of a place, the first whose body holds the marker is edited; where there is none, one is made (id null)."""
+    first = comments.withColumn("_n", F.row_number().over(Window.partitionBy("place").orderBy("id"))).where(F.col("_n") <= most)
+    own = first.where(F.contains("body", F.lit(marker))).groupBy("place").agg(F.min("id").alias("id"))
     return wanted.join(own, "place", "left").select("place", "id", "body", F.when(F.col("id").isNull(), "create").otherwise("edit").alias("action"))

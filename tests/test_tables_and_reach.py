@@ -76,6 +76,7 @@ def test_comments(spark):
     comments = spark.createDataFrame([("a", 3, "x <!-- m --> y"), ("a", 1, "plain"), ("a", 2, "<!-- m -->"), ("b", 9, "<!-- other -->"), (None, 4, None)], "place string, id long, body string")
     wanted = spark.createDataFrame([("a", "new"), ("b", "new"), ("c", "new")], "place string, body string")
     assert sorted(map(tuple, comment_upserts(comments, wanted, "<!-- m -->").collect())) == [("a", 2, "new", "edit"), ("b", None, "new", "create"), ("c", None, "new", "create")]
+    assert sorted(r.action for r in comment_upserts(comments, wanted, "<!-- m -->", 1).collect()) == ["create"] * 3
 
 
 def test_breadth_first(spark):
