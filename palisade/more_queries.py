@@ -7,7 +7,7 @@ import json
 import sqlite3
 import tarfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.functions import answers as A
@@ -18,6 +18,7 @@ from palisade.plans import postprocess as P
 from palisade.plans import report
 from palisade.queries import _LABEL, _WITH, CFG, Fixture, _literal, all_findings, files, query
 from palisade.schema import Config, as_findings
+from palisade.sinks.folders import shared_folder
 from palisade.sources import files as SRC
 from palisade.sources import images, lockfiles, settings
 from palisade.sources import packages as PKG
@@ -67,10 +68,12 @@ def _(s, d):
 
 @query("json_report", _WITH + f"SELECT fingerprint, rule_id, {_LABEL} AS severity, file_path, CAST(start_line AS BIGINT) AS start_line, total FROM findings, (SELECT count(*) AS total FROM findings)")
 def _(s, d):
-    f = all_findings(s, d)
-    whole = json.loads("\n".join(report.json_document(f, report.envelope(f))))  # the document is what is tested: it is read back
-    rows = [(x["fingerprint"], x["rule_id"], x["severity"], x["file_path"], x["start_line"], whole["total_findings"]) for x in whole["findings"]]
-    return s.createDataFrame(rows, "fingerprint string, rule_id string, severity string, file_path string, start_line long, total long")
+    path = f"{shared_folder(s, 'documents')}/report.json"
+    report.save("json", all_findings(s, d), path)
+    lines = s.read.text(path)  # the document is what is tested: it is read back
+    total = lines.where("startswith(value, '{\"total_findings\"')").select(F.regexp_extract("value", r'"total_findings": (\d+)', 1).cast("long").alias("total"))
+    found = lines.where("startswith(value, '{\"type\"')").select(F.from_json(F.regexp_replace("value", ",$", ""), "fingerprint string, rule_id string, severity string, file_path string, start_line long").alias("x")).select("x.*")
+    return found.crossJoin(F.broadcast(total))  # one row
 
 
 @query("suppressed_counts", _WITH + "SELECT count(*) FILTER (severity = 4) AS inline, count(*) FILTER (severity < 4 AND start_line = 1) AS baseline, count(*) FILTER (severity = 4 OR start_line = 1) AS suppressed FROM findings")
@@ -90,7 +93,7 @@ def _(s, d):
     # names without extensions aren't source files: the first hundred become some
     f, p = all_findings(s, d), F.concat("file_path", F.lit(".py"))
     listed = files(s, d).select(F.concat("path", F.lit(".py")).alias("path")).orderBy("path").limit(300)
-    listed = listed.rdd.zipWithIndex().map(lambda x: (x[1], x[0].path)).toDF("ord long, path string")
+    listed = listed.withColumn("ord", F.row_number().over(Window.orderBy("path")))  # of 300 rows
     out = webhook.push_findings(f.withColumn("file_path", p), listed)
     return out.select("rule_id", F.expr("substring(file_path, 1, length(file_path) - 3)").alias("file_path"), "start_line")
 
@@ -108,8 +111,6 @@ _PLACES = [(eco, v, i) for eco, vs in _ORDER.items() for i, v in enumerate(vs)]
 
 @query("version_order", _values("ecosystem, version, place", _PLACES))
 def _(s, d):
-    from pyspark.sql import Window
-
     v = s.createDataFrame([x[:2] for x in reversed(_PLACES)], "ecosystem string, version string").withColumn("k", version_key(F.col("version"), F.col("ecosystem")))
     return v.select("ecosystem", "version", (F.row_number().over(Window.partitionBy("ecosystem").orderBy("k")) - 1).alias("place"))
 

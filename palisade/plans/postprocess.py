@@ -139,7 +139,7 @@ def changed_only(findings: DataFrame, changed: DataFrame) -> DataFrame:
     """Findings in changed files; all of them if no file is listed."""
     any_ = changed.agg((F.count("*") > 0).alias("_any"))
     c = changed.select(F.col("path").alias("file_path")).distinct().withColumn("_in", F.lit(True))
-    return findings.join(F.broadcast(c), "file_path", "left").crossJoin(F.broadcast(any_)).where("not _any or _in").select(*findings.columns)
+    return findings.join(c, "file_path", "left").crossJoin(F.broadcast(any_)).where("not _any or _in").select(*findings.columns)
 
 
 def relative_paths(findings: DataFrame, root: str) -> DataFrame:

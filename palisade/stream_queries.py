@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators import rules
 from palisade.queries import _WITH, query
-from palisade.sinks.folders import shared_folder
+from palisade.sinks.folders import file_system, shared_folder
 from palisade.streaming import state
 
 BATCHES = 5
 
 
-def _in_parts(s: SparkSession, parts: list[DataFrame], files: int = 4) -> tuple[str, int]:
-    """Parts written one after the other as files of one folder, as a source that a stream reads in that order."""
+def _in_parts(s: SparkSession, parts: list[DataFrame]) -> tuple[str, int]:
+    """Parts written one after the other to one folder, which a stream reads in that order; and files that make about
+    BATCHES batches."""
     folder = f"{shared_folder(s, 'stream')}/source"
     for p in parts:
-        p.repartition(files).write.mode("append").parquet(folder)
-    return folder, files
+        p.write.mode("append").option("compression", "zstd").parquet(folder)
+    system, root = file_system(folder)
+    n = sum(f.base_name.endswith(".parquet") for f in system.get_file_info(FileSelector(root)))
+    return folder, max(1, -(-n // BATCHES))
 
 
 def _stream(s: SparkSession, folder: str, schema, files: int) -> DataFrame:
@@ -44,21 +48,21 @@ changed AS (SELECT * FROM (SELECT *, lag(sha256) OVER (PARTITION BY path ORDER B
 """
 
 
-def _changed(s: SparkSession, d: str) -> DataFrame:
+def _changed(s: SparkSession, d: str, text: bool) -> DataFrame:
     folder, files = _in_parts(s, _revisions(s, d))
-    return state.changed_stream(_stream(s, folder, "path string, text string, revision int", files), "revision")
+    return state.changed_stream(_stream(s, folder, "path string, text string, revision int", files), "revision", text)
 
 
 @query("incremental_stream", _REVISIONS + "SELECT path, revision, sha256 FROM changed")
 def _(s, d):
-    rows = state.drained(_changed(s, d).drop("text"), shared_folder(s, "incremental"))
+    rows = state.drained(_changed(s, d, False), shared_folder(s, "incremental"))
     return s.read.schema("path string, revision long, sha256 string").parquet(rows)
 
 
 @query("incremental_stream_findings", _REVISIONS + """SELECT revision, name, severity, count(*) AS n, count(DISTINCT path) AS files FROM (SELECT path, revision, unnest(string_split(text, chr(10))) AS line FROM changed) l JOIN rules ON regexp_matches(line, regex)
 WHERE NOT regexp_matches(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '^(//|#|\\*$|\\* )') GROUP BY ALL""")
 def _(s, d):
-    hits = rules.prefilter(_changed(s, d).select("path", "revision", "text")).select("path", "revision", "name", "severity")
+    hits = rules.prefilter(_changed(s, d, True).select("path", "revision", "text")).select("path", "revision", "name", "severity")
     rows = state.drained(hits, shared_folder(s, "incremental"))
     found = s.read.schema("path string, revision long, name string, severity int").parquet(rows)
     return found.groupBy("revision", "name", "severity").agg(F.count("*").alias("n"), F.countDistinct("path").alias("files"))

@@ -59,13 +59,15 @@ class LastHash(StatefulProcessor):
         pass
 
 
-def changed_stream(files: DataFrame, revision: str | None = None) -> DataFrame:
+def changed_stream(files: DataFrame, revision: str | None = None, text: bool = True) -> DataFrame:
     """A stream of files (path, text) -> path, revision, sha256, text of those that are new or differ from what their path
     had last. Rows of a path that meet in one batch count in order of the column `revision`; batches count in turn. A
-    null text is an empty file; a null path is a path like others."""
+    null text is an empty file; a null path is a path like others. text: whether texts come along, which are shuffled
+    then; without them only their hashes are."""
     order = F.col(revision).cast("long") if revision else F.lit(0).cast("long")
-    rows = files.select("path", order.alias("revision"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.groupBy("path").transformWithStateInPandas(LastHash(), "path string, revision long, sha256 string, text string", "Append", "None")
+    body = F.coalesce("text", F.lit(""))
+    rows = files.select("path", order.alias("revision"), F.sha2(body, 256).alias("sha256"), *[body.alias("text")] * text)
+    return rows.groupBy("path").transformWithStateInPandas(LastHash(), "path string, revision long, sha256 string" + ", text string" * text, "Append", "None")
 
 
 def scan_stream(files: DataFrame, scan, checkpoint: str, revision: str | None = None, **trigger):

@@ -31,6 +31,8 @@ def test_changed_stream_over_restarts(spark, tmp_path):
         rows = state.drained(state.changed_stream(stream, "revision"), f"{tmp_path}/out")
         got = spark.read.schema("path string, revision long, sha256 string, text string").parquet(rows).select("path", "revision", "text").collect()
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+        rows = state.drained(state.changed_stream(stream, "revision", text=False), f"{tmp_path}/hashes")
+        assert spark.read.schema("path string, revision long, sha256 string").parquet(rows).count() == len(want)
     assert spark.conf.get(state.STORE) == old
 
 
