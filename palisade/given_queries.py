@@ -360,7 +360,7 @@ def _(s, d):
 # the outcome of scans: each source of documents is a scan, with or without findings and missing requirements
 
 
-@query("exit_statuses", _WITH + """, n AS (SELECT count(*) AS n FROM findings) SELECT k AS scan, CASE WHEN k % 2 = 0 THEN n ELSE 0 END AS findings, CAST(CASE WHEN k < 2 THEN 2 ELSE 0 END AS BIGINT) AS missing, CAST(CASE WHEN k % 2 = 0 AND n > 0 OR k < 2 THEN 1 ELSE 0 END AS INT) AS status FROM n, range(4) t(k)""")
+@query("exit_statuses", _WITH + """, n AS (SELECT count(*) AS n, CASE WHEN count(*) FILTER (rule_id = 'palisade.prefilter.hardcoded_secret' AND contains(file_path, 'src')) = 0 THEN 3 ELSE 2 END AS m FROM findings) SELECT k AS scan, CASE WHEN k % 2 = 0 THEN n ELSE 0 END AS findings, CAST(CASE WHEN k < 2 THEN m ELSE 0 END AS BIGINT) AS missing, CAST(CASE WHEN k % 2 = 0 AND n > 0 OR k < 2 THEN 1 ELSE 0 END AS INT) AS status FROM n, range(4) t(k)""")
 def _(s, d):
     f = all_findings(s, d)
     need = s.createDataFrame([("", "no.such.rule", "src", ""), ("0" * 64, "", "", ""), ("", "palisade.prefilter.hardcoded_secret", "src", "")], "fingerprint string, rule_id string, file string, reason string")
