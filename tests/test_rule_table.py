@@ -76,6 +76,16 @@ def test_many_rules(spark):
     assert none.count() == 0 and T.prefilter_table(f.limit(0), table).count() == 0
 
 
+def test_folding_in_other_scripts(spark):
+    table = spark.createDataFrame([("a", "c", 1, "x", "(?i)task[a-z]+s"), ("b", "c", 1, "x", r"(?i)(é.)task\1"), ("c", "c", 1, "x", r"(?i)\u00e9task"), ("d", "c", 1, "x", r"(?i)task\p{Lu}")], T.RULE)
+    texts = ["TASKings", "TA\u017fkin\u017f", "tas\u212aOO\u017f", "ÉxtaskéX", "éTASK", "Étaské", "taskÉ", "TASK\u017f"]
+    f = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "path string, text string")
+    got = {(r.path, r.name) for r in T.prefilter_table(f, table).collect()}
+    want = {(r.path, n) for n, x in (("a", "(?i)task[a-z]+s"), ("b", r"(?i)(é.)task\1"), ("c", r"(?i)\u00e9task"), ("d", r"(?i)task\p{Lu}")) for r in f.where(F.col("text").rlike(rules.java(x))).collect()}
+    assert got == want and len(got) >= 8
+    assert T.plainly("(?i)a[b-c]") == "(?d)(?i)a[b-c]" and all(T.plainly(x) == rules.java(x) for x in ("é", r"(a)\1", r"\x41", r"\p{L}"))
+
+
 def test_tables_that_are_too_large_raise(spark, monkeypatch):
     monkeypatch.setattr(T, "MOST_RULES", 2)
     with pytest.raises(ValueError, match="part by part"):
