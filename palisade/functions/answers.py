@@ -96,8 +96,9 @@ def secret_verdict(text: Column) -> Column:
 
 def complete(prompts, completer, answer: str = "answer", limiter=None, answer_tokens: int = limits.ANSWER_TOKENS):
     """prompts (.., prompt) with the answers of an injected completer, a picklable function of a list of texts. One that
-    raises gives null answers. With a limiter (limits.shared) prompts are sent one by one as it allows, whatever the number
-    of tasks; those that its budget of tokens does not hold, and null prompts, are not sent and have null answers."""
+    raises gives null answers; null prompts are not sent and have null answers. With a limiter (limits.shared) prompts are
+    sent one by one as it allows, whatever the number of tasks; those that its budget of tokens does not hold are not sent
+    and have null answers."""
     schema = T.StructType([*prompts.schema.fields, T.StructField(answer, T.StringType())])
 
     def one(prompt):
@@ -117,10 +118,13 @@ def complete(prompts, completer, answer: str = "answer", limiter=None, answer_to
             if limiter is not None:
                 yield f.assign(**{answer: [one(p) for p in f["prompt"]]})
                 continue
-            try:
-                got = completer(f["prompt"].tolist())
-            except Exception:
-                got = [None] * len(f)
+            sent = f["prompt"].notna()
+            got = pd.Series([None] * len(f), f.index, object)
+            if sent.any():
+                try:
+                    got[sent] = completer(f["prompt"][sent].tolist())
+                except Exception:
+                    pass
             yield f.assign(**{answer: got})
 
     return prompts.mapInPandas(run, schema)
