@@ -81,7 +81,7 @@ def _requests(s: SparkSession, d: str) -> list[DataFrame]:
     ends = e.agg(F.min(F.unix_micros("at")).alias("low"), F.max(F.unix_micros("at")).alias("high"), F.count("*").alias("n")).first()
     low, high = ends.low or 0, ends.high or 0
     place = F.expr(f"(unix_micros(at) - {low}L) * {BATCHES} DIV {high - low + 1}L")
-    clock = s.range(1).select(F.lit("clock").alias("key"), F.lit("").alias("request"), F.timestamp_micros(F.lit(high + (_HOLD + 1) * state.MINUTE * (ends.n + 1))).alias("at"))
+    clock = s.range(1).select(F.lit("clock").alias("key"), F.lit("").alias("request"), F.timestamp_micros(F.lit(high + (_HOLD + 1) * state.MINUTE * (ends.n + 1) + 7 * 24 * 60 * state.MINUTE)).alias("at"))
     return [*(e.where(place == i) for i in range(BATCHES)), clock]
 
 
