@@ -60,18 +60,25 @@ def _general_key(version: Column, ecosystem: Column, family: Column) -> Column:
     return F.concat(F.array(number(F.when(epoch == "", "0").otherwise(epoch))), tokens, F.array(F.lit("3")))
 
 
-def affected(version: Column, ecosystem: Column, packages: Column, introduced: bool) -> Column:
-    """Whether a version is in one of the ranges of an advisory's affected packages: the last event at or before it opens
-    the range. introduced: events have that field; else a range begins with the first version."""
-    own = version_key(version, ecosystem)
+def range_keys(packages: Column, ecosystem: Column, introduced: bool) -> Column:
+    """The ranges of an advisory's affected packages as arrays of events (at, opens) with the keys of their versions.
+    introduced: events have that field; else a range begins with the first version."""
 
-    def hit(r: Column) -> Column:
+    def keyed(r: Column) -> Column:
         kind = lambda e, name: F.coalesce(e[name], F.lit(""))
         start = lambda e: kind(e, "introduced") if introduced else F.lit("")
         events = F.filter(r["events"], lambda e: (start(e) != "") | (kind(e, "fixed") != ""))
         key = lambda e: F.when(start(e) == "0", F.array(F.lit(""))).otherwise(version_key(F.when(start(e) != "", start(e)).otherwise(kind(e, "fixed")), ecosystem))
-        keyed = F.transform(events, lambda e: F.struct(key(e).alias("at"), (start(e) != "").alias("opens")))
-        last = F.array_max(F.filter(keyed, lambda e: e["at"] <= own))
+        return F.transform(events, lambda e: F.struct(key(e).alias("at"), (start(e) != "").alias("opens")))
+
+    return F.transform(F.flatten(F.transform(packages, lambda a: F.coalesce(a["ranges"], F.array()))), keyed)
+
+
+def affected(own: Column, ranges: Column, introduced: bool) -> Column:
+    """Whether a version, by its key, is in one of the ranges of range_keys(): the last event at or before it opens one."""
+
+    def hit(events: Column) -> Column:
+        last = F.array_max(F.filter(events, lambda e: e["at"] <= own))
         return F.coalesce(last["opens"], F.lit(not introduced) & (F.size(events) > 0))
 
-    return F.exists(F.flatten(F.transform(packages, lambda a: F.coalesce(a["ranges"], F.array()))), hit)
+    return F.exists(ranges, hit)
