@@ -150,6 +150,18 @@ class Automaton:
                 yield number, line, kept
 
 
+#: Characters of lines, repeated for each of their rules, and pairs of both that a task holds before it passes them on.
+HELD, MOST_PAIRS = 4 << 20, 1 << 16
+#: Bytes of texts that go to a task at a time, where the session has Spark's default of 64 MB.
+BATCH_BYTES = "4m"
+
+
+def _small_batches(spark) -> None:
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(size, BATCH_BYTES)
+
+
 #: The automaton that a worker process has built last.
 _BUILT: dict[str, Automaton] = {}
 
@@ -160,26 +172,33 @@ def candidates(files: DataFrame, groups: list[list[list[str]]], flag: str | None
     shared, key = files.sparkSession.sparkContext.broadcast(groups), uuid.uuid4().hex
     kept = [c for c in files.columns if c != "text"]
 
+    def made(b, rows: list[tuple]) -> list[pa.RecordBatch]:
+        row, pos, line, ordinal = zip(*rows, strict=True)
+        take = pa.array(row)
+        table = pa.table([*(b.column(c).take(take) for c in kept), pa.array(pos, pa.int32()), pa.array(line, pa.string()), pa.array([not x.isascii() and any(c in x for c in FOLDING) for x in line]), pa.array(ordinal, pa.int32())], names=[*kept, "_pos", "_line", "_folds", "ordinal"])
+        return table.sort_by("ordinal").to_batches()  # so that each expression is compiled once a batch
+
     def run(batches):
         if key not in _BUILT:
             _BUILT.clear()
             _BUILT[key] = Automaton(shared.value)
         automaton = _BUILT[key]
         for b in batches:
-            row = [i for i, x in enumerate(b.column(flag).to_pylist()) if x] if flag else []
-            pos, line, ordinal = [0] * len(row), [""] * len(row), [-1] * len(row)
+            rows, size = [(i, 0, "", -1) for i, x in enumerate(b.column(flag).to_pylist()) if x] if flag else [], 0
             for i, text in enumerate(b.column("text")):
                 for number, content, rules in automaton.lines(text.as_py() or ""):
                     for r in rules:
-                        row.append(i)
-                        pos.append(number)
-                        line.append(content)
-                        ordinal.append(r)
-            if row:
-                take = pa.array(row)
-                made = pa.table([*(b.column(c).take(take) for c in kept), pa.array(pos, pa.int32()), pa.array(line, pa.string()), pa.array([not x.isascii() and any(c in x for c in FOLDING) for x in line]), pa.array(ordinal, pa.int32())], names=[*kept, "_pos", "_line", "_folds", "ordinal"])
-                yield from made.sort_by("ordinal").to_batches()  # so that each expression is compiled once a batch
-
+                        rows.append((i, number, content, r))
+                        size += len(content)
+                        if size > HELD or len(rows) >= MOST_PAIRS:
+                            yield from made(b, rows)
+                            rows, size = [], 0
+            if rows:
+                yield from made(b, rows)
+            rows = []
+            pa.default_memory_pool().release_unused()
+
+    _small_batches(files.sparkSession)
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "text"]
     return files.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join([*schema, "_pos int", "_line string", "_folds boolean", "ordinal int"]))
 
