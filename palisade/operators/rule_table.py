@@ -2,7 +2,8 @@
 
 Whatever a rule matches holds certain literals, or one of each of some groups, which are read off its regular
 expression. The best group of each rule goes into one Aho-Corasick automaton in each task. It runs over a text once and
-names the lines, and for each the rules, that may match; lines that lack a literal of another group are passed over. Only
+names the lines, and for each the rules, that may match: where an expression goes on with sets of characters behind its
+literal, these must follow it; lines that lack a literal of another group are passed over. Only
 the rest leaves the task, and only these pairs meet the regular expressions, in Spark's own engine. A literal only selects: hits are the expressions' own, as if each rule had been tried on each line.
 
 Case does not count for the automaton, which folds ASCII letters and the two letters that fold to them, so it serves
@@ -99,23 +100,74 @@ def _of_sequence(items) -> list[set[str]]:
     return [*groups, {run}] if run else groups
 
 
+def _accepted(op, value) -> str | None:
+    """A class of the characters that a literal or a set of ASCII ones can stand for, in either case; None if it isn't one."""
+    codes: set[int] = set()
+    for o, v in [(op, value)] if op is K.LITERAL else value if op is K.IN else [(None, None)]:
+        if o is K.LITERAL:
+            codes.add(v)
+        elif o is K.RANGE:
+            codes.update(range(v[0], min(v[1], 128) + 1))
+        else:
+            return None
+    # other engines have sets within sets, which Python reads as characters
+    if max(codes) > 127 or codes & {ord("["), ord("&")}:
+        return None
+    of = {fold(chr(c)) for c in codes}
+    return "[" + "".join(sorted(re.escape(x) for c in of for x in {c, c.upper(), *(y for y in FOLDING if fold(y) == c)})) + "]"
+
+
+def tail(regex: str, literal: str) -> str | None:
+    """What must follow a literal of the expression wherever it matches, as an expression that may accept more: the sets
+    and repeated sets of ASCII characters behind it, as far as they are read off. None if there are none."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        items = list(_parser.parse(regex))
+    run, after = "", None
+    for i, (op, value) in enumerate(items):
+        if op is K.LITERAL and (c := _folded(value)):
+            run += c
+        elif op is K.AT or op in (K.ASSERT, K.ASSERT_NOT):  # as in _of_sequence
+            continue
+        else:
+            if run == literal:
+                after = items[i:]
+                break
+            run = ""
+    out, endless = "", False
+    for op, value in after or ():
+        least = most = 1
+        if op in (K.MAX_REPEAT, K.MIN_REPEAT):
+            least, most = value[0], value[1]
+            if len(value[2]) != 1 or most is K.MAXREPEAT and endless:  # one endless repeat: no backtracking among several
+                break
+            endless = endless or most is K.MAXREPEAT
+            op, value = value[2][0]
+        accepted = _accepted(op, value)
+        if accepted is None:
+            break
+        out += accepted + ("" if (least, most) == (1, 1) else f"{{{least},{'' if most is K.MAXREPEAT else most}}}")
+    return out or None
+
+
 class Automaton:
     """The literals of some rules: those of their first groups are looked for, the others in the lines that have them.
-    Rules without a group of LEAST_LITERAL characters are left out."""
+    Rules without a group of LEAST_LITERAL characters are left out. A rule's tail, if it has one, must follow its literal."""
 
-    def __init__(self, groups: list[list[list[str]]]):
+    def __init__(self, groups: list[list[list[str]]], tails: list[str | None] | None = None):
         import ahocorasick
 
         literals = [g[0] if g and min(map(len, g[0])) >= LEAST_LITERAL else None for g in groups]
         self.others = [g[1:] for g in groups]
 
-        by_literal: dict[str, list[int]] = {}
+        by_literal: dict[str, dict[str | None, list[int]]] = {}
         for ordinal, words in enumerate(literals):
             for word in words or ():
-                by_literal.setdefault(word, []).append(ordinal)
+                by_literal.setdefault(word, {}).setdefault(tails[ordinal] if tails else None, []).append(ordinal)
         self.words = ahocorasick.Automaton()
-        for word, ordinals in by_literal.items():
-            self.words.add_word(word, ordinals)
+        follows = {x: re.compile(x).match for by_tail in by_literal.values() for x in by_tail if x}
+        for word, by_tail in by_literal.items():
+            self.words.add_word(word, [(follows.get(x), ordinals) for x, ordinals in by_tail.items()])
         self.reach = max(map(len, by_literal), default=1) - 1
         if by_literal:
             self.words.make_automaton()
@@ -128,16 +180,20 @@ class Automaton:
         start, end, rules = 0, -1, set()
         for at in range(0, max(1, len(text)), PIECE):
             low = max(0, at - self.reach)
-            for place, ordinals in self.words.iter(fold(text[low : at + PIECE])):
+            for place, by_tail in self.words.iter(fold(text[low : at + PIECE])):
                 place += low
                 if place < at:
                     continue
+                # the tail may run past the line, as a match may not: it only selects
+                own = [ordinals for follows, ordinals in by_tail if follows is None or follows(text, place + 1)]
+                if not own:
+                    continue
                 if place > end:
                     start = text.rfind("\n", 0, place) + 1
                     end = text.find("\n", place)
                     end = len(text) if end < 0 else end
                     rules = found.setdefault(start, set())
-                rules.update(ordinals)
+                rules.update(*own)
         number, last = 0, 0
         for start, rules in found.items():
             number += text.count("\n", last, start)
@@ -166,10 +222,10 @@ def _small_batches(spark) -> None:
 _BUILT: dict[str, Automaton] = {}
 
 
-def candidates(files: DataFrame, groups: list[list[list[str]]], flag: str | None = None) -> DataFrame:
+def candidates(files: DataFrame, groups: list[list[list[str]]], flag: str | None = None, tails: list[str | None] | None = None) -> DataFrame:
     """The columns of files but text, and (_pos, _line, _folds, ordinal): lines, numbered from 0, whether they hold a letter
     beyond ASCII that folds to one of ASCII, and the rules that they may match; for files whose column `flag` is true also one row of ordinal -1, without a line."""
-    shared, key = files.sparkSession.sparkContext.broadcast(groups), uuid.uuid4().hex
+    shared, key = files.sparkSession.sparkContext.broadcast((groups, tails)), uuid.uuid4().hex
     kept = [c for c in files.columns if c != "text"]
 
     def made(b, rows: list[tuple]) -> list[pa.RecordBatch]:
@@ -181,7 +237,7 @@ def candidates(files: DataFrame, groups: list[list[list[str]]], flag: str | None
     def run(batches):
         if key not in _BUILT:
             _BUILT.clear()
-            _BUILT[key] = Automaton(shared.value)
+            _BUILT[key] = Automaton(*shared.value)
         automaton = _BUILT[key]
         for b in batches:
             rows, size = [(i, 0, "", -1) for i, x in enumerate(b.column(flag).to_pylist()) if x] if flag else [], 0
@@ -230,7 +286,8 @@ def matches(files: DataFrame, rows: list[tuple], schema: str = RULE, flag: str |
     give a row of ordinal -1, without a rule."""
     at = [x.split()[0] for x in schema.split(", ")].index("regex")
     groups = [needed(r[at]) for r in rows]
-    made = candidates(files, groups, flag)
+    tails = [tail(r[at], g[0][0]) if g and len(g[0]) == 1 else None for r, g in zip(rows, groups, strict=True)]
+    made = candidates(files, groups, flag, tails)
     bare = [i for i, g in enumerate(groups) if not g or min(map(len, g[0])) < LEAST_LITERAL]
     if bare:
         any_ = F.lit(False)
