@@ -31,7 +31,8 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = docs.select("doc_id", F.when(F.col("text").contains("fine"), 0).otherwise(1).alias("toxic"))
     asked = spark.createDataFrame([(1, "more vile words", "en"), (2, "more fine words", "en"), (3, "more other words", "en")], "doc_id long, text string, lang string")
-    for rows_of_a_task in (8192, 2000):  # one task, several
+    for rows_of_a_task, most in ((8192, 1_000_000), (2000, 0)):  # one task, several; labels broadcast, shuffled
+        monkeypatch.setattr(toxicity, "BROADCAST_LABELS", most, raising=False)
         monkeypatch.setattr(toxicity, "SHARD_ROWS", rows_of_a_task, raising=False)
         score = {r.doc_id: r.score for r in toxicity.score(asked, toxicity.fit(docs, labels)).collect()}
         assert score[1] > 0.9 > score[3] and score[2] < 0.1, score
